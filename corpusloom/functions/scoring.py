@@ -112,44 +112,73 @@ def path_features(path: Column) -> dict[str, Column]:
     }
 
 
-def _prefixed(features: dict[str, Column], prefix: str) -> list[Column]:
-    return [col.alias(prefix + name) for name, col in features.items()]
+_PROMPT_FEATURES = (
+    "no_tooling", "architecture", "classic", "runtime", "action", "action_runtime", "xml", "npc", "spell",
+    "quest", "loot",
+)
+_PATH_FEATURES = (
+    "in_src", "in_app", "in_assets", "in_scripts", "in_data_scripts", "in_binding_dir", "main_code_ext",
+    "in_low_signal", "in_tools", "core_source", "in_scripts_or_assets", "xml_ext", "xml_file", "scripts_code",
+    "actions_xml", "in_action_scripts", "src_actions", "src_luascript", "src_baseevents", "src_scriptmanager",
+    "src_script", "npc_path", "spell_path", "quest_path", "items_xml", "other_items_xml", "monster_xml",
+    "in_loot", "loot_script", "shader_ext", "network_path",
+)
+
+
+def _bits(features: dict[str, Column], order: tuple[str, ...]) -> Column:
+    """Features as one long, so that pairs and classes carry a single column."""
+    total = F.lit(0).cast("long")
+    for place, name in enumerate(order):
+        total = total + F.when(features[name], 1 << place).otherwise(0)
+    return total
+
+
+def _has(bits: str, order: tuple[str, ...], name: str) -> Column:
+    return F.col(bits).bitwiseAND(F.lit(1 << order.index(name)).cast("long")) != 0
 
 
 def with_prompt_features(requests: DataFrame, prompt: str = "prompt") -> DataFrame:
-    """Add the p_* feature columns, once per request rather than once per pair."""
+    """Add the prompt features, once per request rather than once per pair."""
     col = F.col(prompt)
-    return requests.select(
-        "*",
-        *_prefixed(prompt_features(col), "p_"),
-        xml_terms(col).alias("p_xml_terms"),
-        is_xml_focus(col).alias("p_xml_focus"),
+    return requests.withColumns(
+        {
+            "p_bits": _bits(prompt_features(col), _PROMPT_FEATURES),
+            "p_xml_terms": xml_terms(col),
+            "xml_focus": is_xml_focus(col),
+            "loot_focus": is_loot_focus(col),
+        }
     )
 
 
 def with_path_features(corpus: DataFrame, path: str = "path") -> DataFrame:
-    """Add the d_* feature columns, once per document rather than once per pair."""
-    return corpus.select("*", *_prefixed(path_features(F.col(path)), "d_"), wrapped(F.col(path)).alias("d_norm"))
+    """Add the path features, once per document rather than once per pair."""
+    return corpus.withColumns(
+        {"d_bits": _bits(path_features(F.col(path)), _PATH_FEATURES), "d_norm": wrapped(F.col(path))}
+    )
 
 
 def path_bonus() -> Column:
-    """Importance bonus of a (request, document) pair carrying p_*, d_* and boost columns (Q5)."""
+    """Importance bonus of a (request, document) pair carrying both feature sets (Q5)."""
     named = F.exists(
         F.col("p_xml_terms"),
         lambda t: F.contains(F.col("d_norm"), F.concat(F.lit("/"), t, F.lit(".xml/"))),
     )
     total = F.lit(0.0)
     for prompt_feature, path_feature, weight in rules.PATH_BONUS:
-        cond = (F.col("d_xml_file") & named) if path_feature == "named_xml" else F.col("d_" + path_feature)
+        if path_feature == "named_xml":
+            cond = _has("d_bits", _PATH_FEATURES, "xml_file") & named
+        else:
+            cond = _has("d_bits", _PATH_FEATURES, path_feature)
         if prompt_feature is not None:
-            cond = F.col("p_" + prompt_feature) & cond
+            cond = _has("p_bits", _PROMPT_FEATURES, prompt_feature) & cond
         total = total + F.when(cond, weight).otherwise(0.0)
     profile = {
-        "xml": "d_xml_ext", "scripts": "d_in_scripts", "assets": "d_in_assets", "src": "d_in_src",
-        "shader": "d_shader_ext", "networking": "d_network_path",
+        "xml": "xml_ext", "scripts": "in_scripts", "assets": "in_assets", "src": "in_src",
+        "shader": "shader_ext", "networking": "network_path",
     }
     for boost, feature in profile.items():
-        total = total + F.when(F.col(feature), F.col(f"{boost}_boost")).otherwise(0.0)
+        cond = _has("d_bits", _PATH_FEATURES, feature)
+        total = total + F.when(cond, F.col(f"{boost}_boost")).otherwise(0.0)
     return total
 
 
@@ -271,3 +300,23 @@ def names_xml(source: Column, terms: Column) -> Column:
     low = F.lower(source)
     hit = F.exists(terms, lambda t: F.contains(low, F.concat(F.lit("/"), t, F.lit(".xml"))))
     return is_xml_artifact(source) & hit
+
+
+# Bits of a candidate's artifact flags.
+XML_FLAG, NAMED_XML_FLAG, ITEMS_XML_FLAG, LOOT_FLAG = 1, 2, 4, 8
+
+
+def artifact_flags(source: Column, terms: Column) -> Column:
+    """Which required-artifact roles a candidate can fill (Q12)."""
+    roles = {
+        XML_FLAG: is_xml_artifact(source), NAMED_XML_FLAG: names_xml(source, terms),
+        ITEMS_XML_FLAG: is_items_xml(source), LOOT_FLAG: is_loot_artifact(source),
+    }
+    total = F.lit(0)
+    for bit, cond in roles.items():
+        total = total + F.when(cond, bit).otherwise(0)
+    return total
+
+
+def has_flag(flags: Column, bit: int) -> Column:
+    return flags.bitwiseAND(bit) != 0

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..session import ship_package
 
 _HIT_BITS = 20  # a packed hit is request_no << 20 | term hits
 
@@ -167,6 +168,7 @@ def _fits(wanted: DataFrame, bound: VocabularyBound) -> bool:
 
 def _match_by_automaton(wanted, corpus, low, scope, min_rel) -> DataFrame:
     spark = corpus.sparkSession
+    ship_package(spark)
     rows = wanted.collect()  # its size was checked, or the caller vouches for it
     matcher = spark.sparkContext.broadcast(_Matcher(rows, scope is not None))
     ids = spark.createDataFrame(
