@@ -76,7 +76,7 @@ def intent_terms(prompt: Column) -> Column:
     line breaks are deleted before splitting on blanks; both at least two characters.
     """
     lower = F.lower(prompt)
-    tokens = F.regexp_extract_all(lower, F.lit(r"[a-z0-9_]+(?:-[a-z0-9_]+)*"), F.lit(0))
+    tokens = F.regexp_extract_all(lower, F.lit(r"[a-z0-9_]++(?:-[a-z0-9_]++)*+"), F.lit(0))
     compact = F.split(F.regexp_replace(lower, r"[^\p{L}\p{N}_\- ]", ""), " +")
     return F.filter(F.array_union(tokens, compact), lambda t: F.length(t) >= 2)
 

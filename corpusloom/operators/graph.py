@@ -109,10 +109,10 @@ def seed_nodes(edges: DataFrame, requests: DataFrame, strategy: str = "auto", fa
     seeded = pairs.unionByName(hits.join(map_sources, "node", "left_semi").select("request_id", "node")).distinct()
     if not fallback:
         return seeded
-    first = map_sources.orderBy("node").limit(fallback).agg(F.collect_list("node").alias("nodes"))
+    first = [r["node"] for r in map_sources.orderBy("node").limit(fallback).collect()]
     idle = requests.select("request_id").join(seeded.select("request_id").distinct(), "request_id", "left_anti")
-    start = idle.join(F.broadcast(first)).select("request_id", F.explode("nodes").alias("node"))
-    return seeded.unionByName(start)
+    start = F.array(*map(F.lit, first)) if first else F.array().cast("array<string>")
+    return seeded.unionByName(idle.select("request_id", F.explode(start).alias("node")))
 
 
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_nodes: int = 80) -> DataFrame:

@@ -79,23 +79,21 @@ def _hash_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     State is one open digest, so a parent with any number of children needs no memory.
     """
+    columns = ["project", "node_id", "source_hash"]
     open_key, digest = None, None
     for batch in batches:
         done: list[tuple[str, str, str]] = []
-        keys = batch["project"] + "\x00" + batch["parent_id"]
-        for key, rows in batch.groupby(keys, sort=False):
+        for key, rows in batch.groupby(["project", "parent_id"], sort=False):
             text = "|".join(rows["node_id"] + ":" + rows["source_hash"]).encode("utf-8")
             if key == open_key:
                 digest.update(b"|" + text)
                 continue
             if open_key is not None:
-                done.append((*open_key.split("\x00"), digest.hexdigest()))
+                done.append((*open_key, digest.hexdigest()))
             open_key, digest = key, hashlib.sha256(text)
-        yield pd.DataFrame(done, columns=["project", "node_id", "source_hash"])
+        yield pd.DataFrame(done, columns=columns)
     if open_key is not None:
-        yield pd.DataFrame(
-            [(*open_key.split("\x00"), digest.hexdigest())], columns=["project", "node_id", "source_hash"]
-        )
+        yield pd.DataFrame([(*open_key, digest.hexdigest())], columns=columns)
 
 
 def _hash_parents(children: DataFrame) -> DataFrame:

@@ -226,13 +226,6 @@ def reflection_notes(
 
     Every input is reduced to one row or a short top list before it is combined.
     """
-    one = memory_counts = last_n(memory, [], newest_first(), 300).agg(
-        F.count("*").alias("scanned_entries"),
-        F.count_if(F.col("confidence") < 0.45).alias("low_confidence_entries"),
-    )
-    one = memory_counts.join(removed.agg(F.count("*").alias("duplicates_removed")))
-    one = one.join(drift.agg(F.coalesce(F.sum("drift"), F.lit(0)).alias("drift"))) if drift is not None else one.withColumn("drift", F.lit(0))
-
     def listed(top: DataFrame, name: str, column: str) -> DataFrame:
         item = F.struct((-F.col("count")).alias("n"), F.col(name).alias("name"))
         rendered = F.transform(
@@ -240,23 +233,39 @@ def reflection_notes(
         )
         return top.agg(F.array_join(rendered, ", ").alias(column))
 
+    facts = [
+        last_n(memory, [], newest_first(), 300).agg(
+            F.count("*").alias("scanned_entries"),
+            F.count_if(F.col("confidence") < 0.45).alias("low_confidence_entries"),
+        ),
+        removed.agg(F.count("*").alias("duplicates_removed")),
+    ]
+    if drift is not None:
+        facts.append(drift.agg(F.coalesce(F.sum("drift"), F.lit(0)).alias("drift")))
     if feedback is not None:
         recent = last_n(feedback, [], [F.desc("seq")], 400)
-        one = one.join(recent.agg(F.count("*").alias("feedback_total"))).join(
-            listed(top_counts(issue_counts(recent), 4, "issue"), "issue", "issues")
-        )
-    else:
-        one = one.withColumn("feedback_total", F.lit(0)).withColumn("issues", F.lit(""))
+        facts.append(recent.agg(F.count("*").alias("feedback_total")))
+        facts.append(listed(top_counts(issue_counts(recent), 4, "issue"), "issue", "issues"))
     if diagnosis is not None:
-        one = one.join(
-            listed(top_counts(diagnosis.filter(F.col("count") > 0), 4, "failure_type"), "failure_type", "failures")
-        ).join(
-            recommendations(diagnosis).filter("ord < 3").agg(
-                F.transform(F.array_sort(F.collect_list(F.struct("ord", "recommendation"))), lambda r: r["recommendation"]).alias("advice")
-            )
+        seen = diagnosis.filter(F.col("count") > 0)
+        facts.append(listed(top_counts(seen, 4, "failure_type"), "failure_type", "failures"))
+        advice = F.array_sort(F.collect_list(F.struct("ord", "recommendation")))
+        facts.append(
+            recommendations(diagnosis).filter("ord < 3")
+            .agg(F.transform(advice, lambda r: r["recommendation"]).alias("advice"))
         )
-    else:
-        one = one.withColumn("failures", F.lit("")).withColumn("advice", F.array().cast("array<string>"))
+    # Each fact is one row with columns of its own; stacking them needs no join.
+    stacked = facts[0]
+    for fact in facts[1:]:
+        stacked = stacked.unionByName(fact, allowMissingColumns=True)
+    one = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+    defaults = {
+        "drift": F.lit(0), "feedback_total": F.lit(0), "issues": F.lit(""), "failures": F.lit(""),
+        "advice": F.array().cast("array<string>"),
+    }
+    one = one.withColumns(
+        {name: F.coalesce(name, default) if name in one.columns else default for name, default in defaults.items()}
+    )
 
     def count_note(before: str, column: str, after: str) -> Column:
         return F.concat(F.lit(before), F.col(column).cast("string"), F.lit(after))
