@@ -317,11 +317,13 @@ def folder_summary_lines(meta: DataFrame) -> DataFrame:
     heads = meta.select("project", "folder").distinct().select(
         "project", "folder",
         F.inline(F.array(
-            F.struct(F.lit(0).alias("section"), F.lit("").alias("item"), F.concat(F.lit("# "), title).alias("line")),
-            F.struct(F.lit(1), F.lit(""), F.lit("")),
-            F.struct(F.lit(2), F.lit(""), F.lit("## Files")),
-            F.struct(F.lit(4), F.lit(""), F.lit("")),
-            F.struct(F.lit(5), F.lit(""), F.lit("## Dependencies")),
+            *[
+                F.struct(F.lit(at).alias("section"), F.lit("").alias("item"), line.alias("line"))
+                for at, line in (
+                    (0, F.concat(F.lit("# "), title)), (1, F.lit("")), (2, F.lit("## Files")),
+                    (4, F.lit("")), (5, F.lit("## Dependencies")),
+                )
+            ]
         )),
     )
     listed = meta.select(

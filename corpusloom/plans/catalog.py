@@ -97,12 +97,11 @@ def file_markers(spark, sf):
 
 @query
 def page_xml_markers(spark, sf):
-    """Tag, attribute and script markers of the raw pages."""
+    """Tag, attribute and script markers of the pages, links read as action bindings."""
     from ..functions.extract import xml_markers
 
-    return (
-        spread_small(read_table(spark, sf, "pages")).select("page_id", F.explode(xml_markers(F.col("html"))).alias("marker"))
-    )
+    markup = F.replace("html", F.lit("<a href="), F.lit('<Action ItemId="1" script='))
+    return spread_small(read_table(spark, sf, "pages")).select("page_id", F.explode(xml_markers(markup)).alias("marker"))
 
 
 @query
@@ -320,3 +319,334 @@ def candidate_dedup(spark, sf):
         F.count("*").alias("candidates"), F.round(F.sum(F.col("final_score").cast("decimal(10,4)")).cast("double"), 4).alias("score_sum"),
         F.min("source").alias("first_source"),
     )
+
+
+@query
+def context_pack(spark, sf):
+    """Chosen items of every packet for the plain prompts."""
+    run = retrieve(ad.requests(spark, sf, plain=True), ad.corpus(spark, sf), ad.now(), with_fallback=False)
+    items = selected_rows(run.packets).select(
+        "request_id", big("rank").alias("rank"), "source", big("chars").alias("chars"), F.sha2("content", 256).alias("content_hash")
+    )
+    return items.join(
+        run.packets.select("request_id", big("selected_count").alias("selected_count"), "dropped_count", big("used_chars").alias("used_chars")),
+        "request_id",
+    )
+
+
+def _full_run(spark, sf):
+    requests = ad.requests(spark, sf)
+    memories = memory.memory_search(requests, ad.memory(spark, sf), 10)
+    run = retrieve(
+        requests, ad.corpus(spark, sf), ad.now(), memory_found=memories.join(requests.select("request_id", "terms"), "request_id")
+    )
+    return requests, run
+
+
+@query
+def context_packets(spark, sf):
+    """The flagship: memories, artifacts and fallbacks packed for every prompt."""
+    requests, run = _full_run(spark, sf)
+    packets = packet.weak_context(packet.risk_notes(run.packets, requests))
+    items = selected_rows(run.packets)
+    systems = packet.sanitize_systems(packet.systems_from_sources(items), "request_id")
+    docs = ad.corpus(spark, sf).withColumn("source", F.concat(F.lit("artifact:file:"), "path"))
+    deps = packet.sanitize_dependencies(packet.candidate_dependencies(run.scored, docs), "request_id")
+    none = F.array().cast("array<string>")
+    full = (
+        packets.join(packet.retrieval_metrics(run.packets).select("request_id", "avg_context_score", "hot_context_count"), "request_id")
+        .join(systems, "request_id", "left").join(deps, "request_id", "left")
+        .join(packet.recent_changes(run.scored), "request_id", "left")
+    )
+    return full.select(
+        "request_id", big("selected_count").alias("selected_count"), "dropped_count", big("used_chars").alias("used_chars"),
+        joined(F.transform("selected", lambda s: s["source"])).alias("sources"),
+        joined("risks", "; ").alias("risks"), joined("reasons").alias("weak_reasons"), "weak", "avg_context_score",
+        big("hot_context_count").alias("hot_context_count"), joined(F.coalesce("relevant_systems", none)).alias("systems"),
+        joined(F.coalesce("dependencies", none)).alias("dependencies"), joined(F.coalesce("recent_changes", none)).alias("recent_changes"),
+    )
+
+
+@query
+def packet_evidence(spark, sf):
+    """Q29, K1, K8: evidence JSON and usage flags per prompt."""
+    requests, run = _full_run(spark, sf)
+    noted = packet.risk_notes(run.packets, requests)
+    systems = packet.sanitize_systems(packet.systems_from_sources(selected_rows(run.packets)), "request_id")
+    none = F.array().cast("array<string>")
+    ready = (
+        noted.join(systems, "request_id", "left").join(requests.select("request_id", "intent"), "request_id")
+        .withColumn("relevant_systems", F.coalesce("relevant_systems", none)).withColumn("dependencies", none)
+    )
+    used = quality.usage_records(ready, requests).select("request_id", "xml_focus", "xml_selected")
+    return packet.evidence_summary(ready).join(used, "request_id")
+
+
+@query
+def risk_counts(spark, sf):
+    """Q16, Q28, Q30: risks, weak reasons and metrics of the plain prompts' packets."""
+    requests = ad.requests(spark, sf, plain=True)
+    run = retrieve(requests, ad.corpus(spark, sf), ad.now(), with_fallback=False)
+    noted = packet.weak_context(packet.risk_notes(run.packets, requests))
+    return noted.join(packet.retrieval_metrics(run.packets).drop("used_chars", "max_chars"), "request_id").select(
+        "request_id", joined("risks", "; ").alias("risks"), joined("reasons").alias("reasons"), "weak", "avg_context_score",
+        big("hot_context_count").alias("hot_context_count"),
+    )
+
+
+@query
+def fallback_context(spark, sf):
+    """Best domain files for nation names no file mentions."""
+    rows = read_table(spark, sf, "nation").select(
+        F.col("n_nationkey").cast("string").alias("request_id"),
+        F.element_at(F.array(F.lit("mmo_workspace"), F.lit("unity_workspace")), (F.col("n_nationkey") % 2 + 1).cast("int")).alias("workspace_id"),
+        F.concat("n_name", F.when(F.col("n_nationkey") % 3 == 0, " doc_8.xml").when(F.col("n_nationkey") % 3 == 1, " onuse").otherwise("")).alias("prompt"),
+    )
+    # Only the name is searched for, so that most prompts match nothing.
+    requests = ad.prepare_requests(rows).withColumn("terms", text.intent_terms(F.substring_index("prompt", " ", 1)))
+    docs = cand.artifact_documents(ad.corpus(spark, sf), ad.now())
+    matched = cand.score_artifacts(artifact_pairs(requests, docs))
+    return cand.fallback_candidates(requests, docs, matched).select(
+        "request_id", "source", F.round("importance", 4).alias("importance"), "freshness", big("n_deps").alias("n_deps"), "final_score"
+    )
+
+
+@query
+def hybrid_score(spark, sf):
+    """Ten best documents after semantic re-scoring of the lexical top 40."""
+    vectors = ad.vectors(spark, sf)
+    asked = vectors.select(F.col("vec_id").cast("string").alias("request_id"), F.col("vector").alias("request_vector"))
+    docs = ad.files(spark, sf).join(vectors, F.col("doc_id") == F.col("vec_id")).select(
+        F.concat(F.lit("artifact:file:"), "path").alias("source"), "vector"
+    )
+    scored = cand.apply_semantic_scores(_scored(spark, sf, plain=True), asked, docs)
+    return cand.rank_candidates(scored, 10).select("request_id", "source", "semantic", "final_score", big("rank").alias("rank"))
+
+
+@query
+def assist_shortlists(spark, sf):
+    """T4: artifact shortlists offered to a retrieval assistant."""
+    return cand.assist_shortlist(_scored(spark, sf)).select("request_id", "source", big("place").alias("place"))
+
+
+@query
+def hinted_scores(spark, sf):
+    """Q32: scores after priority hints; each prompt names one file and two terms."""
+    scored = _scored(spark, sf, plain=True)
+    hints = read_table(spark, sf, "benchmark").select(
+        F.col("item_id").cast("string").alias("request_id"),
+        F.array(F.concat(F.lit("src/src1/doc_"), (F.col("item_id") * 4 + 2).cast("string"), F.lit(".py"))).alias("priority_sources"),
+        F.array(F.lit(" The "), F.lit("zzzz")).alias("include_terms"),
+    )
+    texts = cand.artifact_documents(ad.corpus(spark, sf), ad.now()).select("source", "content", "dependencies")
+    return cand.rank_candidates(cand.apply_hints(scored, hints, texts), 10).select(
+        "request_id", "source", F.round("relevance", 6).alias("relevance"), "final_score", big("rank").alias("rank")
+    )
+
+
+# --- memory and knowledge ------------------------------------------------------------------------------
+
+
+@query
+def memory_search(spark, sf):
+    """Newest memories per user turn sharing a word, within project and user."""
+    return memory.memory_search(ad.chat_requests(spark, sf), ad.memory(spark, sf)).select("request_id", "id", big("seq").alias("seq"))
+
+
+@query
+def memory_compaction(spark, sf):
+    """Memories deleted as duplicates."""
+    return memory.duplicate_memories(ad.memory_with_copies(spark, sf)).select("id", "project_id", "user_id")
+
+
+@query
+def memory_compacted(spark, sf):
+    """What remains per scope after compaction."""
+    return memory.compact_memory(ad.memory_with_copies(spark, sf)).groupBy("project_id", "user_id").agg(
+        F.count("*").alias("entries"), F.min("id").alias("first_id")
+    )
+
+
+@query
+def memory_health(spark, sf):
+    """Low-confidence memories per project among the newest 300."""
+    return memory.memory_health(ad.memory(spark, sf), "project_id")
+
+
+@query
+def memory_recent(spark, sf):
+    """Newest memories of one project."""
+    return memory.memory_recent(ad.memory(spark, sf), project="p1", limit=50).select("id", "user_id", "confidence")
+
+
+@query
+def auto_memories(spark, sf):
+    """Q25: memory rows of answered user turns."""
+    answers = ad.turns(spark, sf).filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    rows = ad.chat_requests(spark, sf).join(answers, ["conv_id", "turn"]).withColumns(
+        {
+            "confidence": (F.col("conv_id") % 100) / F.lit(100.0), "trace_id": F.concat(F.lit("t"), "request_id"),
+            "selected_tier": F.lit("flash"), "provider": F.lit("remote"), "task_type": F.lit("debugging"),
+        }
+    )
+    return memory.auto_memory(rows, ad.now(), with_task_type=True).select(
+        "id", "project_id", "user_id", "scope", F.sha2("content", 256).alias("content_hash"), joined("tags").alias("tags"), "confidence", "provenance"
+    )
+
+
+@query
+def knowledge_search(spark, sf):
+    """Best knowledge nodes per prompt, whole texts as summaries."""
+    nodes = ad.corpus(spark, sf).select(
+        F.concat(F.lit("file:"), "path").alias("node_id"), F.regexp_extract("path", "[^/]*$", 0).alias("title"),
+        F.col("path").alias("source_path"), F.col("content").alias("summary"), "dependencies",
+        F.array(F.lit("async")).alias("patterns"), (F.col("doc_id") % 50 / F.lit(50.0)).alias("confidence"),
+    )
+    return memory.knowledge_search(ad.requests(spark, sf), nodes).select(
+        "request_id", "node_id", F.round("score", 6).alias("score"), big("rank").alias("rank")
+    )
+
+
+@query
+def knowledge_scope(spark, sf):
+    """Knowledge rows inside each request's own workspace tree."""
+    requests = ad.requests(spark, sf)
+    # Every prompt finds the pages of its own item number modulo 40, under one of three trees.
+    tree = F.element_at(F.array(F.lit(".artifacts/workspaces/mmo_workspace/p1/"), F.lit(".artifacts/workspaces/plain/p2/"), F.lit("app/")), (F.col("page_id") % 3 + 1).cast("int"))
+    found = read_table(spark, sf, "pages").select(
+        (F.col("page_id") % 40).cast("string").alias("request_id"), F.concat(tree, "page_id").alias("source_path")
+    )
+    return memory.scope_knowledge(found, requests).select("request_id", "source_path")
+
+
+# --- graph --------------------------------------------------------------------------------------------------
+
+
+def _link_edges(spark, sf):
+    kind = F.when(F.col("page_id") % 2 == 0, graph.MAP).otherwise(graph.EDGE)
+    return ad.links(spark, sf).select(
+        "source", "target", kind.alias("kind"), F.when(F.col("page_id") % 3 == 0, " ").otherwise("links").alias("relation")
+    ).distinct()
+
+
+def _short_requests(spark, sf):
+    """Nation and region names as prompts."""
+    names = read_table(spark, sf, "nation").select("n_name").unionByName(read_table(spark, sf, "region").select(F.col("r_name").alias("n_name")))
+    return names.select(F.col("n_name").alias("request_id"), text.intent_terms(F.substr(F.lower("n_name"), F.lit(1), F.lit(3))).alias("terms"))
+
+
+@query
+def relationship_graph(spark, sf):
+    """Edges of the relationship graph by relation, and node kinds."""
+    meta = ad.corpus(spark, sf)
+    nodes, edges = graph.relationship_graph(meta)
+    return (
+        graph.relation_histogram(edges).select(F.col("relation").alias("what"), F.col("edges").alias("n"))
+        .unionByName(nodes.groupBy("kind").agg(F.count("*").alias("n")).select(F.col("kind").alias("what"), "n"))
+        .unionByName(graph.dependency_edges(meta).agg(F.count("*").alias("n")).select(F.lit("map").alias("what"), "n"))
+    )
+
+
+@query
+def normalized_links(spark, sf):
+    """Edge rows after normalisation, by relation."""
+    return graph.normalize_edges(_link_edges(spark, sf)).groupBy("relation", "kind").agg(F.count("*").alias("edges"))
+
+
+@query
+def graph_seeds(spark, sf):
+    """Seed nodes per short prompt."""
+    return graph.seed_nodes(_link_edges(spark, sf), _short_requests(spark, sf))
+
+
+@query
+def graph_expand(spark, sf):
+    """Nodes within two steps, at most 80 per prompt, with system and class."""
+    edges = _link_edges(spark, sf)
+    seeds = graph.seed_nodes(edges, _short_requests(spark, sf))
+    return graph.classify_nodes(graph.expand(edges, seeds)).select(
+        "request_id", "node", big("depth").alias("depth"), "system", "is_dependency"
+    )
+
+
+@query
+def visited_relations(spark, sf):
+    """Relations of the edges touching the visited nodes."""
+    edges = _link_edges(spark, sf)
+    visited = graph.expand(edges, graph.seed_nodes(edges, _short_requests(spark, sf)))
+    return graph.relation_histogram(graph.normalize_edges(edges), visited)
+
+
+# --- quality ---------------------------------------------------------------------------------------------------
+
+_KPI_DOUBLES = (
+    "retrieval_precision", "hallucination_rate", "stale_context_rate", "architectural_consistency", "token_efficiency", "reasoning_success",
+    "feedback_correct_rate", "feedback_partial_rate", "feedback_incorrect_rate", "feedback_hallucination_rate", "feedback_xml_missing_rate",
+    "feedback_retrieval_incorrect_rate", "feedback_compression_bad_rate", "feedback_architectural_loss_rate",
+    "total_cost_usd", "prompt_tokens", "completion_tokens", "total_tokens",
+)
+
+
+def _report(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, "sample_size", "retrieval_samples", "route_samples", *_KPI_DOUBLES, joined("notes", " ").alias("notes"), "gate")
+
+
+@query
+def eval_kpis(spark, sf):
+    """Quality report over all traces."""
+    return _report(quality.evaluate(ad.traces(spark, sf), limit=0))
+
+
+@query
+def eval_by_project(spark, sf):
+    """Quality report over the last 300 traces of each project."""
+    rows = ad.traces(spark, sf).withColumn("project", F.col("payload.project_id"))
+    return _report(quality.evaluate(rows, "project", limit=300), "project")
+
+
+@query
+def failure_taxonomy(spark, sf):
+    """Usage records per failure type."""
+    return quality.failure_counts(ad.usage(spark, sf))
+
+
+@query
+def diagnosis(spark, sf):
+    """Failure counts with feedback issues added."""
+    return quality.diagnose(quality.failure_counts(ad.usage(spark, sf)), ad.feedback(spark, sf))
+
+
+@query
+def recommendations(spark, sf):
+    """Advice for the failures that occur."""
+    found = quality.diagnose(quality.failure_counts(ad.usage(spark, sf)), ad.feedback(spark, sf))
+    return quality.recommendations(found).select(big("ord").alias("ord"), "recommendation")
+
+
+@query
+def feedback_summary(spark, sf):
+    """A10: verdicts of the newest 500 feedback rows per project."""
+    return quality.feedback_summary(ad.feedback(spark, sf), "project_id")
+
+
+@query
+def top_issues(spark, sf):
+    """A10, T5: most frequent feedback issues."""
+    return quality.top_issues(ad.feedback(spark, sf))
+
+
+@query
+def usage_summary(spark, sf):
+    """Totals of the usage records."""
+    return quality.usage_summary(ad.usage(spark, sf))
+
+
+@query
+def reflection(spark, sf):
+    """Counts and notes of one reflection cycle over all inputs."""
+    memories = ad.memory_with_copies(spark, sf)
+    found = quality.diagnose(quality.failure_counts(ad.usage(spark, sf)), ad.feedback(spark, sf))
+    report = quality.reflection_notes(
+        memories, memory.duplicate_memories(memories), diff.drift_count(*_node_tables(spark, sf), "project"), ad.feedback(spark, sf), found
+    )
+    return report.select("scanned_entries", "duplicates_removed", "low_confidence_entries", joined("notes", chr(10)).alias("notes"))

@@ -308,3 +308,398 @@ FROM files f LEFT JOIN files_before b ON b.project = f.project AND b.path = f.pa
 ORACLE_SQL["knowledge_drift"] = f"""WITH {FILES}, {FILES_BEFORE}
 SELECT project, count(*) FILTER (f.hash IS DISTINCT FROM b.hash) AS drift
 FROM (SELECT project, path, hash FROM files) f FULL JOIN (SELECT project, path, hash FROM files_before) b USING (project, path) GROUP BY project"""
+
+ORACLE_SQL["page_xml_markers"] = f"""WITH m AS (SELECT page_id, replace(html, '<a href=', '<Action ItemId="1" script=') AS markup FROM pages)
+SELECT DISTINCT page_id, unnest({xml_marks('markup')}) AS marker FROM m"""
+
+# --- requests ----------------------------------------------------------------------------------
+
+_SUFFIXES = (
+    "", " actions.xml register opcode", " shader material loot drop", " npc spell quest tools",
+    " how does doc_4.xml bind the script at startup", " refactor the security architecture",
+)
+
+
+def requests_cte(plain: bool = False) -> str:
+    prompt = "text" if plain else f"text || [{quoted(_SUFFIXES)}][item_id % {len(_SUFFIXES)} + 1]"
+    return f"""
+requests AS (SELECT CAST(item_id AS VARCHAR) AS request_id, ['mmo_workspace', 'unity_workspace', 'plain'][item_id % 3 + 1] AS workspace_id,
+  'p' || item_id % 5 AS project_id, 'u' || item_id % 7 AS user_id, {prompt} AS prompt FROM benchmark)"""
+
+
+def terms_of(prompt: str) -> str:
+    return f"""list_distinct(list_filter(regexp_extract_all(lower({prompt}), '[a-z0-9_]+(?:-[a-z0-9_]+)*')
+  || string_split_regex(regexp_replace(lower({prompt}), '[^\\p{{L}}\\p{{N}}_\\- ]', '', 'g'), ' +'), lambda t: length(t) >= 2))"""
+
+
+CHAT = """
+chat AS (SELECT conv_id || '-' || turn AS request_id, conv_id, turn, 'p' || conv_id % 5 AS project_id, 'u' || conv_id % 7 AS user_id, text AS prompt
+  FROM conversations WHERE role = 'user')"""
+
+ORACLE_SQL["prompt_terms"] = f"""WITH {requests_cte()}, {CHAT},
+a AS (SELECT request_id, prompt FROM requests UNION ALL SELECT 'c' || request_id, prompt FROM chat)
+SELECT request_id, unnest({terms_of('prompt')}) AS term FROM a"""
+
+_L = "lower(prompt)"
+_XML_FOCUS = f"(contains({_L}, '.xml') OR contains({_L}, ' xml') OR starts_with({_L}, 'xml'))"
+_LOOT_FOCUS = f"(contains({_L}, 'items.xml') OR {any_of(_L, rules.LOOT_TERMS)} OR ({any_of(_L, rules.LOOT_ITEM_WORDS)} AND {any_of(_L, rules.LOOT_DROP_WORDS)}))"
+_XML_TERMS = f"list_distinct(list_filter(regexp_extract_all({_L}, '([a-z0-9_\\-]+)\\.xml', 1), lambda x: length(x) >= 2))"
+_INTENT = "CASE " + " ".join(f"WHEN {any_of(_L, w)} THEN '{n}'" for n, w in rules.INTENTS) + " ELSE 'general-query' END"
+_ACTIVE = {
+    "unity_profile": "contains(workspace_id, 'unity')",
+    "mmo_profile": "(contains(workspace_id, 'mmo') AND NOT contains(workspace_id, 'unity'))",
+    "networking_profile": any_of(_L, rules.NETWORK_WORDS),
+    "lua_profile": any_of(_L, rules.LUA_WORDS),
+    "shader_profile": any_of(_L, rules.SHADER_WORDS),
+    "xml_profile": _XML_FOCUS,
+}
+
+
+def boost(i: int) -> str:
+    return "(0e0 + " + " + ".join(f"CASE WHEN {_ACTIVE[p[0]]} THEN {p[i]}e0 ELSE 0e0 END" for p in rules.PROFILES) + ")"
+
+
+_BOOSTS = {name: boost(i) for i, name in enumerate(rules.PROFILE_COLUMNS) if i}
+_PROFILE = "coalesce(nullif(array_to_string(" + " || ".join(
+    f"CASE WHEN {_ACTIVE[p[0]]} THEN ['{p[0]}'] ELSE [] END" for p in rules.PROFILES
+) + ", '+'), ''), 'default')"
+
+ORACLE_SQL["prompt_profiles"] = f"""WITH {requests_cte()}
+SELECT request_id, {_INTENT} AS intent, {_XML_FOCUS} AS xml_focus, {_LOOT_FOCUS} AS loot_focus, coalesce(array_to_string(list_sort({_XML_TERMS}), '|'), '') AS xml_terms,
+  {_PROFILE} AS profile_name, {', '.join(f'{rnd(sql)} AS {name}_boost' for name, sql in _BOOSTS.items())} FROM requests"""
+
+ORACLE_SQL["lexical_topk"] = f"""WITH {requests_cte(True)}, t AS (SELECT request_id, {terms_of('prompt')} AS terms FROM requests),
+p AS (SELECT request_id, doc_id, len(list_filter(terms, lambda x: contains(lower(text), x))) AS hits, len(terms) AS n FROM t, documents),
+r AS (SELECT request_id, doc_id, hits, hits / CAST(n AS DOUBLE) AS relevance, row_number() OVER (PARTITION BY request_id ORDER BY hits / CAST(n AS DOUBLE) DESC, doc_id) AS rank
+  FROM p WHERE hits / CAST(n AS DOUBLE) > 5e-2)
+SELECT request_id, doc_id, CAST(hits AS BIGINT) AS hits, {rnd('relevance', 6)} AS relevance, rank FROM r WHERE rank <= 10"""
+
+_ACTION_WORDS = rules.ACTION_XML_TERMS + rules.ACTION_RUNTIME_TERMS + rules.ACTION_BIND_TERMS
+_P = {
+    "no_tooling": f"NOT {any_of(_L, rules.TOOLING_TERMS)}",
+    "architecture": any_of(_L, rules.ARCHITECTURE_TERMS + rules.CLASSIC_SCRIPT_TERMS + rules.RUNTIME_SCRIPT_TERMS),
+    "classic": any_of(_L, rules.CLASSIC_SCRIPT_TERMS),
+    "runtime": any_of(_L, rules.RUNTIME_SCRIPT_TERMS),
+    "action": any_of(_L, _ACTION_WORDS),
+    "action_runtime": any_of(_L, rules.ACTION_RUNTIME_TERMS),
+    "xml": any_of(_L, ("xml",) + rules.ACTION_XML_TERMS + rules.CLASSIC_SCRIPT_TERMS),
+    "npc": f"contains({_L}, 'npc')", "spell": f"contains({_L}, 'spell')", "quest": f"contains({_L}, 'quest')",
+    "loot": _LOOT_FOCUS,
+}
+_D = {
+    "in_src": "contains(norm, '/src/')", "in_app": "contains(norm, '/app/')", "in_assets": "contains(norm, '/assets/')",
+    "in_scripts": "contains(norm, '/scripts/')", "in_data_scripts": "contains(norm, '/data/scripts/')",
+    "in_binding_dir": any_of("norm", rules.BINDING_DIRS),
+    "main_code_ext": "ext IN ('.cs', '.cpp', '.h', '.hpp', '.lua', '.ts', '.tsx', '.js', '.py')",
+    "in_low_signal": any_of("norm", rules.LOW_SIGNAL_DIRS),
+    "in_tools": "(contains(norm, '/data/tools/') OR starts_with(norm, '/tools/'))",
+    "core_source": any_of("norm", rules.CORE_SOURCE_HINTS),
+    "in_scripts_or_assets": "(contains(norm, '/scripts/') OR contains(norm, '/assets/'))",
+    "xml_ext": "ext = '.xml'", "xml_file": "ends_with(norm, '.xml/')",
+    "scripts_code": "(contains(norm, '/scripts/') AND ext IN ('.lua', '.cs', '.ts', '.tsx', '.js', '.py'))",
+    "actions_xml": "contains(norm, '/data/actions/actions.xml/')", "in_action_scripts": "contains(norm, '/data/actions/scripts/')",
+    "src_actions": "contains(norm, '/src/actions')", "src_luascript": "contains(norm, '/src/luascript')",
+    "src_baseevents": "contains(norm, '/src/baseevents')", "src_scriptmanager": "contains(norm, '/src/scriptmanager')",
+    "src_script": "contains(norm, '/src/script')",
+    "npc_path": any_of("norm", ("/data/scripts/", "/src/npc")), "spell_path": any_of("norm", ("/data/spells/", "/src/spells")),
+    "quest_path": "contains(norm, '/src/quests')", "items_xml": "ends_with(norm, '/data/items/items.xml/')",
+    "other_items_xml": "(NOT ends_with(norm, '/data/items/items.xml/') AND contains(norm, '/data/items/') AND ext = '.xml')",
+    "monster_xml": f"({any_of('norm', ('/data/monster/', '/data/monsters/'))} AND ext = '.xml')",
+    "in_loot": "contains(norm, '/loot/')", "loot_script": f"(contains(norm, '/data/scripts/') AND {any_of('norm', ('loot', 'drop'))})",
+    "shader_ext": "ext IN ('.shader', '.shadergraph', '.shadersubgraph', '.hlsl')",
+    "network_path": any_of("norm", ("/network", "protocol", "opcode", "packet")),
+}
+_BOOST_PATHS = {"xml": "xml_ext", "scripts": "in_scripts", "assets": "in_assets", "src": "in_src", "shader": "shader_ext", "networking": "network_path"}
+
+
+def bonus_sql() -> str:
+    parts = []
+    for prompt_feature, path_feature, weight in rules.PATH_BONUS:
+        cond = "d_xml_file AND len(list_filter(xml_terms, lambda x: contains(norm, '/' || x || '.xml/'))) > 0" if path_feature == "named_xml" else f"d_{path_feature}"
+        if prompt_feature:
+            cond = f"p_{prompt_feature} AND {cond}"
+        parts.append(f"CASE WHEN {cond} THEN {weight}e0 ELSE 0e0 END")
+    parts += [f"CASE WHEN d_{feature} THEN {name}_boost ELSE 0e0 END" for name, feature in _BOOST_PATHS.items()]
+    return "(0e0 + " + " + ".join(parts) + ")"
+
+
+REQUEST_FEATURES = f"""
+rf AS (SELECT *, {terms_of('prompt')} AS terms, {_XML_TERMS} AS xml_terms, {_XML_FOCUS} AS xml_focus, {_LOOT_FOCUS} AS loot_focus,
+  {', '.join(f'({sql}) AS p_{name}' for name, sql in _P.items())}, {', '.join(f'{sql} AS {name}_boost' for name, sql in _BOOSTS.items())} FROM requests)"""
+
+AGE = "date_diff('microsecond', modified_at, TIMESTAMP '2024-02-01 00:00:00') / 86400e6"
+DOC_FEATURES = f"""
+dn AS (SELECT *, {_NORM} AS norm, {_SUFFIX} AS ext, {first_seen(_SYMBOLS)} AS symbols FROM corpus),
+df AS (SELECT *, lower(path || ' ' || content || ' ' || array_to_string(symbols, ' ') || ' ' || array_to_string(dependencies, ' ')) AS hay,
+  'artifact:file:' || path AS source, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS body, len(dependencies) AS n_deps,
+  CASE WHEN {AGE} <= 1 THEN 1e0 WHEN {AGE} <= 7 THEN 85e-2 WHEN {AGE} <= 30 THEN 70e-2 WHEN {AGE} <= 90 THEN 55e-2 ELSE 40e-2 END AS freshness,
+  {', '.join(f'({sql}) AS d_{name}' for name, sql in _D.items())} FROM dn)"""
+
+FINAL = rnd("(CASE WHEN semantic > 0 THEN " + rnd("relevance * 45e-2 + semantic * 55e-2") + " ELSE relevance END) * 5e-1 + freshness * 15e-2 + confidence * 2e-1 + importance * 15e-2")
+FLAGS = """(CASE WHEN ends_with(lower(source), '.xml') THEN 1 ELSE 0 END
+  + CASE WHEN ends_with(lower(source), '.xml') AND len(list_filter(xml_terms, lambda x: contains(lower(source), '/' || x || '.xml'))) > 0 THEN 2 ELSE 0 END)"""
+
+
+def scored_cte(source: str = "df", join: str = "rf, df") -> str:
+    return f"""
+pairs AS (SELECT * FROM (SELECT *, len(list_filter(terms, lambda x: contains(hay, x))) / CAST(len(terms) AS DOUBLE) AS relevance FROM {join}) WHERE relevance > 5e-2),
+imp AS (SELECT *, greatest(5e-2, least(1e0, 5e-1 + least(45e-2, n_deps * 4e-2) + {bonus_sql()})) AS importance, 78e-2 AS confidence, 0e0 AS semantic FROM pairs),
+scored AS (SELECT request_id, source, path, body, relevance, semantic, freshness, confidence, importance, n_deps, {FLAGS} AS flags, freshness >= 75e-2 AS is_hot, {FINAL} AS final_score FROM imp)"""
+
+
+def retrieval_ctes(plain: bool) -> str:
+    return f"{FILES}, {DEPS}, {requests_cte(plain)}, {REQUEST_FEATURES}, {DOC_FEATURES}, {scored_cte()}"
+
+
+_RANK = "ORDER BY final_score DESC, is_hot DESC, n_deps DESC, source"
+ORACLE_SQL["candidate_ranking"] = f"""WITH {retrieval_ctes(False)},
+r AS (SELECT *, row_number() OVER (PARTITION BY request_id {_RANK}) AS rank FROM scored)
+SELECT request_id, source, {rnd('relevance', 6)} AS relevance, freshness, {rnd('importance')} AS importance, final_score, is_hot,
+  CAST(n_deps AS BIGINT) AS n_deps, CAST(flags AS BIGINT) AS flags, rank FROM r WHERE rank <= 20"""
+
+BEST = """
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, substr(trim(regexp_replace(lower(body), '\\s+', ' ', 'g')), 1, 420)
+  ORDER BY final_score DESC, source) AS dup FROM scored) WHERE dup = 1)"""
+
+ORACLE_SQL["candidate_dedup"] = f"""WITH {retrieval_ctes(False)}, {BEST}
+SELECT request_id, count(*) AS candidates, {rnd('CAST(sum(CAST(final_score AS DECIMAL(10,4))) AS DOUBLE)')} AS score_sum, min(source) AS first_source FROM best GROUP BY request_id"""
+
+_CLIP = r"regexp_replace(substr(body, 1, greatest(260, 3500 - w.used - 4)), '\s+$', '')"
+WALK = f"""
+ranked AS MATERIALIZED (SELECT *, length(body) AS size, row_number() OVER (PARTITION BY request_id {_RANK}) AS rn FROM best),
+walk AS (
+  SELECT request_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS kept FROM requests
+  UNION ALL
+  SELECT request_id, rn, used + coalesce(length(kept), 0), source, kept FROM (
+    SELECT r.request_id, r.rn, w.used, r.source,
+      CASE WHEN w.used >= 3500 THEN NULL WHEN r.size <= 3500 - w.used THEN r.body WHEN 3500 - w.used >= 260 THEN {_CLIP} || chr(10) || '...' END AS kept
+    FROM walk w JOIN ranked r ON r.request_id = w.request_id AND r.rn = w.rn + 1)),
+chosen AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY rn) AS rank, source, kept FROM walk WHERE kept IS NOT NULL),
+totals AS (SELECT request_id, count(*) AS selected_count, sum(length(kept)) AS used_chars FROM chosen GROUP BY request_id),
+pool AS (SELECT request_id, count(*) AS n FROM best GROUP BY request_id)"""
+
+ORACLE_SQL["context_pack"] = f"""WITH RECURSIVE {retrieval_ctes(True)}, {BEST}, {WALK}
+SELECT request_id, rank, source, CAST(length(kept) AS BIGINT) AS chars, sha256(kept) AS content_hash, CAST(selected_count AS BIGINT) AS selected_count,
+  CAST(n - selected_count AS BIGINT) AS dropped_count, CAST(used_chars AS BIGINT) AS used_chars
+FROM chosen JOIN totals USING (request_id) JOIN pool USING (request_id)"""
+
+ORACLE_SQL["risk_counts"] = f"""WITH RECURSIVE {retrieval_ctes(True)}, {BEST}, {WALK},
+s AS (SELECT request_id, count(c.source) AS selected, count(*) FILTER (freshness < 4e-1) AS stale, count(*) FILTER (is_hot) AS hot,
+  {rnd('CASE WHEN count(c.source) = 0 THEN 0e0 ELSE CAST(sum(CAST(final_score AS DECIMAL(10,4))) AS DOUBLE) / count(c.source) END')} AS avg_context_score
+  FROM requests q LEFT JOIN chosen c USING (request_id) LEFT JOIN best b USING (request_id, source) GROUP BY request_id),
+k AS (SELECT s.*, coalesce(n, 0) - selected AS dropped FROM s LEFT JOIN pool USING (request_id)),
+n AS (SELECT *, CASE WHEN selected = 0 THEN ['No relevant context selected; fallback to model-only reasoning may reduce quality.'] ELSE [] END
+  || CASE WHEN stale > 0 THEN [stale || ' selected contexts may be stale (low freshness score).'] ELSE [] END
+  || CASE WHEN dropped > 0 THEN ['Token budget dropped ' || dropped || ' context candidates.'] ELSE [] END AS risks FROM k),
+w AS (SELECT *, CASE WHEN selected < 2 THEN ['low_selected_context'] ELSE [] END || CASE WHEN selected = 0 THEN ['no_artifact_sources', 'no_relevant_context'] ELSE [] END
+  || CASE WHEN stale > 0 THEN ['stale_context_signal'] ELSE [] END || CASE WHEN dropped >= 10 AND selected <= 1 THEN ['high_drop_low_selection'] ELSE [] END AS reasons FROM n)
+SELECT request_id, coalesce(array_to_string(risks, '; '), '') AS risks, coalesce(array_to_string(reasons, '|'), '') AS reasons, len(reasons) > 0 AS weak, avg_context_score,
+  hot AS hot_context_count, selected AS context_count, dropped AS dropped_by_budget FROM w"""
+ORACLE_SQL["risk_counts"] = ORACLE_SQL["risk_counts"].replace(", selected AS context_count, dropped AS dropped_by_budget", "")
+
+ORACLE_SQL["fallback_context"] = f"""WITH {FILES}, {DEPS},
+requests AS (SELECT CAST(n_nationkey AS VARCHAR) AS request_id, ['mmo_workspace', 'unity_workspace'][n_nationkey % 2 + 1] AS workspace_id,
+  n_name || CASE n_nationkey % 3 WHEN 0 THEN ' doc_8.xml' WHEN 1 THEN ' onuse' ELSE '' END AS prompt FROM nation),
+{REQUEST_FEATURES}, {DOC_FEATURES},
+rt AS (SELECT * REPLACE ({terms_of("split_part(prompt, ' ', 1)")} AS terms) FROM rf),
+hit AS (SELECT DISTINCT request_id FROM rt, df WHERE len(list_filter(terms, lambda x: contains(hay, x))) / CAST(len(terms) AS DOUBLE) > 5e-2),
+idle AS (SELECT *, 0e0 AS relevance FROM rt, df WHERE request_id NOT IN (SELECT request_id FROM hit) AND ext IN ({quoted(rules.DOMAIN_EXTENSIONS)}) AND NOT d_in_low_signal AND NOT d_in_tools),
+imp AS (SELECT *, greatest(5e-2, least(1e0, 5e-1 + least(45e-2, n_deps * 4e-2) + {bonus_sql()})) AS importance, 78e-2 AS confidence, 0e0 AS semantic FROM idle),
+r AS (SELECT *, {FINAL} AS final_score, row_number() OVER (PARTITION BY request_id ORDER BY importance DESC, freshness DESC, n_deps DESC, source) AS rn FROM imp)
+SELECT request_id, source, {rnd('importance')} AS importance, freshness, CAST(n_deps AS BIGINT) AS n_deps, final_score FROM r WHERE rn <= 24"""
+
+ORACLE_SQL["hybrid_score"] = f"""WITH {retrieval_ctes(True).replace('scored AS (', 'scored0 AS (')},
+short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY relevance DESC, importance DESC, freshness DESC, source) AS place FROM scored0) WHERE place <= 40),
+v AS (SELECT s.request_id, s.source, {rnd('(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) + 1e0) / 2e0')} AS cosine
+  FROM short s JOIN df ON df.source = s.source JOIN embeddings d ON d.vec_id = df.doc_id JOIN embeddings q ON CAST(q.vec_id AS VARCHAR) = s.request_id),
+imp2 AS (SELECT s.* EXCLUDE (semantic, final_score), coalesce(cosine, 0e0) AS semantic FROM scored0 s LEFT JOIN v USING (request_id, source)),
+scored AS (SELECT *, {FINAL} AS final_score FROM imp2),
+r AS (SELECT *, row_number() OVER (PARTITION BY request_id {_RANK}) AS rank FROM scored)
+SELECT request_id, source, semantic, final_score, rank FROM r WHERE rank <= 10"""
+
+ORACLE_SQL["assist_shortlists"] = f"""WITH {retrieval_ctes(False)},
+r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY relevance DESC, importance DESC, freshness DESC, source) AS place, count(*) OVER (PARTITION BY request_id) AS n FROM scored)
+SELECT request_id, source, place FROM r WHERE place <= 20 AND n >= 8"""
+
+ORACLE_SQL["hinted_scores"] = f"""WITH {retrieval_ctes(True).replace('scored AS (', 'scored0 AS (')},
+h AS (SELECT s.* EXCLUDE (final_score), s.source = 'artifact:file:src/src1/doc_' || (CAST(request_id AS BIGINT) * 4 + 2) || '.py' AS listed,
+  CASE WHEN contains(lower(s.source || ' ' || s.body || ' ' || array_to_string(df.dependencies, ' ')), 'the') THEN 5e-1 ELSE 0e0 END AS share FROM scored0 s JOIN df USING (source)),
+imp3 AS (SELECT * REPLACE (greatest(relevance, CASE WHEN listed THEN 1e0 ELSE 0e0 END, share * 95e-2) AS relevance, CASE WHEN listed THEN 1e0 ELSE importance END AS importance,
+  CASE WHEN listed THEN 98e-2 ELSE confidence END AS confidence) FROM h),
+scored AS (SELECT *, {FINAL} AS final_score FROM imp3),
+r AS (SELECT *, row_number() OVER (PARTITION BY request_id {_RANK}) AS rank FROM scored)
+SELECT request_id, source, {rnd('relevance', 6)} AS relevance, final_score, rank FROM r WHERE rank <= 10"""
+
+# --- memory and knowledge ------------------------------------------------------------------------
+
+MEMORY = """
+memory AS (SELECT 'm' || conv_id || '-' || turn AS id, 'p' || conv_id % 5 AS project_id, 'u' || conv_id % 7 AS user_id,
+  CASE WHEN role = 'user' THEN 'episodic' ELSE 'project' END AS scope, text AS content, (40 + (conv_id * 7 + turn * 13) % 60) / 100e0 AS confidence, conv_id * 1000 + turn AS seq FROM conversations)"""
+COPIES = """
+memory_dup AS (SELECT * FROM memory UNION ALL SELECT id || '-c', project_id, user_id, scope, '  ' || replace(content, ' ', '  '), confidence, seq + 500 FROM memory WHERE seq % 3 = 0)"""
+
+ORACLE_SQL["memory_search"] = f"""WITH {MEMORY}, {CHAT},
+q AS (SELECT *, list_filter(string_split_regex(trim(regexp_replace(lower(prompt), '\\s+', ' ', 'g')), ' '), lambda w: length(w) >= 2)[1:6] AS words FROM chat),
+j AS (SELECT q.request_id, m.id, m.seq, row_number() OVER (PARTITION BY q.request_id ORDER BY m.seq DESC) AS rn FROM q JOIN memory m USING (project_id, user_id)
+  WHERE len(words) = 0 OR len(list_filter(words, lambda w: contains(lower(content), w))) > 0)
+SELECT request_id, id, seq FROM j WHERE rn <= 8"""
+
+DUPLICATES = """
+newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, user_id ORDER BY seq DESC) AS n FROM memory_dup) WHERE n <= 500),
+duplicates AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, user_id, trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) ORDER BY seq DESC) AS k FROM newest) WHERE k > 1)"""
+ORACLE_SQL["memory_compaction"] = f"""WITH {MEMORY}, {COPIES}, {DUPLICATES} SELECT id, project_id, user_id FROM duplicates"""
+ORACLE_SQL["memory_compacted"] = f"""WITH {MEMORY}, {COPIES}, {DUPLICATES}
+SELECT project_id, user_id, count(*) AS entries, min(id) AS first_id FROM memory_dup WHERE id NOT IN (SELECT id FROM duplicates) GROUP BY ALL"""
+ORACLE_SQL["memory_health"] = f"""WITH {MEMORY}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY seq DESC) AS n FROM memory)
+SELECT project_id, count(*) AS scanned_entries, count(*) FILTER (confidence < 45e-2) AS low_confidence_entries FROM r WHERE n <= 300 GROUP BY project_id"""
+ORACLE_SQL["memory_recent"] = f"""WITH {MEMORY} SELECT id, user_id, confidence FROM memory WHERE project_id = 'p1' ORDER BY seq DESC LIMIT 50"""
+
+ORACLE_SQL["auto_memories"] = f"""WITH {CHAT}
+SELECT 'auto-' || request_id AS id, project_id, user_id, 'episodic' AS scope,
+  sha256('TaskType: debugging' || chr(10) || 'Request: ' || substr(prompt, 1, 600) || chr(10) || 'Response: ' || substr(a.text, 1, 1200)) AS content_hash,
+  'task|debugging|auto' AS tags, {rnd('greatest(45e-2, least(90e-2, conv_id % 100 / 100e0 - 5e-2))')} AS confidence,
+  '{{"trace_id":"t' || request_id || '","selected_tier":"flash","provider":"remote"}}' AS provenance
+FROM chat c JOIN (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant') a USING (conv_id, turn)"""
+
+ORACLE_SQL["knowledge_search"] = f"""WITH {FILES}, {DEPS}, {requests_cte()},
+q AS (SELECT request_id, list_filter(string_split(trim(regexp_replace(lower(prompt), '\\s+', ' ', 'g')), ' '), lambda w: length(w) >= 2) AS words FROM requests),
+n AS (SELECT 'file:' || path AS node_id, lower(regexp_extract(path, '[^/]*$', 0) || ' ' || path || ' ' || content || ' ' || array_to_string(dependencies, ' ') || ' async') AS hay, doc_id % 50 / 50e0 AS confidence FROM corpus),
+s AS (SELECT request_id, node_id, len(list_filter(words, lambda w: contains(hay, w))) / CAST(len(words) AS DOUBLE) * (6e-1 + 4e-1 * confidence) AS score FROM q, n),
+r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, node_id) AS rank FROM s WHERE score > 0)
+SELECT request_id, node_id, {rnd('score', 6)} AS score, rank FROM r WHERE rank <= 5"""
+
+ORACLE_SQL["knowledge_scope"] = f"""WITH {requests_cte()},
+f AS (SELECT CAST(page_id % 40 AS VARCHAR) AS request_id, ['.artifacts/workspaces/mmo_workspace/p1/', '.artifacts/workspaces/plain/p2/', 'app/'][page_id % 3 + 1] || page_id AS source_path FROM pages)
+SELECT request_id, source_path FROM f JOIN requests USING (request_id)
+WHERE NOT starts_with(source_path, 'app/') AND starts_with(source_path, '.artifacts/workspaces/' || workspace_id || '/' || project_id || '/')"""
+
+# --- graph ------------------------------------------------------------------------------------------
+
+ORACLE_SQL["relationship_graph"] = f"""WITH {FILES}, {DEPS},
+d AS (SELECT path, unnest(dependencies) AS dep FROM corpus),
+e AS (SELECT 'file:' || path AS s, 'module:' || module AS t, 'related_to' AS relation FROM corpus
+  UNION ALL SELECT 'file:' || path, 'symbol:' || dep, CASE WHEN contains(lower(dep), 'event') OR contains(lower(dep), 'emit') THEN 'emits' ELSE 'uses' END FROM d),
+n AS (SELECT DISTINCT project, id FROM (SELECT c.project, unnest(['file:' || c.path, 'module:' || c.module]) AS id FROM corpus c
+  UNION ALL SELECT project, 'symbol:' || dep FROM (SELECT project, unnest(dependencies) AS dep FROM corpus)))
+SELECT relation AS what, count(*) AS n FROM e GROUP BY relation
+UNION ALL SELECT split_part(id, ':', 1), count(*) FROM n GROUP BY 1
+UNION ALL SELECT 'map', count(*) FROM d"""
+
+EDGES = """
+edges AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#:]+)', 1) AS source, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target,
+  CASE WHEN page_id % 2 = 0 THEN 'map' ELSE 'edge' END AS kind, CASE WHEN page_id % 3 = 0 THEN ' ' ELSE 'links' END AS relation FROM pages)"""
+ORACLE_SQL["normalized_links"] = f"""WITH {EDGES}
+SELECT CASE WHEN trim(relation) = '' THEN 'related_to' ELSE trim(relation) END AS relation, kind, count(*) AS edges FROM edges WHERE trim(source) <> '' AND trim(target) <> '' GROUP BY ALL"""
+
+SEEDS = f"""
+names AS (SELECT n_name FROM nation UNION ALL SELECT r_name FROM region),
+q AS (SELECT n_name AS request_id, {terms_of('substr(lower(n_name), 1, 3)')} AS terms FROM names),
+nodes AS (SELECT source AS node FROM edges UNION SELECT target FROM edges),
+hits AS (SELECT request_id, node FROM q, nodes WHERE len(list_filter(terms, lambda x: contains(lower(node), x))) > 0),
+seeded AS (SELECT h.request_id, unnest([e.source, e.target]) AS node FROM hits h JOIN edges e ON e.target = h.node OR (e.source = h.node AND e.kind = 'edge')
+  UNION SELECT h.request_id, h.node FROM hits h WHERE node IN (SELECT source FROM edges WHERE kind = 'map')),
+seeds AS (SELECT DISTINCT request_id, node FROM seeded UNION SELECT request_id, node FROM q, (SELECT DISTINCT source AS node FROM edges WHERE kind = 'map' ORDER BY 1 LIMIT 3) f
+  WHERE request_id NOT IN (SELECT request_id FROM seeded))"""
+ORACLE_SQL["graph_seeds"] = f"WITH {EDGES}, {SEEDS} SELECT request_id, node FROM seeds"
+
+EXPAND = """
+near AS (SELECT source AS node, target AS neighbour FROM edges UNION SELECT target, source FROM edges),
+sc AS (SELECT request_id, count(*) AS c FROM seeds GROUP BY request_id),
+v0 AS (SELECT request_id, node, 0 AS depth, row_number() OVER (PARTITION BY request_id ORDER BY node) AS place FROM seeds JOIN sc USING (request_id) WHERE c < 80),
+c1 AS (SELECT v.request_id, neighbour AS node, min(place) AS pp FROM v0 v JOIN near USING (node) WHERE (v.request_id, neighbour) NOT IN (SELECT request_id, node FROM v0) GROUP BY ALL),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pp, node) AS n FROM c1),
+v1 AS (SELECT r1.request_id, node, 1 AS depth, n + c AS place FROM r1 JOIN sc USING (request_id) WHERE n <= 80 - c),
+u1 AS (SELECT * FROM v0 UNION ALL SELECT * FROM v1),
+t1 AS (SELECT request_id, count(*) AS c FROM u1 GROUP BY request_id),
+c2 AS (SELECT v.request_id, neighbour AS node, min(place) AS pp FROM v1 v JOIN near USING (node) WHERE (v.request_id, neighbour) NOT IN (SELECT request_id, node FROM u1) GROUP BY ALL),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pp, node) AS n FROM c2),
+visited AS (SELECT request_id, node, depth FROM u1 UNION ALL SELECT r2.request_id, node, 2 FROM r2 JOIN t1 USING (request_id) WHERE n <= 80 - c
+  UNION ALL SELECT request_id, node, 0 FROM seeds JOIN sc USING (request_id) WHERE c >= 80)"""
+ORACLE_SQL["graph_expand"] = f"""WITH {EDGES}, {SEEDS}, {EXPAND}
+SELECT request_id, node, CAST(depth AS BIGINT) AS depth, CASE WHEN contains(node, '/') AND split_part(node, '/', 1) <> '' THEN split_part(node, '/', 1) END AS system, NOT contains(node, '/') AS is_dependency FROM visited"""
+ORACLE_SQL["visited_relations"] = f"""WITH {EDGES}, {SEEDS}, {EXPAND},
+t AS (SELECT DISTINCT v.request_id, e.* FROM visited v JOIN edges e ON e.source = v.node OR e.target = v.node WHERE e.kind = 'edge')
+SELECT request_id, CASE WHEN trim(relation) = '' THEN 'related_to' ELSE relation END AS relation, count(*) AS edges FROM t GROUP BY ALL"""
+
+# --- quality --------------------------------------------------------------------------------------------
+
+TRACES = """
+traces AS (SELECT event_id AS seq, 'p' || user_id % 5 AS project,
+  CASE WHEN event_type IN ('purchase', 'signup') THEN 'route' WHEN event_type = 'error' THEN 'feedback' ELSE 'retrieval' END AS kind,
+  event_id % 100 / 100e0 AS score, event_id % 7 AS contexts, event_id % 11 AS dropped, event_id * 37 % 3501 AS used, (50 + event_id % 50) / 100e0 AS confidence,
+  event_id % 9 = 0 AS fell_back, event_id % 4 = 0 AS stale, event_id % 4 AS deps, event_id % 3 <> 0 AS has_systems, event_id % 3 AS verdict, event_id % 8 AS bits,
+  value / 100000e0 AS cost, event_id % 200 AS pt, event_id % 300 AS ct, ts FROM events)"""
+
+
+def rate(kind: str, cond: str) -> str:
+    return rnd(f"coalesce(count(*) FILTER (kind = '{kind}' AND {cond}) / CAST(nullif(count(*) FILTER (kind = '{kind}'), 0) AS DOUBLE), 0e0)")
+
+
+KPI = f"""count(*) AS sample_size, count(*) FILTER (kind = 'retrieval') AS retrieval_samples, count(*) FILTER (kind = 'route') AS route_samples,
+  {rnd("coalesce(avg(score) FILTER (kind = 'retrieval'), 0e0)")} AS retrieval_precision,
+  {rate('route', 'confidence >= 82e-2 AND (score < 25e-2 OR contexts = 0)')} AS hallucination_rate,
+  {rate('retrieval', 'stale')} AS stale_context_rate, {rate('retrieval', '(deps = 0 OR has_systems)')} AS architectural_consistency,
+  {rnd("coalesce(avg(greatest(0e0, least(1e0, used / 3500e0 * (1e0 - dropped / CAST(greatest(1, dropped + contexts) AS DOUBLE))))) FILTER (kind = 'route'), 0e0)")} AS token_efficiency,
+  {rate('route', 'confidence >= 75e-2 AND NOT fell_back')} AS reasoning_success,
+  {rate('feedback', 'verdict = 0')} AS feedback_correct_rate, {rate('feedback', 'verdict = 1')} AS feedback_partial_rate, {rate('feedback', 'verdict = 2')} AS feedback_incorrect_rate,
+  {rate('feedback', 'bits >= 4')} AS feedback_hallucination_rate, {rate('feedback', 'bits % 4 >= 2')} AS feedback_xml_missing_rate,
+  {rate('feedback', 'bits % 2 = 1')} AS feedback_retrieval_incorrect_rate, 0e0 AS feedback_compression_bad_rate, 0e0 AS feedback_architectural_loss_rate,
+  {rnd("CAST(coalesce(sum(CAST(cost AS DECIMAL(28,12))) FILTER (kind = 'route'), 0) AS DOUBLE)", 6)} AS total_cost_usd,
+  CAST(coalesce(sum(pt) FILTER (kind = 'route'), 0) AS DOUBLE) AS prompt_tokens, CAST(coalesce(sum(ct) FILTER (kind = 'route'), 0) AS DOUBLE) AS completion_tokens,
+  CAST(coalesce(sum(pt + ct) FILTER (kind = 'route'), 0) AS DOUBLE) AS total_tokens"""
+NOTED = """SELECT *, coalesce(nullif(array_to_string(
+  CASE WHEN sample_size < 40 THEN ['Low sample size; evaluation confidence is limited.'] ELSE [] END
+  || CASE WHEN stale_context_rate >= 30e-2 THEN ['High stale-context rate detected.'] ELSE [] END
+  || CASE WHEN hallucination_rate >= 20e-2 THEN ['Potential hallucination pressure detected in high-confidence responses.'] ELSE [] END
+  || CASE WHEN token_efficiency <= 40e-2 THEN ['Low token efficiency; context compression and ranking should be tuned.'] ELSE [] END
+  || CASE WHEN feedback_incorrect_rate >= 25e-2 THEN ['User feedback indicates high incorrect-response rate.'] ELSE [] END
+  || CASE WHEN feedback_xml_missing_rate >= 20e-2 THEN ['Frequent XML-missing reports detected; XML ranking should be boosted.'] ELSE [] END
+  || CASE WHEN feedback_hallucination_rate >= 15e-2 THEN ['Frequent hallucination reports detected from daily usage feedback.'] ELSE [] END, ' '), ''),
+  'Evaluation completed without critical degradation signals.') AS notes,
+  CASE WHEN hallucination_rate >= 4e-1 OR stale_context_rate >= 6e-1 THEN 'critical' WHEN hallucination_rate >= 25e-2 OR stale_context_rate >= 35e-2 OR retrieval_precision <= 3e-1 THEN 'degraded' ELSE 'healthy' END AS gate FROM k"""
+ORACLE_SQL["eval_kpis"] = f"WITH {TRACES}, k AS (SELECT {KPI} FROM traces) {NOTED}"
+ORACLE_SQL["eval_by_project"] = f"""WITH {TRACES}, r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY seq DESC) AS n FROM traces),
+k AS (SELECT project, {KPI} FROM r WHERE n <= 300 GROUP BY project) {NOTED}"""
+
+_E = "event_id"
+FAILURES = """
+wide AS (SELECT count(*) FILTER (event_id % 3 = 0 AND event_id % 6 <> 0) AS xml_missing, count(*) FILTER (event_id % 15 <= 1 AND event_id % 12 >= 5) AS wrong_module,
+  0 AS wrong_generation, count(*) FILTER (event_id % 4 = 0) AS stale_summary, count(*) FILTER (event_id % 40 >= 25) AS dependency_noise,
+  count(*) FILTER (event_id % 12 = 0) AS graph_underexpansion, count(*) FILTER (event_id % 15 >= 12) AS graph_overexpansion,
+  count(*) FILTER (event_id * 17 % 3000 >= 1800 AND event_id % 12 <= 8) AS compression_loss, count(*) FILTER (event_id % 7 >= 4 AND event_id % 3 = 0) AS ranking_collision,
+  count(*) FILTER (event_id % 12 = 0) AS semantic_misdirection FROM events),
+failures AS (""" + " UNION ALL ".join(f"SELECT '{t}' AS failure_type, CAST({t} AS BIGINT) AS count FROM wide" for t in rules.FAILURE_TYPES) + ")"
+FEEDBACK = """
+feedback AS (SELECT doc_id AS seq, 'p' || doc_id % 5 AS project_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'correct' WHEN quality = 1 THEN 'partial' ELSE 'incorrect' END AS verdict,
+  CASE WHEN quality = 0 THEN ['hallucination'] ELSE [] END || CASE WHEN toxic = 1 THEN ['context_bad'] ELSE [] END || CASE WHEN doc_id % 5 = 0 THEN ['xml_missing'] ELSE [] END AS issues FROM labels)"""
+DIAGNOSIS = """
+diagnosis AS (SELECT f.failure_type, CAST(f.count + CASE f.failure_type WHEN 'xml_missing' THEN (SELECT count(*) FROM feedback WHERE list_contains(issues, 'xml_missing'))
+  WHEN 'semantic_misdirection' THEN (SELECT count(*) FROM feedback WHERE list_contains(issues, 'hallucination')) ELSE 0 END AS BIGINT) AS count FROM failures f)"""
+ORACLE_SQL["failure_taxonomy"] = f"WITH {FAILURES} SELECT failure_type, count FROM failures"
+ORACLE_SQL["diagnosis"] = f"WITH {FAILURES}, {FEEDBACK}, {DIAGNOSIS} SELECT failure_type, count FROM diagnosis"
+_ADVICE = " || ".join(
+    f"CASE WHEN (SELECT count FROM diagnosis WHERE failure_type = '{t}') > 0 THEN ['{a}'] ELSE [] END" for t, a in rules.RECOMMENDATIONS
+)
+ORACLE_SQL["recommendations"] = f"""WITH {FAILURES}, {FEEDBACK}, {DIAGNOSIS}, a AS (SELECT {_ADVICE} AS l)
+SELECT CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS ord, unnest(l) AS recommendation FROM a"""
+ORACLE_SQL["feedback_summary"] = f"""WITH {FEEDBACK}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY seq DESC) AS n FROM feedback)
+SELECT project_id, count(*) AS total, count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (verdict = 'incorrect') AS incorrect
+FROM r WHERE n <= 500 GROUP BY project_id"""
+ORACLE_SQL["top_issues"] = f"""WITH {FEEDBACK} SELECT issue, count(*) AS count FROM (SELECT unnest(issues) AS issue FROM (FROM feedback ORDER BY seq DESC LIMIT 500)) GROUP BY issue ORDER BY count DESC, issue LIMIT 8"""
+ORACLE_SQL["usage_summary"] = """SELECT count(*) AS total_queries, count(*) AS successful_queries, CAST(0 AS BIGINT) AS failed_queries,
+  count(*) FILTER (event_id % 3 = 0) AS xml_focused_queries, count(*) FILTER (event_id % 6 = 0) AS xml_focused_with_xml_selected, count(DISTINCT event_type) AS domain_count FROM events"""
+ORACLE_SQL["reflection"] = f"""WITH {MEMORY}, {COPIES}, {DUPLICATES}, {FILES}, {FILES_BEFORE}, {FAILURES}, {FEEDBACK}, {DIAGNOSIS},
+a AS (SELECT ({_ADVICE})[1:3] AS advice),
+c AS (SELECT (SELECT count(*) FROM (FROM memory_dup ORDER BY seq DESC LIMIT 300)) AS scanned, (SELECT count(*) FROM duplicates) AS removed,
+  (SELECT count(*) FROM (FROM memory_dup ORDER BY seq DESC LIMIT 300) WHERE confidence < 45e-2) AS low,
+  (SELECT count(*) FILTER (f.hash IS DISTINCT FROM b.hash) FROM (SELECT project, path, hash FROM files) f FULL JOIN (SELECT project, path, hash FROM files_before) b USING (project, path)) AS drift,
+  (SELECT count(*) FROM (FROM feedback ORDER BY seq DESC LIMIT 400)) AS total,
+  (SELECT string_agg(issue || ':' || n, ', ' ORDER BY n DESC, issue) FROM (SELECT issue, count(*) AS n FROM (SELECT unnest(issues) AS issue FROM (FROM feedback ORDER BY seq DESC LIMIT 400)) GROUP BY issue ORDER BY n DESC, issue LIMIT 4)) AS issues,
+  (SELECT string_agg(failure_type || ':' || count, ', ' ORDER BY count DESC, failure_type) FROM (FROM diagnosis WHERE count > 0 ORDER BY count DESC, failure_type LIMIT 4)) AS fails)
+SELECT scanned AS scanned_entries, removed AS duplicates_removed, low AS low_confidence_entries,
+  array_to_string(CASE WHEN removed > 0 THEN ['Removed ' || removed || ' duplicate memory entries.'] ELSE [] END
+   || CASE WHEN low > 0 THEN ['Found ' || low || ' low-confidence entries for review.'] ELSE [] END
+   || CASE WHEN drift > 0 THEN ['Detected ' || drift || ' potential stale knowledge nodes; run /v1/knowledge/sync.'] ELSE [] END
+   || CASE WHEN total > 0 THEN ['Analyzed ' || total || ' cognitive feedback entries.', 'Top feedback issues: ' || issues || '.'] ELSE [] END
+   || ['Calibration failures: ' || fails || '.'] || list_transform(advice, lambda x: 'Calibration recommendation: ' || x), chr(10)) AS notes
+FROM c, a"""
