@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import raise_group_limit
+from ..session import raise_group_limit, stage
 from .relevance import lexical_match
 
 MAP, EDGE = "map", "edge"  # an entry of the dependency map, or of the relationship list
@@ -120,18 +120,20 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_nodes: int =
 
     Breadth first: nodes in queue order, neighbours in name order.  A node can add at most
     ``max_nodes`` neighbours and at most that many are already visited, so the smallest
-    2 * max_nodes neighbours of a hub are all that can matter.  Seeds beyond the cap are
+    2 * max_nodes neighbours of a hub are all that can matter.  Every step is staged, since
+    the next one reads it several times.  Seeds beyond the cap are
     all kept and nothing is added to them.
     """
     raise_group_limit(edges.sparkSession, 2 * max_nodes)
-    near = _neighbours(edges, [], 2 * max_nodes)
+    near = stage(_neighbours(edges, [], 2 * max_nodes), "neighbours")
     # Requests at or over the cap keep their seeds and take no further part.
     order = W.partitionBy("request_id").orderBy("node")
-    seeds = seeds.select("request_id", "node").distinct()
+    seeds = stage(seeds.select("request_id", "node").distinct(), "seeds")
     counts = seeds.groupBy("request_id").agg(F.count("*").alias("seeds"))
     open_seeds = seeds.join(counts.filter(F.col("seeds") < max_nodes), "request_id")
-    visited = open_seeds.select(
-        "request_id", "node", F.lit(0).alias("depth"), F.row_number().over(order).alias("place")
+    visited = stage(
+        open_seeds.select("request_id", "node", F.lit(0).alias("depth"), F.row_number().over(order).alias("place")),
+        "frontier",
     )
     frontier = visited
     for step in range(1, depth + 1):
@@ -142,11 +144,12 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_nodes: int =
         )
         taken = visited.groupBy("request_id").agg(F.count("*").alias("taken"))
         queue = W.partitionBy("request_id").orderBy("parent_place", "node")
-        frontier = (
+        frontier = stage(
             fresh.withColumn("_n", F.row_number().over(queue)).filter(F.col("_n") <= max_nodes)
             .join(taken, "request_id")
             .filter(F.col("_n") <= max_nodes - F.col("taken"))
-            .select("request_id", "node", F.lit(step).alias("depth"), (F.col("_n") + F.col("taken")).cast("int").alias("place"))
+            .select("request_id", "node", F.lit(step).alias("depth"), (F.col("_n") + F.col("taken")).cast("int").alias("place")),
+            "frontier",
         )
         visited = visited.unionByName(frontier)
     full = seeds.join(counts.filter(F.col("seeds") >= max_nodes).select("request_id"), "request_id", "left_semi")

@@ -464,39 +464,6 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, su
 ORACLE_SQL["candidate_dedup"] = f"""WITH {retrieval_ctes(False)}, {BEST}
 SELECT request_id, count(*) AS candidates, {rnd('CAST(sum(CAST(final_score AS DECIMAL(10,4))) AS DOUBLE)')} AS score_sum, min(source) AS first_source FROM best GROUP BY request_id"""
 
-_CLIP = r"regexp_replace(substr(body, 1, greatest(260, 3500 - w.used - 4)), '\s+$', '')"
-WALK = f"""
-ranked AS MATERIALIZED (SELECT *, length(body) AS size, row_number() OVER (PARTITION BY request_id {_RANK}) AS rn FROM best),
-walk AS (
-  SELECT request_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS kept FROM requests
-  UNION ALL
-  SELECT request_id, rn, used + coalesce(length(kept), 0), source, kept FROM (
-    SELECT r.request_id, r.rn, w.used, r.source,
-      CASE WHEN w.used >= 3500 THEN NULL WHEN r.size <= 3500 - w.used THEN r.body WHEN 3500 - w.used >= 260 THEN {_CLIP} || chr(10) || '...' END AS kept
-    FROM walk w JOIN ranked r ON r.request_id = w.request_id AND r.rn = w.rn + 1)),
-chosen AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY rn) AS rank, source, kept FROM walk WHERE kept IS NOT NULL),
-totals AS (SELECT request_id, count(*) AS selected_count, sum(length(kept)) AS used_chars FROM chosen GROUP BY request_id),
-pool AS (SELECT request_id, count(*) AS n FROM best GROUP BY request_id)"""
-
-ORACLE_SQL["context_pack"] = f"""WITH RECURSIVE {retrieval_ctes(True)}, {BEST}, {WALK}
-SELECT request_id, rank, source, CAST(length(kept) AS BIGINT) AS chars, sha256(kept) AS content_hash, CAST(selected_count AS BIGINT) AS selected_count,
-  CAST(n - selected_count AS BIGINT) AS dropped_count, CAST(used_chars AS BIGINT) AS used_chars
-FROM chosen JOIN totals USING (request_id) JOIN pool USING (request_id)"""
-
-ORACLE_SQL["risk_counts"] = f"""WITH RECURSIVE {retrieval_ctes(True)}, {BEST}, {WALK},
-s AS (SELECT request_id, count(c.source) AS selected, count(*) FILTER (freshness < 4e-1) AS stale, count(*) FILTER (is_hot) AS hot,
-  {rnd('CASE WHEN count(c.source) = 0 THEN 0e0 ELSE CAST(sum(CAST(final_score AS DECIMAL(10,4))) AS DOUBLE) / count(c.source) END')} AS avg_context_score
-  FROM requests q LEFT JOIN chosen c USING (request_id) LEFT JOIN best b USING (request_id, source) GROUP BY request_id),
-k AS (SELECT s.*, coalesce(n, 0) - selected AS dropped FROM s LEFT JOIN pool USING (request_id)),
-n AS (SELECT *, CASE WHEN selected = 0 THEN ['No relevant context selected; fallback to model-only reasoning may reduce quality.'] ELSE [] END
-  || CASE WHEN stale > 0 THEN [stale || ' selected contexts may be stale (low freshness score).'] ELSE [] END
-  || CASE WHEN dropped > 0 THEN ['Token budget dropped ' || dropped || ' context candidates.'] ELSE [] END AS risks FROM k),
-w AS (SELECT *, CASE WHEN selected < 2 THEN ['low_selected_context'] ELSE [] END || CASE WHEN selected = 0 THEN ['no_artifact_sources', 'no_relevant_context'] ELSE [] END
-  || CASE WHEN stale > 0 THEN ['stale_context_signal'] ELSE [] END || CASE WHEN dropped >= 10 AND selected <= 1 THEN ['high_drop_low_selection'] ELSE [] END AS reasons FROM n)
-SELECT request_id, coalesce(array_to_string(risks, '; '), '') AS risks, coalesce(array_to_string(reasons, '|'), '') AS reasons, len(reasons) > 0 AS weak, avg_context_score,
-  hot AS hot_context_count, selected AS context_count, dropped AS dropped_by_budget FROM w"""
-ORACLE_SQL["risk_counts"] = ORACLE_SQL["risk_counts"].replace(", selected AS context_count, dropped AS dropped_by_budget", "")
-
 ORACLE_SQL["fallback_context"] = f"""WITH {FILES}, {DEPS},
 requests AS (SELECT CAST(n_nationkey AS VARCHAR) AS request_id, ['mmo_workspace', 'unity_workspace'][n_nationkey % 2 + 1] AS workspace_id,
   n_name || CASE n_nationkey % 3 WHEN 0 THEN ' doc_8.xml' WHEN 1 THEN ' onuse' ELSE '' END AS prompt FROM nation),
