@@ -650,3 +650,240 @@ def reflection(spark, sf):
         memories, memory.duplicate_memories(memories), diff.drift_count(*_node_tables(spark, sf), "project"), ad.feedback(spark, sf), found
     )
     return report.select("scanned_entries", "duplicates_removed", "low_confidence_entries", joined("notes", chr(10)).alias("notes"))
+
+
+# --- routing -------------------------------------------------------------------------------------------------------
+
+
+def _route_requests(spark, sf):
+    """User turns with what routing looks at; assistant turns of a conversation are its snippets."""
+    t = F.col("turn")
+    requests = ad.chat_requests(spark, sf).withColumns(
+        {
+            "tier_hint": F.when(F.col("conv_id") % 17 == 0, "max"),
+            "has_retrieval": F.col("conv_id") % 2 == 0,
+            "intent": F.element_at(F.array(*map(F.lit, ("refactor", "debug", "testing", "architecture"))), (F.col("conv_id") % 4 + 1).cast("int")),
+            "n_dependencies": F.length("prompt") % 11, "n_risks": t % 3, "n_contexts": F.length("prompt") % 20,
+        }
+    )
+    answers = ad.turns(spark, sf).filter("role = 'assistant'").select("conv_id", F.col("text").alias("content"))
+    snippets = requests.select("request_id", "conv_id").join(answers, "conv_id").select("request_id", "content")
+    return requests, snippets
+
+
+@query
+def route_tiers(spark, sf):
+    """Q17, Q18: starting tier and reason of every user turn."""
+    requests, snippets = _route_requests(spark, sf)
+    return route.start_tiers(route.request_tokens(requests, snippets)).select(
+        "request_id", "start_tier", "start_reason", F.round(routing.complexity(F.col("prompt")), 4).alias("complexity")
+    )
+
+
+@query
+def route_cost(spark, sf):
+    """Estimated cost of every user turn at every tier."""
+    requests, snippets = _route_requests(spark, sf)
+    return route.estimate_cost(requests, snippets, route.tier_table(spark)).select(
+        "request_id", "tier", big("tokens").alias("tokens"), "estimated_cost_usd"
+    )
+
+
+@query
+def served_tiers(spark, sf):
+    """Q21: tier that serves every user turn, given logged confidences."""
+    requests, snippets = _route_requests(spark, sf)
+    costs = route.estimate_cost(requests, snippets, route.tier_table(spark))
+    starts = route.start_tiers(route.request_tokens(requests, snippets))
+    # One logged response per turn and tier, some tiers unavailable.
+    confidence = F.col("tier_rank") * F.lit(0.05) + (F.col("conv_id") % 30 + F.lit(60)) / F.lit(100.0)
+    responses = costs.filter((F.col("conv_id") + F.col("tier_rank")) % 5 != 0).select(
+        "request_id", "tier", F.round(confidence, 4).alias("confidence")
+    )
+    return route.served_tier(starts, costs, responses, budget=0.013).select(
+        "request_id", "selected_tier", big("escalation_depth").alias("escalation_depth"), "estimated_cost_usd", "is_fallback"
+    )
+
+
+@query
+def prompt_routing(spark, sf):
+    """Q19, Q22-Q24: role, response cost, draft confidence and task prompt per user turn."""
+    conv, t = F.col("conv_id"), F.col("turn")
+    model = F.element_at(F.array(*map(F.lit, ("qwen-max-latest", "Qwen-Flash", "other"))), (conv % 3 + 1).cast("int"))
+    task = F.element_at(F.array(*map(F.lit, ("chat", "debugging", "planning", "unknown"))), (conv % 4 + 1).cast("int"))
+    explicit = F.when(conv % 5 == 0, " Coding ").when(conv % 5 == 1, "nonsense")
+    return ad.chat_requests(spark, sf).select(
+        "request_id",
+        routing.model_role(explicit, conv % 7 == 0, task, F.lit("debug")).alias("role"),
+        routing.response_cost(model, F.length("prompt") * 2, t * 100 + 50).alias("cost"),
+        F.round(routing.draft_confidence(F.col("prompt")), 4).alias("draft_confidence"),
+        F.sha2(routing.task_prompt(task, F.col("prompt")), 256).alias("task_prompt_hash"),
+    )
+
+
+@query
+def parsed_answers(spark, sf):
+    """Q26: edit steps read out of free model answers."""
+    body = F.concat(
+        F.lit('{"actions":[{"target":"./docs/c'), F.col("conv_id").cast("string"), F.lit('.md","type":"PATCH_file","risk":"Low","intent":"tidy"},{"target":"a'),
+        F.col("turn").cast("string"), F.lit('.py","risk":"odd"},{"target":" "}]}'),
+    )
+    kind = F.col("conv_id") % 4
+    answers = ad.turns(spark, sf).select(
+        "conv_id", "turn",
+        F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("Here you go: "), body, F.lit(" done")))
+        .when(kind == 2, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.col("text")).alias("answer"),
+    )
+    return route.parse_answers(answers).select("conv_id", "turn", big("ord").alias("ord"), "type", "target", "intent", "risk", "rationale")
+
+
+# --- bulk edits --------------------------------------------------------------------------------------------------------
+
+
+def _patch(find: str, replace: str, replace_all: bool, use_regex: Column | bool = False) -> Column:
+    return F.struct(
+        F.lit(find).alias("find"), F.lit(replace).alias("replace"), F.lit(replace_all).alias("replace_all"),
+        (use_regex if isinstance(use_regex, Column) else F.lit(use_regex)).alias("use_regex"),
+    )
+
+
+def _edit_plan(spark, sf):
+    """One edit per document: literal patches, other operations by document number."""
+    doc = F.col("doc_id")
+    patches = F.array(_patch("the", "THE", True), _patch("an", "<AN>", False))
+    kind = F.when(doc % 19 == 0, "delete_file").when(doc % 23 == 0, "create_file").otherwise("patch_file")
+    target = F.when(doc % 29 == 0, F.concat(F.lit("../"), "path")).when(doc % 31 == 0, F.concat("path", F.lit(".gone"))).otherwise(F.concat(F.lit("./"), "path"))
+    return ad.files(spark, sf).select(
+        F.concat(F.lit("plan"), (doc % 50).cast("string")).alias("plan_id"), F.concat(F.lit("s"), doc.cast("string")).alias("step_id"), doc.alias("ord"),
+        kind.alias("type"), target.alias("target"), F.lit("tidy up").alias("intent"), edits.classify_risk(kind, target).alias("risk"),
+        F.lit(None).cast("string").alias("content"), F.when(kind == "patch_file", patches).alias("patches"),
+    )
+
+
+def _edit_docs(spark, sf):
+    return ad.files(spark, sf).select(F.col("path").alias("doc_path"), "content", F.octet_length("content").alias("size"))
+
+
+def _validated(spark, sf):
+    return edits.validate_edits(
+        _edit_plan(spark, sf), _edit_docs(spark, sf), blocked_prefixes=("src/src3", "/docs/src4/"), allow_high_risk=True, allow_delete=True, max_bytes=20_000
+    )
+
+
+@query
+def edit_classes(spark, sf):
+    """Type, targets and rate of prompts that name pages and numbers."""
+    rows = read_table(spark, sf, "benchmark").join(
+        read_table(spark, sf, "pages").withColumnRenamed("page_id", "item_id").select("item_id", "url"), "item_id"
+    )
+    verb = F.element_at(F.array(*map(F.lit, ("remove", "update", "create new file", "raise rate to 1.5 in", "add +2 in"))), (F.col("item_id") % 5 + 1).cast("int"))
+    prompts = rows.select(F.col("item_id").alias("request_id"), F.concat_ws(" ", verb, F.lit("./app/main.py, src/a.lua and src/a.lua"), "url").alias("prompt"))
+    targets = edits.edit_targets(prompts).groupBy("request_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "target"))), lambda t: t["target"]), "|").alias("targets")
+    )
+    return prompts.join(targets, "request_id").select(
+        "request_id", edits.classify_type(F.col("prompt")).alias("type"), "targets", edits.is_increment(F.col("prompt")).alias("increment"),
+        edits.classify_risk(F.lit("patch_file"), F.lit("app/main.py")).alias("risk"),
+    )
+
+
+@query
+def edit_validation(spark, sf):
+    """Validation issues of one edit per document."""
+    return edits.validation_issues(_validated(spark, sf))
+
+
+@query
+def bulk_edit(spark, sf):
+    """Outcome and digest of one edit per document."""
+    done = edits.apply_edits(_validated(spark, sf), _edit_docs(spark, sf))
+    return done.select("step_id", "status", "message", F.when(F.col("status") == "applied", F.sha2("after", 256)).alias("after_hash"))
+
+
+@query
+def edit_reports(spark, sf):
+    """Counts per plan, and the execution decision."""
+    done = edits.edit_report(edits.apply_edits(_validated(spark, sf), _edit_docs(spark, sf)))
+    return done.join(edits.decide(_edit_plan(spark, sf), allow_high_risk=True), "plan_id")
+
+
+@query
+def edit_rollback(spark, sf):
+    """Documents after undoing the applied edits, which equal the originals."""
+    docs = _edit_docs(spark, sf)
+    audit = edits.edit_audit(edits.apply_edits(_validated(spark, sf), docs))
+    changed = edits.edited_documents(docs, audit)
+    restored = edits.rollback_edits(changed, audit)
+    return restored.select("doc_path", F.sha2("content", 256).alias("content_hash"))
+
+
+@query
+def patch_dry_run(spark, sf):
+    """Whether any patch, literal or regular expression, would match."""
+    plan = _edit_plan(spark, sf).filter("type = 'patch_file'").withColumn(
+        "patches", F.array(_patch("onre", "", False, F.col("ord") % 2 == 0))
+    )
+    return edits.patches_match(plan, _edit_docs(spark, sf)).select("step_id", "matches")
+
+
+@query
+def duplicate_plans(spark, sf):
+    """User turns as plan iterations, repeated when the first word repeats."""
+    t = F.col("turn")
+    steps = F.array(F.struct(F.lit("patch_file").alias("type"), F.substring_index("prompt", " ", 1).alias("target"), F.lit("x").alias("intent")))
+    plans = ad.chat_requests(spark, sf).select((F.col("conv_id") % 10).alias("run_id"), (F.col("conv_id") * 100 + t).alias("iteration"), steps.alias("steps"))
+    return edits.duplicate_plans(plans).select("run_id", "iteration", "signature", "is_duplicate")
+
+
+# --- state and streams ---------------------------------------------------------------------------------------------------
+
+
+def _gate_events(spark, sf):
+    return read_table(spark, sf, "events").select(
+        F.concat(F.lit("w"), (F.col("user_id") % 4).cast("string")).alias("workspace_id"), F.col("event_id").alias("seq"),
+        F.col("ts").alias("at"), (F.col("event_type") != "view").alias("weak"),
+    )
+
+
+@query
+def cooldown_triggers(spark, sf):
+    """Which weak-context events fire a rebuild, at most one per 600 s and workspace."""
+    from ..streaming.cooldown import cooldown_trigger
+
+    return cooldown_trigger(_gate_events(spark, sf), 600).select("workspace_id", "seq", "weak", "fired", "reason")
+
+
+@query
+def kpi_stream(spark, sf):
+    """Traces written as JSON lines, streamed into daily KPIs, read back."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources.sinks import write_traces
+    from ..streaming.traces import stream_kpis, stream_traces
+
+    base = f"{shared_dir(spark)}/kpi-stream-{uuid.uuid4().hex}"
+    write_traces(ad.traces(spark, sf).drop("seq"), f"{base}/traces")
+    job = (
+        stream_kpis(stream_traces(spark, f"{base}/traces")).writeStream.outputMode("append").format("parquet")
+        .option("path", f"{base}/kpis").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    )
+    job.awaitTermination()
+    closed = spark.read.parquet(f"{base}/kpis")
+    return closed.select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "sample_size", "retrieval_precision", "hallucination_rate", "feedback_incorrect_rate"
+    )
+
+
+@query
+def embedding_cache(spark, sf):
+    """Prompts and documents embedded once each, known texts from the cache."""
+    docs = spread_small(read_table(spark, sf, "documents")).select(F.col("text").alias("content"))
+    embed = embeddings.hashing_embedder(16)
+    known = embeddings.embed_texts(
+        embeddings.cache_misses(docs.filter(F.length("content") < 1000), spark.createDataFrame([], "cache_key string, embedding array<float>"), "hashing"), embed, "hashing"
+    )
+    found, fresh = embeddings.embed_with_cache(docs, known, embed)
+    return found.select(F.size("embedding").alias("dims").cast("long"), "cache_key").join(
+        fresh.select("cache_key", F.lit(True).alias("is_new")), "cache_key", "left"
+    ).groupBy("dims", F.coalesce("is_new", F.lit(False)).alias("is_new")).agg(F.count("*").alias("texts"))

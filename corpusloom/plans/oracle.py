@@ -670,3 +670,80 @@ SELECT scanned AS scanned_entries, removed AS duplicates_removed, low AS low_con
    || CASE WHEN total > 0 THEN ['Analyzed ' || total || ' cognitive feedback entries.', 'Top feedback issues: ' || issues || '.'] ELSE [] END
    || ['Calibration failures: ' || fails || '.'] || list_transform(advice, lambda x: 'Calibration recommendation: ' || x), chr(10)) AS notes
 FROM c, a"""
+
+# --- routing -------------------------------------------------------------------------------------
+
+_WORDS = "len(string_split(trim(regexp_replace({c}, '\\s+', ' ', 'g')), ' '))"
+ROUTE = f"""
+rq AS (SELECT *, CASE WHEN conv_id % 17 = 0 THEN 'max' END AS tier_hint, conv_id % 2 = 0 AS has_retrieval, ['refactor', 'debug', 'testing', 'architecture'][conv_id % 4 + 1] AS intent,
+  length(prompt) % 11 AS n_dependencies, turn % 3 AS n_risks, length(prompt) % 20 AS n_contexts FROM chat),
+sn AS (SELECT request_id, count(*) AS n_snippets, sum({_WORDS.format(c='text')}) AS w FROM chat JOIN (SELECT conv_id, text FROM conversations WHERE role = 'assistant') USING (conv_id) GROUP BY request_id),
+rt AS (SELECT rq.*, coalesce(n_snippets, 0) AS n_snippets, {_WORDS.format(c='prompt')} + coalesce(w, 0) AS tokens,
+  least(1e0, 1e-1 + CASE WHEN length(prompt) > 800 THEN 5e-1 WHEN length(prompt) > 450 THEN 35e-2 WHEN length(prompt) > 220 THEN 2e-1 ELSE 0e0 END + least(45e-2, {count_of('lower(prompt)', rules.COMPLEXITY_MARKERS)} * 12e-2)) AS complexity
+  FROM rq LEFT JOIN sn USING (request_id)),
+st AS (SELECT *, CASE WHEN tier_hint IS NOT NULL THEN tier_hint || '~explicit tier hint' WHEN has_retrieval AND intent = 'architecture' THEN 'plus~intent architecture'
+  WHEN has_retrieval AND intent = 'refactor' AND n_dependencies >= 8 THEN 'plus~high dependency refactor' WHEN has_retrieval AND intent = 'refactor' AND n_dependencies >= 3 THEN 'flash~moderate dependency refactor'
+  WHEN has_retrieval AND intent = 'debug' AND n_risks > 0 THEN 'plus~debug with contextual risks' WHEN has_retrieval AND n_contexts >= 14 THEN 'plus~large context packet'
+  WHEN complexity >= 8e-1 THEN 'plus~high prompt complexity' WHEN complexity >= 45e-2 THEN 'flash~moderate prompt complexity' WHEN n_snippets >= 6 THEN 'flash~rich local context'
+  ELSE 'local~low complexity local-first' END AS d FROM rt),
+tiers(tier_rank, tier, cost_floor, target, input_rate, output_rate) AS (VALUES {', '.join(f"({r}, '{t}', {c}e0, {g}e0, {i}e0, {o}e0)" for r, t, c, g, i, o in rules.TIERS)}),
+costs AS (SELECT request_id, conv_id, tier, tier_rank, target, tokens, {rnd('greatest(cost_floor, tokens / 1000e0 * input_rate + greatest(120, floor(tokens * 75e-2)) / 1000e0 * output_rate)', 6)} AS estimated_cost_usd FROM rt, tiers)"""
+ORACLE_SQL["route_tiers"] = f"WITH {CHAT}, {ROUTE} SELECT request_id, split_part(d, '~', 1) AS start_tier, split_part(d, '~', 2) AS start_reason, {rnd('complexity')} AS complexity FROM st"
+ORACLE_SQL["route_cost"] = f"WITH {CHAT}, {ROUTE} SELECT request_id, tier, CAST(tokens AS BIGINT) AS tokens, estimated_cost_usd FROM costs"
+ORACLE_SQL["served_tiers"] = f"""WITH {CHAT}, {ROUTE},
+s AS (SELECT c.*, c.tier_rank - t0.tier_rank AS step, least(3, 3 - t0.tier_rank) AS last,
+  CASE WHEN (c.conv_id + c.tier_rank) % 5 <> 0 THEN {rnd('c.tier_rank * 5e-2 + (c.conv_id % 30 + 60) / 100e0')} END AS confidence
+  FROM costs c JOIN st USING (request_id) JOIN tiers t0 ON t0.tier = split_part(d, '~', 1) WHERE c.tier_rank >= t0.tier_rank),
+w AS (SELECT *, max(CAST(tier <> 'local' AND estimated_cost_usd > 13e-3 AS INT)) OVER (PARTITION BY request_id ORDER BY step) AS stopped FROM s),
+b AS (SELECT request_id, min(step) FILTER (stopped = 0 AND confidence IS NOT NULL AND (step >= last OR confidence >= target)) AS best, max(last) AS last FROM w GROUP BY request_id)
+SELECT b.request_id, coalesce(w.tier, 'local') AS selected_tier, CAST(coalesce(best, b.last) AS BIGINT) AS escalation_depth, coalesce(w.estimated_cost_usd, 0e0) AS estimated_cost_usd, best IS NULL AS is_fallback
+FROM b LEFT JOIN w ON w.request_id = b.request_id AND w.step = best"""
+_TASK = "['chat', 'debugging', 'planning', 'unknown'][conv_id % 4 + 1]"
+ORACLE_SQL["prompt_routing"] = f"""WITH {CHAT}, t AS (SELECT *, {_TASK} AS task,
+  CASE conv_id % 3 WHEN 0 THEN 35e-4 WHEN 1 THEN 4e-4 ELSE 1e-3 END AS ir, CASE conv_id % 3 WHEN 0 THEN 7e-3 WHEN 1 THEN 8e-4 ELSE 2e-3 END AS orate FROM chat)
+SELECT request_id, CASE WHEN conv_id % 5 = 0 THEN 'coding' WHEN conv_id % 7 = 0 THEN 'verifier' WHEN task = 'planning' THEN 'planning' ELSE 'coding' END AS role,
+  {rnd('length(prompt) * 2 / 1000e0 * ir + (turn * 100 + 50) / 1000e0 * orate', 6)} AS cost,
+  {rnd("greatest(25e-2, least(95e-2, 9e-1 - CASE WHEN length(prompt) > 280 THEN 15e-2 ELSE 0e0 END - CASE WHEN " + any_of('lower(prompt)', rules.DRAFT_MARKERS) + " THEN 2e-1 ELSE 0e0 END - CASE WHEN length(prompt) - length(replace(prompt, '?', '')) > 1 THEN 5e-2 ELSE 0e0 END))")} AS draft_confidence,
+  sha256(CASE WHEN task = 'chat' THEN prompt ELSE 'TaskType: ' || task || chr(10) || 'Directive: ' || CASE task WHEN 'debugging' THEN '{rules.TASK_DIRECTIVES['debugging']}'
+    WHEN 'planning' THEN '{rules.TASK_DIRECTIVES['planning']}' ELSE '{rules.TASK_DIRECTIVES['chat']}' END || chr(10) || chr(10) || 'UserRequest:' || chr(10) || prompt END) AS task_prompt_hash FROM t"""
+ORACLE_SQL["parsed_answers"] = """
+SELECT conv_id, turn, CAST(0 AS BIGINT) AS ord, 'patch_file' AS type, 'docs/c' || conv_id || '.md' AS target, 'tidy' AS intent, 'low' AS risk, 'model-assisted planning' AS rationale FROM conversations WHERE conv_id % 4 <> 3
+UNION ALL SELECT conv_id, turn, 1, 'update_file', 'a' || turn || '.py', '', 'medium', 'model-assisted planning' FROM conversations WHERE conv_id % 4 <> 3"""
+
+# --- bulk edits --------------------------------------------------------------------------------------
+
+EDITS = f"""
+plan AS (SELECT *, 'plan' || doc_id % 50 AS plan_id, 's' || doc_id AS step_id, CASE WHEN doc_id % 19 = 0 THEN 'delete_file' WHEN doc_id % 23 = 0 THEN 'create_file' ELSE 'patch_file' END AS type,
+  CASE WHEN doc_id % 29 = 0 THEN '' WHEN doc_id % 31 = 0 THEN path || '.gone' ELSE path END AS target, doc_id % 29 <> 0 AS valid, doc_id % 31 <> 0 AND doc_id % 29 <> 0 AS present FROM files),
+checks AS (SELECT *, (CASE WHEN NOT valid THEN ['error~invalid_target~Target path is invalid, absolute, or escapes workspace root.'] ELSE [] END
+  || CASE WHEN valid AND (starts_with(target, 'src/src3/') OR starts_with(target, 'docs/src4/')) THEN ['error~blocked_target~Target path ' || target || ' is blocked by safety policy.'] ELSE [] END
+  || CASE WHEN valid AND type = 'patch_file' AND NOT present THEN ['error~target_missing~Update/Patch target file does not exist.'] ELSE [] END
+  || CASE WHEN valid AND present AND type = 'patch_file' AND strlen(content) > 20000 THEN ['error~file_too_large~Target exceeds max_file_bytes=20000.'] ELSE [] END
+  || CASE WHEN valid AND type = 'create_file' THEN ['warning~empty_create_content~Create action has no content and will use generated placeholder.'] ELSE [] END
+  || CASE WHEN valid AND type = 'delete_file' AND NOT present THEN ['warning~delete_target_missing~Delete target file does not exist.'] ELSE [] END) AS issues FROM plan),
+patched AS (SELECT *, len(list_filter(issues, lambda i: starts_with(i, 'error'))) > 0 AS blocked, replace(content, 'the', 'THE') AS body1 FROM checks),
+outcome AS (SELECT *, CASE WHEN contains(body1, 'an') THEN substr(body1, 1, instr(body1, 'an') - 1) || '<AN>' || substr(body1, instr(body1, 'an') + 2) ELSE body1 END AS body2 FROM patched),
+results AS (SELECT *, CASE WHEN blocked THEN 'skipped~Blocked by validation policy.' WHEN type = 'create_file' AND present THEN 'skipped~Target already exists.' WHEN type = 'create_file' THEN 'applied~File created.'
+  WHEN type = 'delete_file' AND NOT present THEN 'skipped~File already missing.' WHEN type = 'delete_file' THEN 'applied~File deleted.'
+  WHEN body2 = content THEN 'failed~Execution failed: Patch patterns did not match file contents.' WHEN strlen(body2) > 20000 THEN 'failed~Execution failed: content exceeds max_file_bytes=20000' ELSE 'applied~File updated.' END AS o FROM outcome)"""
+ORACLE_SQL["edit_validation"] = f"""WITH {FILES}, {EDITS}, i AS (SELECT plan_id, step_id, unnest(issues) AS x FROM checks)
+SELECT plan_id, step_id, split_part(x, '~', 1) AS severity, split_part(x, '~', 2) AS code, split_part(x, '~', 3) AS message FROM i"""
+ORACLE_SQL["bulk_edit"] = f"""WITH {FILES}, {EDITS}
+SELECT step_id, split_part(o, '~', 1) AS status, split_part(o, '~', 2) AS message,
+  CASE WHEN starts_with(o, 'applied') AND type = 'patch_file' THEN sha256(body2) WHEN starts_with(o, 'applied') AND type = 'create_file' THEN sha256('# Auto-generated' || chr(10) || '# Intent: tidy up' || chr(10)) END AS after_hash FROM results"""
+ORACLE_SQL["edit_reports"] = f"""WITH {FILES}, {EDITS},
+d AS (SELECT plan_id, max(CASE WHEN type = 'delete_file' THEN 4 WHEN ends_with(path, '.md') AND doc_id % 31 <> 0 THEN 1 ELSE 2 END) AS level FROM plan GROUP BY plan_id)
+SELECT plan_id, count(*) FILTER (starts_with(o, 'applied')) AS applied, count(*) FILTER (starts_with(o, 'skipped')) AS skipped, count(*) FILTER (starts_with(o, 'failed')) AS failed,
+  CASE level WHEN 4 THEN 'blocked' WHEN 2 THEN 'requires_approval' ELSE 'auto_execute' END AS state, CASE level WHEN 4 THEN 'critical' WHEN 2 THEN 'medium' ELSE 'low' END AS highest_risk, level = 1 AS execute_now,
+  CASE level WHEN 4 THEN 'Critical-risk plan blocked by policy.' WHEN 2 THEN 'Medium-risk actions require approval by current policy.' ELSE 'Autopilot policy authorized execution for current risk profile.' END AS reason
+FROM results JOIN d USING (plan_id) GROUP BY plan_id, level"""
+ORACLE_SQL["edit_rollback"] = f"WITH {FILES} SELECT path AS doc_path, sha256(content) AS content_hash FROM files"
+ORACLE_SQL["patch_dry_run"] = f"WITH {FILES}, {EDITS} SELECT step_id, present AND contains(content, 'onre') AS matches FROM plan WHERE type = 'patch_file'"
+ORACLE_SQL["duplicate_plans"] = f"""WITH {CHAT}, p AS (SELECT conv_id % 10 AS run_id, conv_id * 100 + turn AS iteration, 'patch_file:' || split_part(prompt, ' ', 1) || ':x' AS signature FROM chat)
+SELECT run_id, iteration, signature, iteration > min(iteration) OVER (PARTITION BY run_id, signature) AS is_duplicate FROM p"""
+
+# --- streams ----------------------------------------------------------------------------------------------
+
+ORACLE_SQL["kpi_stream"] = f"""WITH {TRACES}, last AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events),
+k AS (SELECT date_trunc('day', ts) AS d, {KPI} FROM traces GROUP BY 1)
+SELECT strftime(d, '%Y-%m-%d') AS day, sample_size, retrieval_precision, hallucination_rate, feedback_incorrect_rate FROM k, last WHERE d + INTERVAL 1 DAY <= mark"""

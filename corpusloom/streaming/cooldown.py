@@ -27,7 +27,7 @@ def _jumps(times: pd.Series, cooldown: int) -> list[int]:
     return values.searchsorted(values + cooldown, side="left").tolist()
 
 
-def cooldown_trigger(events: DataFrame, seconds: int = 120, bucket_seconds: int = 3600) -> DataFrame:
+def cooldown_trigger(events: DataFrame, seconds: int = 120, bucket_seconds: int = 21600) -> DataFrame:
     """Events (workspace_id, seq, at, weak) with ``fired`` and ``reason``.
 
     Firing depends on the last firing, but only through the time the cooldown ends, so a
