@@ -48,9 +48,15 @@ def line_count(text: Column) -> Column:
 
 
 def contains_any(text: Column, needles: Iterable[str]) -> Column:
-    """True when any of a fixed list of strings occurs in ``text``."""
+    """True when any of a fixed list of strings occurs in ``text``.
+
+    A longer list becomes one alternation, which keeps generated code small.
+    """
+    wanted = list(needles)
+    if len(wanted) > 4:
+        return text.rlike("|".join(rf"\Q{needle}\E" for needle in wanted))
     hit = F.lit(False)
-    for needle in needles:
+    for needle in wanted:
         hit = hit | text.contains(needle)
     return hit
 

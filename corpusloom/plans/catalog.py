@@ -351,7 +351,7 @@ def context_packets(spark, sf):
     items = selected_rows(run.packets)
     systems = packet.sanitize_systems(packet.systems_from_sources(items), "request_id")
     docs = ad.corpus(spark, sf).withColumn("source", F.concat(F.lit("artifact:file:"), "path"))
-    deps = packet.sanitize_dependencies(packet.candidate_dependencies(run.scored, docs), "request_id")
+    deps = packet.sanitize_dependencies(packet.candidate_dependencies(run.scored, docs), "request_id", is_clean=True)
     none = F.array().cast("array<string>")
     full = (
         packets.join(packet.retrieval_metrics(run.packets).select("request_id", "avg_context_score", "hot_context_count"), "request_id")
