@@ -747,3 +747,14 @@ SELECT run_id, iteration, signature, iteration > min(iteration) OVER (PARTITION
 ORACLE_SQL["kpi_stream"] = f"""WITH {TRACES}, last AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events),
 k AS (SELECT date_trunc('day', ts) AS d, {KPI} FROM traces GROUP BY 1)
 SELECT strftime(d, '%Y-%m-%d') AS day, sample_size, retrieval_precision, hallucination_rate, feedback_incorrect_rate FROM k, last WHERE d + INTERVAL 1 DAY <= mark"""
+
+ORACLE_SQL["embedding_cache"] = r"""WITH d AS (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS body, length(text) AS n FROM documents)
+SELECT CAST(CASE WHEN body <> '' THEN 16 END AS BIGINT) AS dims, body <> '' AND body NOT IN (SELECT body FROM d WHERE n < 1000) AS is_new, count(*) AS texts FROM d GROUP BY ALL"""
+
+ORACLE_SQL["edit_classes"] = f"""WITH p AS (SELECT item_id AS request_id, item_id % 5 AS v,
+  ['remove', 'update', 'create new file', 'raise rate to 1.5 in', 'add +2 in'][item_id % 5 + 1] || ' ./app/main.py, src/a.lua and src/a.lua ' || url AS prompt
+  FROM benchmark JOIN pages ON page_id = item_id),
+t AS (SELECT *, lower(prompt) AS low, list_filter(list_transform(regexp_extract_all(prompt, '([A-Za-z0-9_./\\\\-]+\\.[A-Za-z0-9]{{1,10}})', 1), lambda x: trim(regexp_replace(x, '^(\\./)+', ''), '/')), lambda x: x <> '') AS found FROM p)
+SELECT request_id, CASE WHEN {any_of('low', rules.DELETE_HINTS)} THEN 'delete_file' WHEN {any_of('low', rules.PATCH_HINTS)} THEN 'patch_file'
+  WHEN {any_of('low', rules.CREATE_HINTS)} OR ({any_of('low', ('file', 'arquivo'))} AND {any_of('low', rules.CREATE_WORDS)}) THEN 'create_file' ELSE 'update_file' END AS type,
+  array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i)[1:8], '|') AS targets, v = 4 AS increment, 'high' AS risk FROM t"""
