@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from corpusloom.plans.catalog import QUERIES  # noqa: E402
-from corpusloom.session import build_session, configure  # noqa: E402
+from corpusloom.session import build_session, configure, release_stages  # noqa: E402
 
 HEADLINE = (
     "lexical_topk", "candidate_ranking", "context_pack", "context_packets", "hybrid_score", "file_summaries", "file_confidence_risk",
@@ -45,6 +45,7 @@ def main() -> None:
     if "context_packets" in seconds and prompts:
         result["seconds_per_prompt"] = round(seconds["context_packets"] / prompts, 4)
     print(json.dumps(result), flush=True)
+    release_stages(spark)
     spark.stop()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.parquet.filterPushdown": "true",
 }
 
@@ -49,19 +51,23 @@ def raise_group_limit(spark: SparkSession, limit: int) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Only a master that runs in this one process may fall back to a temporary folder, as tests do.
     """
     conf = spark.sparkContext.getConf()
     configured = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     fallback = tempfile.mkdtemp(prefix="corpusloom-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
 
 
+def _stage_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/corpusloom-stages/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -69,11 +75,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     executors, and their sizes give the planner real statistics.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom-stages/{name}-{uuid.uuid4().hex}"
+    path = f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_stages(spark: SparkSession) -> None:
+    """Delete what this application staged, once no result that reads it is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from corpusloom.session import build_session, configure  # noqa: E402
+from corpusloom.session import build_session, configure, release_stages  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -16,4 +16,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
+    release_stages(session)
     session.stop()
