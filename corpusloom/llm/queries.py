@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, exact_dedup, packing, quality, simhash, substring_dedup, suffix_dedup
+from corpusloom.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, packing, quality, simhash, substring_dedup, suffix_dedup
 from corpusloom.sources.tables import read_table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated_chunks(read_table(spark, sf_dir, "documents"))
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(read_table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.train(docs))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.grade(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
@@ -40,6 +53,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_lm_score": op2_lm_score,
+    "op3_license_scan": op3_license_scan,
     "op4_quality": op4_quality,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
