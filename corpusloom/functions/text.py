@@ -103,11 +103,7 @@ def text_relevance(haystack: Column, terms: Column) -> Column:
 def chunk_text(text: Column, max_chars: int = 260) -> Column:
     """Fixed-width pieces of the stripped text; an empty array for blank text (Q27)."""
     body = strip(text)
-    pieces = F.ceil(F.length(body) / F.lit(max_chars)).cast("int")
-    cut = F.transform(
-        F.sequence(F.lit(0), F.greatest(pieces - 1, F.lit(0))),
-        lambda i: F.substr(body, i * max_chars + 1, F.lit(max_chars)),
-    )
+    cut = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{max_chars}}}"), F.lit(0))
     return F.when(body == "", F.array().cast("array<string>")).otherwise(cut)
 
 

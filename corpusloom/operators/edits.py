@@ -151,10 +151,14 @@ def _patch_with_regex(bodies: pd.Series, patches: pd.Series) -> pd.DataFrame:
     """Patch lists holding regular expressions, in the dialect the patches are written in."""
     out = []
     for body, steps in zip(bodies, patches):
-        matched = False
+        matched, body_before = False, body
         for step in steps if body is not None and steps is not None else ():
             if step["use_regex"]:
-                body, n = re.subn(step["find"], step["replace"], body, count=0 if step["replace_all"] else 1)
+                try:
+                    body, n = re.subn(step["find"], step["replace"], body, count=0 if step["replace_all"] else 1)
+                except (re.error, IndexError):  # a bad pattern fails this edit, not the job
+                    body, matched = body_before, False
+                    break
             else:
                 n = int(step["find"] in body)
                 body = body.replace(step["find"], step["replace"], -1 if step["replace_all"] else 1)

@@ -119,7 +119,7 @@ def rollup_levels(leaves: DataFrame, inner: DataFrame, max_depth: int | None = N
     """
     inner = stage(inner, "hierarchy")
     if max_depth is None:
-        max_depth = inner.agg(F.max("depth")).first()[0]
+        max_depth = inner.agg(F.coalesce(F.max("depth"), F.lit(-2))).first()[0]  # an empty table has one empty round
     carried = ["project", "node_id", "parent_id", "source_hash", "confidence"]
     slashes = F.length("source_path") - F.length(F.replace("source_path", F.lit("/"), F.lit("")))
     below = stage(leaves.select(*carried, slashes.alias("parent_depth")), "leaves")
@@ -187,18 +187,19 @@ def _first_k(df: DataFrame, order: str, k: int) -> DataFrame:
 
 
 def file_versions(leaves: DataFrame, k: int = 300) -> DataFrame:
-    """First ``k`` file versions of every inner node in path order (A3).
+    """First ``k`` file versions of every inner node in path order, and the number of all its files (A3).
 
     Cutting at each level equals cutting once, since a cut keeps the smallest paths.
     """
     rows = ancestors(leaves.select("project", "source_path", "source_hash")).select(
         "project", F.col("ancestor_id").alias("node_id"), "source_path", "source_hash"
     )
-    first = _first_k(rows, "source_path", k)
-    return first.groupBy("project", "node_id").agg(
+    counts = rows.groupBy("project", "node_id").agg(F.count_distinct("source_path").cast("int").alias("file_count"))
+    first = _first_k(rows, "source_path", k).groupBy("project", "node_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("source_path").alias("path"), F.col("source_hash").alias("hash"))))
         .alias("file_versions")
     )
+    return counts.join(first, ["project", "node_id"])
 
 
 def rollup_nodes(leaves: DataFrame) -> DataFrame:
@@ -225,7 +226,7 @@ def rollup_nodes(leaves: DataFrame) -> DataFrame:
         .join(first_labels("patterns", 6, "patterns"), ["project", "node_id"], "left")
         .withColumn("top_dependencies", F.coalesce("top_dependencies", none))
         .withColumn("patterns", F.coalesce("patterns", none))
-        .withColumn("file_count", F.coalesce(F.size("file_versions"), F.lit(0)))
+        .withColumn("file_count", F.coalesce("file_count", F.lit(0)))
         .withColumn("_titles", F.coalesce(F.transform("_kids", lambda k: k["title"]), none))
     )
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 from ..session import ship_package
 
-_HIT_BITS = 20  # a packed hit is request_no << 20 | term hits
+_HIT_BITS = 32  # a packed hit is request_no << 32 | term hits
 
 
 @dataclass(frozen=True)

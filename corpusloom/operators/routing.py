@@ -17,10 +17,9 @@ def tier_table(spark: SparkSession, tiers=rules.TIERS) -> DataFrame:
     )
 
 
-def lookup(df: DataFrame, dim: DataFrame, key: str, max_bytes: int = 10 << 20) -> DataFrame:
-    """Left join to a dimension; broadcast only when its planned size is small."""
-    size = int(str(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.join(F.broadcast(dim) if size <= max_bytes else dim, key, "left")
+def lookup(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """Left join to a dimension; the optimiser broadcasts it if it is small."""
+    return df.join(dim, key, "left")
 
 
 def request_tokens(requests: DataFrame, snippets: DataFrame) -> DataFrame:

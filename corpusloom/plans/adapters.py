@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, scoring, text
 from ..operators.files import describe_files, extract_files
-from ..sources.tables import read_table, spread_small
+from ..sources.tables import read_table
 
 NOW = "2024-02-01 00:00:00"
 
@@ -29,7 +29,7 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
         .when(doc % 4 == 2, F.concat(F.lit("src/"), "source", name, F.lit(".py")))
         .otherwise(F.concat(F.lit("docs/"), "source", name, F.lit(".md")))
     )
-    docs = spread_small(read_table(spark, sf, "documents"))
+    docs = read_table(spark, sf, "documents")
     return describe_files(
         docs.select(
             "doc_id",

@@ -17,7 +17,7 @@ from ..operators import diff, edits, embeddings, files, graph, hierarchy, memory
 from ..operators import routing as route
 from ..operators.packing import pack_budget, selected_rows
 from ..operators.relevance import lexical_match
-from ..sources.tables import read_table, spread_small
+from ..sources.tables import read_table
 from . import adapters as ad
 from .retrieve import artifact_pairs, retrieve
 
@@ -101,7 +101,7 @@ def page_xml_markers(spark, sf):
     from ..functions.extract import xml_markers
 
     markup = F.replace("html", F.lit("<a href="), F.lit('<Action ItemId="1" script='))
-    return spread_small(read_table(spark, sf, "pages")).select("page_id", F.explode(xml_markers(markup)).alias("marker"))
+    return read_table(spark, sf, "pages").select("page_id", F.explode(xml_markers(markup)).alias("marker"))
 
 
 @query
@@ -124,7 +124,7 @@ def file_confidence_risk(spark, sf):
 @query
 def text_chunks(spark, sf):
     """Q27: number, total length and last piece of each document's chunks."""
-    docs = spread_small(read_table(spark, sf, "documents")).select("doc_id", "text")
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
     return files.chunk_rows(docs, "text").groupBy("doc_id").agg(
         F.count("*").alias("chunks"), F.sum(F.length("chunk")).cast("long").alias("chars"),
         F.max_by("chunk", "chunk_no").alias("last_chunk"),
@@ -287,7 +287,7 @@ def prompt_profiles(spark, sf):
 @query
 def lexical_topk(spark, sf):
     """The ten most relevant documents per prompt, whole texts."""
-    docs = spread_small(read_table(spark, sf, "documents")).select("doc_id", "text")
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
     pairs = lexical_match(ad.requests(spark, sf, plain=True), docs, haystack=F.col("text")).drop("text")
     from pyspark.sql import Window as W
 
@@ -860,25 +860,22 @@ def kpi_stream(spark, sf):
 
     from ..session import shared_dir
     from ..sources.sinks import write_traces
-    from ..streaming.traces import stream_kpis, stream_traces
+    from ..streaming.traces import land_kpis, read_kpis, stream_traces
 
     base = f"{shared_dir(spark)}/kpi-stream-{uuid.uuid4().hex}"
     write_traces(ad.traces(spark, sf).drop("seq"), f"{base}/traces")
     job = (
-        stream_kpis(stream_traces(spark, f"{base}/traces")).writeStream.outputMode("append").format("parquet")
-        .option("path", f"{base}/kpis").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        stream_traces(spark, f"{base}/traces").writeStream.foreachBatch(land_kpis(f"{base}/log", f"{base}/kpis"))
+        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     )
     job.awaitTermination()
-    closed = spark.read.parquet(f"{base}/kpis")
-    return closed.select(
-        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "sample_size", "retrieval_precision", "hallucination_rate", "feedback_incorrect_rate"
-    )
+    return read_kpis(spark, f"{base}/kpis").withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start")
 
 
 @query
 def embedding_cache(spark, sf):
     """Prompts and documents embedded once each, known texts from the cache."""
-    docs = spread_small(read_table(spark, sf, "documents")).select(F.col("text").alias("content"))
+    docs = read_table(spark, sf, "documents").select(F.col("text").alias("content"))
     embed = embeddings.hashing_embedder(16)
     known = embeddings.embed_texts(
         embeddings.cache_misses(docs.filter(F.length("content") < 1000), spark.createDataFrame([], "cache_key string, embedding array<float>"), "hashing"), embed, "hashing"

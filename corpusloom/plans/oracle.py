@@ -239,7 +239,7 @@ SELECT project, node_id, level, parent_id, source_hash FROM inner_nodes"""
 
 ORACLE_SQL["hierarchy_rollup"] = f"""WITH {FILES}, {PARSED}, base AS (SELECT * FROM parsed), {LEVELS},
 up AS (SELECT b.*, unnest(['folder:' || split_part(folder, '/', 1), 'folder:' || array_to_string(string_split(folder, '/')[1:2], '/'), 'folder:' || array_to_string(string_split(folder, '/')[1:3], '/'), 'module:' || module, 'project:' || project, 'global:default']) AS node_id FROM base b),
-roll AS (SELECT project, node_id, least(300, count(DISTINCT path)) AS file_count, list_sort(list_distinct(flatten(list(patterns)))) AS patterns,
+roll AS (SELECT project, node_id, count(DISTINCT path) AS file_count, list_sort(list_distinct(flatten(list(patterns)))) AS patterns,
   list_sort(list_distinct(flatten(list(dependencies))))[1:10] AS deps FROM up GROUP BY ALL),
 kids AS (SELECT project, parent_id AS node_id, list(title ORDER BY node_id)[1:8] AS titles
   FROM (SELECT project, parent_id, node_id, title FROM leaf UNION ALL SELECT project, parent_id, node_id, title FROM inner_nodes) GROUP BY ALL)
@@ -744,9 +744,8 @@ SELECT run_id, iteration, signature, iteration > min(iteration) OVER (PARTITION
 
 # --- streams ----------------------------------------------------------------------------------------------
 
-ORACLE_SQL["kpi_stream"] = f"""WITH {TRACES}, last AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events),
-k AS (SELECT date_trunc('day', ts) AS d, {KPI} FROM traces GROUP BY 1)
-SELECT strftime(d, '%Y-%m-%d') AS day, sample_size, retrieval_precision, hallucination_rate, feedback_incorrect_rate FROM k, last WHERE d + INTERVAL 1 DAY <= mark"""
+ORACLE_SQL["kpi_stream"] = f"""WITH {TRACES}, k AS (SELECT date_trunc('day', ts) AS d, {KPI} FROM traces GROUP BY 1)
+SELECT * EXCLUDE (d), strftime(d, '%Y-%m-%d') AS day FROM k"""
 
 ORACLE_SQL["embedding_cache"] = r"""WITH d AS (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS body, length(text) AS n FROM documents)
 SELECT CAST(CASE WHEN body <> '' THEN 16 END AS BIGINT) AS dims, body <> '' AND body NOT IN (SELECT body FROM d WHERE n < 1000) AS is_new, count(*) AS texts FROM d GROUP BY ALL"""

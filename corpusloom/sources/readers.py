@@ -65,7 +65,9 @@ def scan_corpus(
     if variant == "ingest":
         cap = F.when(suffix.isin(*rules.LARGE_FILE_EXTENSIONS), max(max_bytes, rules.LARGE_FILE_BYTES)).otherwise(cap)
     hidden = F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, (*excluded, *output_dirs))))
-    kept = list_files(spark, root).filter(suffix.isin(*wanted) & ~hidden & (F.col("size") <= cap))
+    largest = max(max_bytes, rules.LARGE_FILE_BYTES) if variant == "ingest" else max_bytes
+    # The plain bound reaches the file source; the cap by suffix is applied to what it lists.
+    kept = list_files(spark, root).filter(F.col("size") <= largest).filter(suffix.isin(*wanted) & ~hidden & (F.col("size") <= cap))
     decoded = text.decode_text(F.col("content"))
     digest = paths.content_hash(F.col("content") if variant == "ingest" else decoded)
     return kept.select(
@@ -91,9 +93,9 @@ def recent_traces(lines: DataFrame, n: int = 20) -> DataFrame:
 
 def latest_usage(spark: SparkSession, directory: str) -> DataFrame:
     """Records of the lexicographically last cognitive-usage-*.jsonl."""
-    rows = spark.read.schema(USAGE_SCHEMA).json(f"{directory}/cognitive-usage-*.jsonl").withColumn("_file", F.input_file_name())
-    newest = max((f for f in rows.inputFiles()), default=None)
-    return rows.filter(F.col("_file") == newest).drop("_file") if newest else rows.drop("_file").limit(0)
+    rows = spark.read.schema(USAGE_SCHEMA)
+    names = rows.json(f"{directory}/cognitive-usage-*.jsonl").inputFiles()  # names only
+    return rows.json(max(names)) if names else spark.createDataFrame([], USAGE_SCHEMA)
 
 
 def load_graph(spark: SparkSession, path: str) -> DataFrame:

@@ -1,25 +1,10 @@
-"""Reading column tables and spreading small ones over the cores."""
+"""Reading column tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SMALL_TABLE_BYTES = 1 << 30
-
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Plain parquet scan; filters and column pruning reach it."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Repartition a table kept in fewer files than there are cores.
-
-    One file with one row group is one task, whatever the cluster.  Only tables under
-    1 GiB move; a large table is left as its scan splits it.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    small = int(str(size)) < _SMALL_TABLE_BYTES
-    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df

@@ -27,6 +27,32 @@ def stream_kpis(stream: DataFrame, window: str = "1 day", delay: str = "1 hour")
     )
 
 
+def land_kpis(log_path: str, kpi_path: str, window: str = "1 day") -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: a KPI table that is the same for any number, size or order of files.
+
+    Files of a log are not in time order, so a watermark would drop rows.  Each epoch lands its rows, and every window it
+    touches is evaluated anew over all that has landed.  Both writes replace the epoch's own folder, so retries repeat nothing.
+    """
+
+    def land(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.filter("payload is not null").withColumn("window_start", F.window("created_at", window)["start"])
+        rows.write.mode("overwrite").partitionBy("window_start").parquet(f"{log_path}/epoch={epoch}")
+        landed = spark.read.option("basePath", log_path).schema(rows.schema).parquet(f"{log_path}/epoch=*")
+        touched = spark.read.option("basePath", f"{log_path}/epoch={epoch}").schema(rows.schema).parquet(f"{log_path}/epoch={epoch}").select("window_start").distinct()
+        report = landed.filter(F.col("epoch") <= epoch).join(touched, "window_start", "left_semi").groupBy("window_start").agg(*quality.kpi_columns())
+        report.write.mode("overwrite").parquet(f"{kpi_path}/epoch={epoch}")
+
+    return land
+
+
+def read_kpis(spark: SparkSession, kpi_path: str) -> DataFrame:
+    """The newest report of every window."""
+    rows = spark.read.option("basePath", kpi_path).parquet(f"{kpi_path}/epoch=*")
+    newest = rows.groupBy("window_start").agg(F.max("epoch").alias("epoch"))
+    return rows.join(newest, ["window_start", "epoch"], "left_semi").drop("epoch")
+
+
 def run_reflection_stream(stream: DataFrame, reflect: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None):
     """Reflect on every micro-batch: at an interval of at least 60 s, or once over what is there."""
     writer = stream.writeStream.foreachBatch(reflect).option("checkpointLocation", checkpoint)
