@@ -25,7 +25,7 @@ from corpusloom.session import stage
 CAPACITY = 2048
 END_ID = 1
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-PIECES_PER_BUCKET = 200_000
+PIECES_PER_BUCKET = 4096
 
 
 @lru_cache(maxsize=2)
