@@ -87,7 +87,7 @@ def relation_histogram(edges: DataFrame, visited: DataFrame | None = None) -> Da
     return touching_edges(listed, visited).groupBy("request_id", "relation").agg(F.count("*").alias("edges"))
 
 
-def seed_nodes(edges: DataFrame, requests: DataFrame, strategy: str = "auto", fallback: int = 3) -> DataFrame:
+def seed_nodes(edges: DataFrame, requests: DataFrame, fallback: int = 3) -> DataFrame:
     """(request_id, node) to start from.
 
     A matching target seeds both ends.  A matching source seeds itself, and in the
@@ -96,7 +96,7 @@ def seed_nodes(edges: DataFrame, requests: DataFrame, strategy: str = "auto", fa
     never request-node pairs.
     """
     names = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    hits = lexical_match(requests, names, haystack=F.col("node"), min_rel=0.0, strategy=strategy).select(
+    hits = lexical_match(requests, names, haystack=F.col("node"), min_rel=0.0).select(
         "request_id", "node"
     )
     ends = edges.select("source", "target", "kind").distinct()

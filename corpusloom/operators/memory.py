@@ -48,7 +48,7 @@ def feedback_recent(
     return last_n(rows, [], [F.desc("seq")], max(1, min(limit, 5000)))
 
 
-def memory_search(requests: DataFrame, memory: DataFrame, limit: int = 8, strategy: str = "auto") -> DataFrame:
+def memory_search(requests: DataFrame, memory: DataFrame, limit: int = 8) -> DataFrame:
     """Newest memories of the request's project and user that hold one of its first six words.
 
     The newest ``limit`` of a union are the newest of each part's newest ``limit``, so every
@@ -67,7 +67,7 @@ def memory_search(requests: DataFrame, memory: DataFrame, limit: int = 8, strate
     )
     holding = lexical_match(
         scoped_words, memory.withColumn("_scope", F.concat_ws("\x01", *scope)), haystack=F.col("content"),
-        scope="_scope", min_rel=0.0, strategy=strategy,
+        scope="_scope", min_rel=0.0,
     ).withColumn("word", F.get_json_object("request_id", "$.word")).drop("request_id", "_scope", "hits", "n_terms", "relevance")
     by_word = last_n(holding, [*scope, "word"], newest_first(), limit)
     found = words.join(by_word, [*scope, "word"]).drop("word").dropDuplicates(["request_id", "id"])
@@ -122,14 +122,14 @@ def auto_memory(responses: DataFrame, now: Column, with_task_type: bool = False)
     )
 
 
-def knowledge_search(requests: DataFrame, nodes: DataFrame, limit: int = 5, strategy: str = "auto") -> DataFrame:
+def knowledge_search(requests: DataFrame, nodes: DataFrame, limit: int = 5) -> DataFrame:
     """Best knowledge nodes per request: word share times (.6 + .4 confidence)."""
     haystack = F.concat_ws(
         " ", "title", "source_path", "summary", F.array_join("dependencies", " "), F.array_join("patterns", " ")
     )
     asked = requests.withColumn("_words", text.query_words(F.col("prompt")))
     scored = lexical_match(
-        asked, nodes, haystack=haystack, terms="_words", min_rel=0.0, strategy=strategy
+        asked, nodes, haystack=haystack, terms="_words", min_rel=0.0
     ).withColumn("score", F.col("relevance") * (F.lit(0.6) + F.lit(0.4) * F.col("confidence")))
     w = W.partitionBy("request_id").orderBy(F.desc("score"), "node_id")
     k = max(1, min(limit, 20))

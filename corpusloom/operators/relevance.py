@@ -1,120 +1,120 @@
 """Substring relevance of prompts against a corpus, without comparing every pair.
 
-Two exact strategies, chosen by the measured size of the prompt vocabulary:
-
-* ``automaton``: the distinct terms (size checked, so broadcastable) form one multi-pattern
-  automaton; each document is read once, all terms are found in that single pass, and the
-  hits are counted per request inside the task.  No shuffle.
-* ``postings``: for vocabularies beyond the bound.  A term has no whitespace, so it occurs in
-  a document exactly when it is a substring of one of its whitespace-delimited words.
-  Distinct words are expanded once to their substrings of the lengths that occur among the
-  terms, joined to the terms on equality, and the counts come from equi-joins.
+The requests are dealt into blocks of bounded term volume, which are rows of a DataFrame and never
+pass through the driver.  Every document meets every block once: the rows of a block come first in
+each of its partitions and form one multi-pattern automaton there, then the documents stream
+through it.  Each document is read once a block, all terms of the block are found in that single
+pass, and the hits are counted per request inside the task.  The path is the same at every size;
+only the number of blocks follows the volume of the requests.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
 from ..session import ship_package
 
-_HIT_BITS = 32  # a packed hit is request_no << 32 | term hits
+#: Characters of terms in one block: what bounds the automaton that a task holds.
+BLOCK_CHARS = 1_000_000
+#: Pairs in one output batch; a document with more spreads over several rows.
+OUTPUT_PAIRS = 100_000
 
 
-@dataclass(frozen=True)
-class VocabularyBound:
-    """What may be collected and broadcast as an automaton."""
+class _Block:
+    """The requests of one block as an automaton over their terms."""
 
-    requests: int = 50_000
-    term_rows: int = 2_000_000
-    characters: int = 32_000_000
-
-
-class _Matcher:
-    """Broadcast payload: terms, the requests using each of them, and their scopes."""
-
-    def __init__(self, rows, scoped: bool) -> None:
-        term_no: dict[str, int] = {}
+    def __init__(self, ids: list[str], terms: list[list[str]], scopes: list[str | None], scoped: bool) -> None:
+        self.ids = pa.array(ids, pa.string())
+        self.n_terms = np.array([len(t) for t in terms], dtype=np.int64)
+        slots: dict[str, int] = {}
         users: list[list[int]] = []
-        self.n_terms = np.array([len(r["terms"]) for r in rows], dtype=np.int64)
-        for request_no, row in enumerate(rows):
-            for term in row["terms"]:
-                slot = term_no.setdefault(term, len(users))
+        for request, listed in enumerate(terms):
+            for term in listed:
+                slot = slots.setdefault(term, len(users))
                 if slot == len(users):
                     users.append([])
-                users[slot].append(request_no)
-        self.terms = list(term_no)
+                users[slot].append(request)
         self.users = [np.array(u, dtype=np.int64) for u in users]
-        self.scopes: dict[str, np.ndarray] | None = None
+        self.by_scope: dict[str | None, np.ndarray] | None = None
         if scoped:
-            by_scope: dict[str, list[int]] = {}
-            for request_no, row in enumerate(rows):
-                by_scope.setdefault(row["scope"], []).append(request_no)
-            self.scopes = {k: np.array(v, dtype=np.int64) for k, v in by_scope.items()}
-        self._automaton = None
-
-    def __getstate__(self):
-        return {**self.__dict__, "_automaton": None}
-
-    @property
-    def automaton(self):
-        if self._automaton is None:
-            import ahocorasick
-
-            built = ahocorasick.Automaton()
-            for slot, term in enumerate(self.terms):
-                built.add_word(term, slot)
-            built.make_automaton()
-            self._automaton = built
-        return self._automaton
-
-    def hits(self, haystack: str | None, scope: str | None, min_rel: float) -> np.ndarray:
-        """Packed (request, hits) of the requests above ``min_rel`` for one document."""
-        none = np.empty(0, dtype=np.int64)
-        if not haystack or not self.terms:
-            return none
-        if self.scopes is not None and scope not in self.scopes:
+            grouped: dict[str | None, list[int]] = {}
+            for request, scope in enumerate(scopes):
+                grouped.setdefault(scope, []).append(request)
+            self.by_scope = {k: np.array(v, dtype=np.int64) for k, v in grouped.items() if k is not None}
+        self.automaton = ahocorasick.Automaton()
+        for term, slot in slots.items():
+            self.automaton.add_word(term, slot)
+        self.automaton.make_automaton()
+
+    def hits(self, haystack: str | None, scope: str | None, min_rel: float) -> tuple[np.ndarray, np.ndarray]:
+        """(requests, hits) above ``min_rel`` for one document."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not haystack or not self.users or (self.by_scope is not None and scope not in self.by_scope):
             return none
         found = {slot for _, slot in self.automaton.iter(haystack)}
         if not found:
             return none
         counts = np.bincount(np.concatenate([self.users[s] for s in found]), minlength=len(self.n_terms))
-        candidates = np.flatnonzero(counts) if self.scopes is None else self.scopes[scope]
-        kept = candidates[(counts[candidates] > 0) & (counts[candidates] / self.n_terms[candidates] > min_rel)]
-        return (kept << _HIT_BITS) | counts[kept]
-
+        asked = np.flatnonzero(counts) if self.by_scope is None else self.by_scope[scope]
+        kept = asked[(counts[asked] > 0) & (counts[asked] / self.n_terms[asked] > min_rel)]
+        return kept, counts[kept]
 
-def _hit_lists(matcher_bc, min_rel: float, scoped: bool):
-    """Arrow function: haystack column (and scope) to a list of packed hits."""
 
-    def matches(batches: Iterator) -> Iterator[pa.Array]:
-        matcher = matcher_bc.value
-        for batch in batches:
-            hay, scope = batch if scoped else (batch, None)
-            scopes = scope.to_pylist() if scoped else [None] * len(hay)
-            rows = [matcher.hits(h, s, min_rel) for h, s in zip(hay.to_pylist(), scopes)]
-            offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-            np.cumsum([len(r) for r in rows], out=offsets[1:])
-            values = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
-
-    if scoped:
-
-        def two(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            yield from matches(batches)
+def _matched(block: _Block, rows: list[tuple[int, np.ndarray, np.ndarray]], docs: pa.Array) -> pa.RecordBatch:
+    """One output batch: documents with their (request, hits, terms)."""
+    requests = np.concatenate([r for _, r, _ in rows])
+    found = pa.StructArray.from_arrays(
+        [block.ids.take(pa.array(requests)), pa.array(np.concatenate([h for _, _, h in rows]), pa.int32()), pa.array(block.n_terms[requests], pa.int32())],
+        names=["request_id", "hits", "n_terms"],
+    )
+    offsets = np.concatenate([[0], np.cumsum([len(r) for _, r, _ in rows])])
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)
+    return pa.RecordBatch.from_arrays([docs.take(pa.array([i for i, _, _ in rows])), lists], names=["doc", "found"])
 
-        return F.arrow_udf(two, "array<bigint>")
 
-    def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from matches(batches)
+def _stream(min_rel: float, scoped: bool):
+    """Arrow function over partitions sorted by (part, is_doc): requests first, then the documents that meet them."""
 
-    return F.arrow_udf(one, "array<bigint>")
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block = None, None
+        pending: tuple[list, list, list] = ([], [], [])
+        for batch in batches:
+            parts = np.asarray(batch.column("part"))
+            is_doc = np.asarray(batch.column("is_doc"))
+            edges = np.flatnonzero((parts[1:] != parts[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1
+            for start, stop in zip([0, *edges], [*edges, len(parts)]):
+                run = batch.slice(start, stop - start)
+                if not len(run):
+                    continue
+                if parts[start] != part:
+                    part, block, pending = parts[start], None, ([], [], [])
+                scopes = run.column("scope").to_pylist()
+                if not is_doc[start]:
+                    pending[0].extend(run.column("request_id").to_pylist())
+                    pending[1].extend(run.column("terms").to_pylist())
+                    pending[2].extend(scopes)
+                    continue
+                if block is None:
+                    block, pending = _Block(*pending, scoped), ([], [], [])
+                docs, rows, pairs = run.column("doc"), [], 0
+                for i, (haystack, scope) in enumerate(zip(run.column("haystack"), scopes)):
+                    requests, hits = block.hits(haystack.as_py(), scope, min_rel)
+                    for at in range(0, len(requests), OUTPUT_PAIRS):
+                        rows.append((i, requests[at : at + OUTPUT_PAIRS], hits[at : at + OUTPUT_PAIRS]))
+                        pairs += len(rows[-1][1])
+                        if pairs >= OUTPUT_PAIRS:
+                            yield _matched(block, rows, docs)
+                            rows, pairs = [], 0
+                if rows:
+                    yield _matched(block, rows, docs)
+
+    return match
 
 
 def lexical_match(
@@ -125,108 +125,48 @@ def lexical_match(
     terms: str = "terms",
     scope: str | None = None,
     min_rel: float = 0.05,
-    strategy: str = "auto",
-    bound: VocabularyBound = VocabularyBound(),
+    keep: list[str] | None = None,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """Pairs whose term share exceeds ``min_rel``.
 
     ``requests`` needs request_id and an array of terms (repeats count, as in Q3 and J3);
     ``corpus`` is any frame from which ``haystack`` can be computed.  With ``scope`` (a
-    column of both) a request only meets rows of its own scope.  Returns the corpus
-    columns plus request_id, hits, n_terms and relevance.
+    column of both) a request only meets rows of its own scope.  Returns the corpus columns
+    (those in ``keep``) plus request_id, hits, n_terms and relevance.  The result does not
+    depend on ``block_chars``.
     """
-    columns = [F.col("request_id").cast("string").alias("request_id"), F.col(terms).alias("terms")]
-    if scope:
-        columns.append(F.col(scope).alias("scope"))
-    wanted = requests.select(*columns).filter(F.size("terms") > 0)
-    if strategy == "auto":
-        strategy = "automaton" if _fits(wanted, bound) else "postings"
-    low = F.lower(haystack)
-    if strategy == "automaton":
-        pairs = _match_by_automaton(wanted, corpus, low, scope, min_rel)
-    else:
-        pairs = _match_by_postings(wanted, corpus, low, scope, min_rel)
-    if "request_id" in requests.columns and dict(requests.dtypes)["request_id"] != "string":
-        pairs = pairs.withColumn("request_id", F.col("request_id").cast(dict(requests.dtypes)["request_id"]))
-    return pairs.withColumn("relevance", F.col("hits") / F.col("n_terms"))
-
-
-def _fits(wanted: DataFrame, bound: VocabularyBound) -> bool:
-    size = wanted.agg(
-        F.count("*").alias("requests"),
-        F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("term_rows"),
-        F.coalesce(
-            F.sum(F.aggregate("terms", F.lit(0), lambda a, t: a + F.length(t))), F.lit(0)
-        ).alias("characters"),
-    ).first()
-    return (
-        size["requests"] <= bound.requests
-        and size["term_rows"] <= bound.term_rows
-        and size["characters"] <= bound.characters
-    )
-
-
-def _match_by_automaton(wanted, corpus, low, scope, min_rel) -> DataFrame:
     spark = corpus.sparkSession
     ship_package(spark)
-    rows = wanted.collect()  # its size was checked, or the caller vouches for it
-    matcher = spark.sparkContext.broadcast(_Matcher(rows, scope is not None))
-    ids = spark.createDataFrame(
-        [(no, r["request_id"], len(r["terms"])) for no, r in enumerate(rows)],
-        "request_no long, request_id string, n_terms int",
-    )
-    find = _hit_lists(matcher, min_rel, scope is not None)
-    arguments = [low] + ([F.col(scope).cast("string")] if scope else [])
-    return (
-        corpus.select("*", F.explode(find(*arguments)).alias("_hit"))
-        .withColumn("request_no", F.shiftright("_hit", _HIT_BITS))
-        .withColumn("hits", F.col("_hit").bitwiseAND((1 << _HIT_BITS) - 1).cast("int"))
-        .join(F.broadcast(ids), "request_no")
-        .drop("_hit", "request_no")
-    )
-
-
-def _match_by_postings(wanted, corpus, low, scope, min_rel, salts: int = 16) -> DataFrame:
-    # Repeats of a term within a request count as often as they occur.
-    used = wanted.select("*", F.size("terms").alias("n_terms")).select(
-        "request_id", "n_terms", *(["scope"] if scope else []), F.explode("terms").alias("term")
-    )
-    keys = ["request_id", "n_terms", "term"] + (["scope"] if scope else [])
-    used = used.groupBy(*keys).agg(F.count("*").alias("weight"))
-    vocabulary = used.select("term").distinct()
-    # One number per distinct term length: a short list whatever the vocabulary holds.
-    widths = sorted(r[0] for r in vocabulary.select(F.length("term")).distinct().collect())
-
-    # Each row of the corpus gets an id that a retry reproduces: a digest of the row itself.
-    # Equal rows are counted once and multiplied back at the end.
-    numbered = corpus.withColumn(
-        "_doc", F.sha2(F.to_json(F.struct(low.alias("_h"), *corpus.columns)), 256)
-    )
-    docs = numbered.groupBy("_doc").agg(
-        F.first_value(low).alias("_h"), *([F.first_value(scope).alias("scope")] if scope else [])
-    )
-    carry = ["_doc"] + (["scope"] if scope else [])
-    doc_words = docs.select(*carry, F.explode(F.array_distinct(words(F.col("_h")))).alias("word"))
-
-    word_terms = (
-        doc_words.select("word").distinct()
-        .select("word", F.explode(F.array(*map(F.lit, widths))).alias("width"))
-        .filter(F.length("word") >= F.col("width"))
-        .select("word", "width", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("width") + 1)).alias("at"))
-        .select("word", F.substring(F.col("word"), F.col("at"), F.col("width")).alias("term"))
-        .distinct()
-        .join(vocabulary, "term", "left_semi")
+    kept = corpus.columns if keep is None else keep
+    own = F.col(scope).cast("string") if scope else F.lit(None).cast("string")
+    wanted = requests.select(
+        F.col("request_id").cast("string").alias("request_id"), F.col(terms).cast("array<string>").alias("terms"), own.alias("scope")
+    ).filter(F.size("terms") > 0)
+    volume = wanted.agg(F.sum(F.aggregate("terms", F.lit(0).cast("long"), lambda total, t: total + F.length(t)))).first()[0] or 0
+    blocks = 1 + volume // block_chars
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def part(block: Column, piece: Column) -> Column:
+        return (block * F.lit(pieces) + piece).cast("int").alias("part")
+
+    # Equal texts of different rows go to different pieces.
+    own_piece = F.pmod(F.xxhash64(*corpus.columns), F.lit(pieces))
+    placed = corpus.select(
+        F.struct(*kept).alias("doc"), F.lower(haystack).alias("haystack"), own.alias("scope"), own_piece.alias("piece"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+    ).select(part(F.col("block"), F.col("piece")), F.lit(True).alias("is_doc"), "scope", "doc", "haystack")
+    asked = wanted.select("*", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece")).select(
+        part(F.pmod(F.xxhash64("request_id"), F.lit(blocks)), F.col("piece")), F.lit(False).alias("is_doc"), "scope", "request_id", "terms"
     )
-    found = doc_words.join(word_terms, "word").select(*carry, "term").distinct()
-
-    # A frequent term may sit in a third of the documents: its matches are spread over salts.
-    spread = found.withColumn("salt", F.pmod(F.xxhash64("_doc"), F.lit(salts)).cast("int"))
-    salted = used.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    on = ["term", "salt"] + (["scope"] if scope else [])
-    counted = (
-        spread.join(salted, on)
-        .groupBy("_doc", "request_id", "n_terms")
-        .agg(F.sum("weight").cast("int").alias("hits"))
-        .filter(F.col("hits") / F.col("n_terms") > min_rel)
+    streamed = (
+        asked.unionByName(placed, allowMissingColumns=True).select("part", "is_doc", "scope", "request_id", "terms", "doc", "haystack")
+        .repartitionById(blocks * pieces, F.col("part")).sortWithinPartitions("part", "is_doc")
     )
-    return numbered.join(counted, "_doc").drop("_doc")
+    doc_type = placed.schema["doc"].dataType.simpleString()
+    found = streamed.mapInArrow(
+        _stream(min_rel, scope is not None), f"doc {doc_type}, found array<struct<request_id: string, hits: int, n_terms: int>>"
+    ).select("doc", F.explode("found").alias("found"))
+    return found.select(
+        "doc.*", F.col("found.request_id").cast(requests.schema["request_id"].dataType).alias("request_id"), "found.hits", "found.n_terms"
+    ).withColumn("relevance", F.col("hits") / F.col("n_terms"))

@@ -288,7 +288,7 @@ def prompt_profiles(spark, sf):
 def lexical_topk(spark, sf):
     """The ten most relevant documents per prompt, whole texts."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    pairs = lexical_match(ad.requests(spark, sf, plain=True), docs, haystack=F.col("text")).drop("text")
+    pairs = lexical_match(ad.requests(spark, sf, plain=True), docs, haystack=F.col("text"), keep=["doc_id"])
     from pyspark.sql import Window as W
 
     w = W.partitionBy("request_id").orderBy(F.desc("relevance"), "doc_id")
@@ -324,7 +324,7 @@ def candidate_dedup(spark, sf):
 @query
 def context_pack(spark, sf):
     """Chosen items of every packet for the plain prompts."""
-    run = retrieve(ad.requests(spark, sf, plain=True), ad.corpus(spark, sf), ad.now(), with_fallback=False)
+    run = retrieve(ad.requests(spark, sf, plain=True), ad.corpus(spark, sf), ad.now())
     items = selected_rows(run.packets).select(
         "request_id", big("rank").alias("rank"), "source", big("chars").alias("chars"), F.sha2("content", 256).alias("content_hash")
     )
@@ -386,7 +386,7 @@ def packet_evidence(spark, sf):
 def risk_counts(spark, sf):
     """Q16, Q28, Q30: risks, weak reasons and metrics of the plain prompts' packets."""
     requests = ad.requests(spark, sf, plain=True)
-    run = retrieve(requests, ad.corpus(spark, sf), ad.now(), with_fallback=False)
+    run = retrieve(requests, ad.corpus(spark, sf), ad.now())
     noted = packet.weak_context(packet.risk_notes(run.packets, requests))
     return noted.join(packet.retrieval_metrics(run.packets).drop("used_chars", "max_chars"), "request_id").select(
         "request_id", joined("risks", "; ").alias("risks"), joined("reasons").alias("reasons"), "weak", "avg_context_score",

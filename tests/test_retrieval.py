@@ -29,7 +29,7 @@ def test_terms_keep_compact_forms(spark):
     assert set(got) == {"fix", "actions", "xml", "now", "please", "actionsxml", "nowplease"}
 
 
-def test_both_match_strategies_agree_with_a_plain_loop(spark):
+def test_match_in_one_or_many_blocks_agrees_with_a_plain_loop(spark):
     docs = [("d1", "The Hat sat"), ("d2", "nothing here"), ("d3", "hat hat mat-xml"), ("d3", "hat hat mat-xml"), ("d4", None)]
     asked = [("r1", ["hat", "sat", "hat"]), ("r2", ["zz"]), ("r3", []), ("r4", ["mat-xml", "a"])]
     d = spark.createDataFrame(docs, "id string, body string")
@@ -38,18 +38,18 @@ def test_both_match_strategies_agree_with_a_plain_loop(spark):
         (r, i, sum(t in (b or "").lower() for t in ts))
         for r, ts in asked for i, b in docs if ts and sum(t in (b or "").lower() for t in ts) / len(ts) > 0.05
     )
-    for strategy in ("automaton", "postings"):
-        got = lexical_match(q, d, haystack=F.col("body"), strategy=strategy).collect()
-        assert sorted((g["request_id"], g["id"], g["hits"]) for g in got) == expected, strategy
+    for block_chars in (1_000_000, 8, 1):  # 1, 3 and 18 blocks
+        got = lexical_match(q, d, haystack=F.col("body"), keep=["id"], block_chars=block_chars).collect()
+        assert sorted((g["request_id"], g["id"], g["hits"]) for g in got) == expected, block_chars
+    assert lexical_match(q.limit(0), d, haystack=F.col("body")).count() == lexical_match(q, d.limit(0), haystack=F.col("body")).count() == 0
 
 
 def test_requests_only_meet_their_scope(spark):
     docs = corpus_frame(spark, [("src/inventory.cs", "inventory A", [], "w1::p"), ("src/inventory.cs", "inventory B", [], "w2::p")])
     asked = request_frame(spark, [("r1", "w1", "inventory manager", "w1::p"), ("r2", "w2", "inventory manager", "w2::p")])
     ready = cand.artifact_documents(docs, now())
-    for strategy in ("automaton", "postings"):
-        pairs = artifact_pairs(asked, ready, scope="scoped", strategy=strategy)
-        assert sorted((r["request_id"], r["size"]) for r in pairs.select("request_id", "size").collect()) == [("r1", 11), ("r2", 11)]
+    pairs = artifact_pairs(asked, ready, scope="scoped")
+    assert sorted((r["request_id"], r["size"]) for r in pairs.select("request_id", "size").collect()) == [("r1", 11), ("r2", 11)]
 
 
 def test_oversized_top_candidate_is_clipped(spark):
