@@ -123,12 +123,9 @@ def file_confidence_risk(spark, sf):
 
 @query
 def text_chunks(spark, sf):
-    """Q27: number, total length and last piece of each document's chunks."""
+    """Q27: every chunk of every document."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    return files.chunk_rows(docs, "text").groupBy("doc_id").agg(
-        F.count("*").alias("chunks"), F.sum(F.length("chunk")).cast("long").alias("chars"),
-        F.max_by("chunk", "chunk_no").alias("last_chunk"),
-    )
+    return files.chunk_rows(docs, "text").select("doc_id", big("chunk_no").alias("chunk_no"), F.md5("chunk").alias("chunk_hash"))
 
 
 # --- hierarchy ---------------------------------------------------------------------------------
@@ -206,9 +203,9 @@ def snapshot_changes(spark, sf):
 
 @query
 def rename_pairs(spark, sf):
-    """J6 where many files share a hash: a hash of three characters of the text."""
+    """J6 where many files share a hash: a hash of the length of the text."""
     def coarse(df):
-        return df.withColumn("hash", F.md5(F.substr("content", F.lit(1), F.lit(1))))
+        return df.withColumn("hash", F.md5(F.length("content").cast("string")))
 
     before = coarse(ad.files_before(spark, sf))
     return diff.pair_renames(diff.snapshot_diff(coarse(ad.files(spark, sf)), before)).select(
@@ -373,10 +370,12 @@ def packet_evidence(spark, sf):
     requests, run = _full_run(spark, sf)
     noted = packet.risk_notes(run.packets, requests)
     systems = packet.sanitize_systems(packet.systems_from_sources(selected_rows(run.packets)), "request_id")
+    docs = ad.corpus(spark, sf).withColumn("source", F.concat(F.lit("artifact:file:"), "path"))
+    deps = packet.sanitize_dependencies(packet.candidate_dependencies(run.scored, docs), "request_id", is_clean=True)
     none = F.array().cast("array<string>")
     ready = (
-        noted.join(systems, "request_id", "left").join(requests.select("request_id", "intent"), "request_id")
-        .withColumn("relevant_systems", F.coalesce("relevant_systems", none)).withColumn("dependencies", none)
+        noted.join(systems, "request_id", "left").join(deps, "request_id", "left").join(requests.select("request_id", "intent"), "request_id")
+        .withColumn("relevant_systems", F.coalesce("relevant_systems", none)).withColumn("dependencies", F.coalesce("dependencies", none))
     )
     used = quality.usage_records(ready, requests).select("request_id", "xml_focus", "xml_selected")
     return packet.evidence_summary(ready).join(used, "request_id")
@@ -402,8 +401,7 @@ def fallback_context(spark, sf):
         F.element_at(F.array(F.lit("mmo_workspace"), F.lit("unity_workspace")), (F.col("n_nationkey") % 2 + 1).cast("int")).alias("workspace_id"),
         F.concat("n_name", F.when(F.col("n_nationkey") % 3 == 0, " doc_8.xml").when(F.col("n_nationkey") % 3 == 1, " onuse").otherwise("")).alias("prompt"),
     )
-    # Only the name is searched for, so that most prompts match nothing.
-    requests = ad.prepare_requests(rows).withColumn("terms", text.intent_terms(F.substring_index("prompt", " ", 1)))
+    requests = ad.prepare_requests(rows)
     docs = cand.artifact_documents(ad.corpus(spark, sf), ad.now())
     matched = cand.score_artifacts(artifact_pairs(requests, docs))
     return cand.fallback_candidates(requests, docs, matched).select(
@@ -511,10 +509,11 @@ def knowledge_search(spark, sf):
 def knowledge_scope(spark, sf):
     """Knowledge rows inside each request's own workspace tree."""
     requests = ad.requests(spark, sf)
-    # Every prompt finds the pages of its own item number modulo 40, under one of three trees.
+    # The pages are dealt out to all prompts in turn, under one of three trees.
+    prompts = read_table(spark, sf, "benchmark").agg(F.count("*").alias("n_prompts"))
     tree = F.element_at(F.array(F.lit(".artifacts/workspaces/mmo_workspace/p1/"), F.lit(".artifacts/workspaces/plain/p2/"), F.lit("app/")), (F.col("page_id") % 3 + 1).cast("int"))
-    found = read_table(spark, sf, "pages").select(
-        (F.col("page_id") % 40).cast("string").alias("request_id"), F.concat(tree, "page_id").alias("source_path")
+    found = read_table(spark, sf, "pages").crossJoin(F.broadcast(prompts)).select(  # one row
+        (F.col("page_id") % F.col("n_prompts")).cast("string").alias("request_id"), F.concat(tree, "page_id").alias("source_path")
     )
     return memory.scope_knowledge(found, requests).select("request_id", "source_path")
 
@@ -529,10 +528,14 @@ def _link_edges(spark, sf):
     ).distinct()
 
 
-def _short_requests(spark, sf):
-    """Nation and region names as prompts."""
-    names = read_table(spark, sf, "nation").select("n_name").unionByName(read_table(spark, sf, "region").select(F.col("r_name").alias("n_name")))
-    return names.select(F.col("n_name").alias("request_id"), text.intent_terms(F.substr(F.lower("n_name"), F.lit(1), F.lit(3))).alias("terms"))
+def _link_requests(spark, sf):
+    """Whole link targets, and nation and region names, as prompts."""
+    names = (
+        read_table(spark, sf, "nation").select(F.col("n_name").alias("name"))
+        .unionByName(read_table(spark, sf, "region").select(F.col("r_name").alias("name")))
+        .unionByName(ad.links(spark, sf).select(F.col("target").alias("name")).distinct())
+    )
+    return names.select(F.col("name").alias("request_id"), text.intent_terms(F.col("name")).alias("terms"))
 
 
 @query
@@ -555,15 +558,15 @@ def normalized_links(spark, sf):
 
 @query
 def graph_seeds(spark, sf):
-    """Seed nodes per short prompt."""
-    return graph.seed_nodes(_link_edges(spark, sf), _short_requests(spark, sf))
+    """Seed nodes per link prompt."""
+    return graph.seed_nodes(_link_edges(spark, sf), _link_requests(spark, sf))
 
 
 @query
 def graph_expand(spark, sf):
     """Nodes within two steps, at most 80 per prompt, with system and class."""
     edges = _link_edges(spark, sf)
-    seeds = graph.seed_nodes(edges, _short_requests(spark, sf))
+    seeds = graph.seed_nodes(edges, _link_requests(spark, sf))
     return graph.classify_nodes(graph.expand(edges, seeds)).select(
         "request_id", "node", big("depth").alias("depth"), "system", "is_dependency"
     )
@@ -573,7 +576,7 @@ def graph_expand(spark, sf):
 def visited_relations(spark, sf):
     """Relations of the edges touching the visited nodes."""
     edges = _link_edges(spark, sf)
-    visited = graph.expand(edges, graph.seed_nodes(edges, _short_requests(spark, sf)))
+    visited = graph.expand(edges, graph.seed_nodes(edges, _link_requests(spark, sf)))
     return graph.relation_histogram(graph.normalize_edges(edges), visited)
 
 
@@ -773,17 +776,20 @@ def _validated(spark, sf):
 @query
 def edit_classes(spark, sf):
     """Type, targets and rate of prompts that name pages and numbers."""
-    rows = read_table(spark, sf, "benchmark").join(
-        read_table(spark, sf, "pages").withColumnRenamed("page_id", "item_id").select("item_id", "url"), "item_id"
+    rows = read_table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("request_id"), "item_id", "text").unionByName(
+        read_table(spark, sf, "pages").select(
+            F.concat(F.lit("p"), "page_id").alias("request_id"), F.col("page_id").alias("item_id"), F.concat_ws(" ", "url", "html").alias("text")
+        )
     )
     verb = F.element_at(F.array(*map(F.lit, ("remove", "update", "create new file", "raise rate to 1.5 in", "add +2 in"))), (F.col("item_id") % 5 + 1).cast("int"))
-    prompts = rows.select(F.col("item_id").alias("request_id"), F.concat_ws(" ", verb, F.lit("./app/main.py, src/a.lua and src/a.lua"), "url").alias("prompt"))
+    named = F.concat(F.lit("./app/main.py, src/a.lua and src/a.lua, docs/n"), F.col("item_id") % 7, F.lit(".md"))
+    prompts = rows.select("request_id", F.concat_ws(" ", verb, named, "text").alias("prompt"))
     targets = edits.edit_targets(prompts).groupBy("request_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "target"))), lambda t: t["target"]), "|").alias("targets")
     )
     return prompts.join(targets, "request_id").select(
         "request_id", edits.classify_type(F.col("prompt")).alias("type"), "targets", edits.is_increment(F.col("prompt")).alias("increment"),
-        edits.classify_risk(F.lit("patch_file"), F.lit("app/main.py")).alias("risk"),
+        joined(F.transform(F.split("targets", "[|]"), lambda t: edits.classify_risk(F.lit("patch_file"), t))).alias("risks"),
     )
 
 
@@ -828,9 +834,9 @@ def patch_dry_run(spark, sf):
 
 @query
 def duplicate_plans(spark, sf):
-    """User turns as plan iterations, repeated when the first word repeats."""
+    """User turns as plan iterations, repeated when the whole prompt repeats."""
     t = F.col("turn")
-    steps = F.array(F.struct(F.lit("patch_file").alias("type"), F.substring_index("prompt", " ", 1).alias("target"), F.lit("x").alias("intent")))
+    steps = F.array(F.struct(F.lit("patch_file").alias("type"), F.col("prompt").alias("target"), F.col("project_id").alias("intent")))
     plans = ad.chat_requests(spark, sf).select((F.col("conv_id") % 10).alias("run_id"), (F.col("conv_id") * 100 + t).alias("iteration"), steps.alias("steps"))
     return edits.duplicate_plans(plans).select("run_id", "iteration", "signature", "is_duplicate")
 

@@ -183,9 +183,8 @@ SELECT doc_id, CAST(line_count AS BIGINT) AS line_count, array_to_string(symbols
 FROM parsed"""
 
 ORACLE_SQL["text_chunks"] = r"""WITH b AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents)
-SELECT doc_id, CAST(ceil(length(body) / 260e0) AS BIGINT) AS chunks, CAST(length(body) AS BIGINT) AS chars,
-  substr(body, (CAST(ceil(length(body) / 260e0) AS BIGINT) - 1) * 260 + 1, 260) AS last_chunk
-FROM b WHERE body <> ''"""
+SELECT doc_id, CAST(n AS BIGINT) AS chunk_no, md5(substr(body, n * 260 + 1, 260)) AS chunk_hash
+FROM (SELECT *, unnest(range(CAST(ceil(length(body) / 260e0) AS BIGINT))) AS n FROM b WHERE body <> '')"""
 
 ORACLE_SQL["folder_rollup"] = f"""WITH {FILES}, {DEPS}
 SELECT project, folder, count(DISTINCT path) AS file_count,
@@ -275,7 +274,7 @@ events_out AS (
 ORACLE_SQL["snapshot_changes"] = f"""WITH {FILES}, {FILES_BEFORE}, {CHANGES}
 SELECT project, path, event_type, previous_path, previous_hash, current_hash FROM events_out"""
 
-_COARSE = FILES.replace("sha256(text) AS hash", "md5(substr(text, 1, 1)) AS hash")
+_COARSE = FILES.replace("sha256(text) AS hash", "md5(CAST(length(text) AS VARCHAR)) AS hash")
 _COARSE_BEFORE = FILES_BEFORE.replace("sha256(content || 'x')", "hash")
 ORACLE_SQL["rename_pairs"] = f"""WITH {_COARSE}, {_COARSE_BEFORE}, {CHANGES}
 SELECT project, hash, path, previous_path FROM renames"""
@@ -468,9 +467,8 @@ ORACLE_SQL["fallback_context"] = f"""WITH {FILES}, {DEPS},
 requests AS (SELECT CAST(n_nationkey AS VARCHAR) AS request_id, ['mmo_workspace', 'unity_workspace'][n_nationkey % 2 + 1] AS workspace_id,
   n_name || CASE n_nationkey % 3 WHEN 0 THEN ' doc_8.xml' WHEN 1 THEN ' onuse' ELSE '' END AS prompt FROM nation),
 {REQUEST_FEATURES}, {DOC_FEATURES},
-rt AS (SELECT * REPLACE ({terms_of("split_part(prompt, ' ', 1)")} AS terms) FROM rf),
-hit AS (SELECT DISTINCT request_id FROM rt, df WHERE len(list_filter(terms, lambda x: contains(hay, x))) / CAST(len(terms) AS DOUBLE) > 5e-2),
-idle AS (SELECT *, 0e0 AS relevance FROM rt, df WHERE request_id NOT IN (SELECT request_id FROM hit) AND ext IN ({quoted(rules.DOMAIN_EXTENSIONS)}) AND NOT d_in_low_signal AND NOT d_in_tools),
+hit AS (SELECT DISTINCT request_id FROM rf, df WHERE len(list_filter(terms, lambda x: contains(hay, x))) / CAST(len(terms) AS DOUBLE) > 5e-2),
+idle AS (SELECT *, 0e0 AS relevance FROM rf, df WHERE request_id NOT IN (SELECT request_id FROM hit) AND ext IN ({quoted(rules.DOMAIN_EXTENSIONS)}) AND NOT d_in_low_signal AND NOT d_in_tools),
 imp AS (SELECT *, greatest(5e-2, least(1e0, 5e-1 + least(45e-2, n_deps * 4e-2) + {bonus_sql()})) AS importance, 78e-2 AS confidence, 0e0 AS semantic FROM idle),
 r AS (SELECT *, {FINAL} AS final_score, row_number() OVER (PARTITION BY request_id ORDER BY importance DESC, freshness DESC, n_deps DESC, source) AS rn FROM imp)
 SELECT request_id, source, {rnd('importance')} AS importance, freshness, CAST(n_deps AS BIGINT) AS n_deps, final_score FROM r WHERE rn <= 24"""
@@ -536,7 +534,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC,
 SELECT request_id, node_id, {rnd('score', 6)} AS score, rank FROM r WHERE rank <= 5"""
 
 ORACLE_SQL["knowledge_scope"] = f"""WITH {requests_cte()},
-f AS (SELECT CAST(page_id % 40 AS VARCHAR) AS request_id, ['.artifacts/workspaces/mmo_workspace/p1/', '.artifacts/workspaces/plain/p2/', 'app/'][page_id % 3 + 1] || page_id AS source_path FROM pages)
+f AS (SELECT CAST(page_id % (SELECT count(*) FROM benchmark) AS VARCHAR) AS request_id, ['.artifacts/workspaces/mmo_workspace/p1/', '.artifacts/workspaces/plain/p2/', 'app/'][page_id % 3 + 1] || page_id AS source_path FROM pages)
 SELECT request_id, source_path FROM f JOIN requests USING (request_id)
 WHERE NOT starts_with(source_path, 'app/') AND starts_with(source_path, '.artifacts/workspaces/' || workspace_id || '/' || project_id || '/')"""
 
@@ -553,32 +551,33 @@ UNION ALL SELECT split_part(id, ':', 1), count(*) FROM n GROUP BY 1
 UNION ALL SELECT 'map', count(*) FROM d"""
 
 EDGES = """
-edges AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#:]+)', 1) AS source, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target,
+edges AS MATERIALIZED (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#:]+)', 1) AS source, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target,
   CASE WHEN page_id % 2 = 0 THEN 'map' ELSE 'edge' END AS kind, CASE WHEN page_id % 3 = 0 THEN ' ' ELSE 'links' END AS relation FROM pages)"""
 ORACLE_SQL["normalized_links"] = f"""WITH {EDGES}
 SELECT CASE WHEN trim(relation) = '' THEN 'related_to' ELSE trim(relation) END AS relation, kind, count(*) AS edges FROM edges WHERE trim(source) <> '' AND trim(target) <> '' GROUP BY ALL"""
 
 SEEDS = f"""
-names AS (SELECT n_name FROM nation UNION ALL SELECT r_name FROM region),
-q AS (SELECT n_name AS request_id, {terms_of('substr(lower(n_name), 1, 3)')} AS terms FROM names),
+names AS (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT DISTINCT target FROM edges),
+q AS (SELECT name AS request_id, {terms_of('name')} AS terms FROM names),
 nodes AS (SELECT source AS node FROM edges UNION SELECT target FROM edges),
-hits AS (SELECT request_id, node FROM q, nodes WHERE len(list_filter(terms, lambda x: contains(lower(node), x))) > 0),
-seeded AS (SELECT h.request_id, unnest([e.source, e.target]) AS node FROM hits h JOIN edges e ON e.target = h.node OR (e.source = h.node AND e.kind = 'edge')
+hits AS MATERIALIZED (SELECT request_id, node FROM q, nodes WHERE len(list_filter(terms, lambda x: contains(lower(node), x))) > 0),
+ends AS (SELECT request_id, source, target FROM hits JOIN edges ON target = node UNION SELECT request_id, source, target FROM hits JOIN edges ON source = node AND kind = 'edge'),
+seeded AS (SELECT request_id, unnest([source, target]) AS node FROM ends
   UNION SELECT h.request_id, h.node FROM hits h WHERE node IN (SELECT source FROM edges WHERE kind = 'map')),
-seeds AS (SELECT DISTINCT request_id, node FROM seeded UNION SELECT request_id, node FROM q, (SELECT DISTINCT source AS node FROM edges WHERE kind = 'map' ORDER BY 1 LIMIT 3) f
+seeds AS MATERIALIZED (SELECT DISTINCT request_id, node FROM seeded UNION SELECT request_id, node FROM q, (SELECT DISTINCT source AS node FROM edges WHERE kind = 'map' ORDER BY 1 LIMIT 3) f
   WHERE request_id NOT IN (SELECT request_id FROM seeded))"""
 ORACLE_SQL["graph_seeds"] = f"WITH {EDGES}, {SEEDS} SELECT request_id, node FROM seeds"
 
 EXPAND = """
-near AS (SELECT source AS node, target AS neighbour FROM edges UNION SELECT target, source FROM edges),
+near AS MATERIALIZED (SELECT source AS node, target AS neighbour FROM edges UNION SELECT target, source FROM edges),
 sc AS (SELECT request_id, count(*) AS c FROM seeds GROUP BY request_id),
-v0 AS (SELECT request_id, node, 0 AS depth, row_number() OVER (PARTITION BY request_id ORDER BY node) AS place FROM seeds JOIN sc USING (request_id) WHERE c < 80),
-c1 AS (SELECT v.request_id, neighbour AS node, min(place) AS pp FROM v0 v JOIN near USING (node) WHERE (v.request_id, neighbour) NOT IN (SELECT request_id, node FROM v0) GROUP BY ALL),
+v0 AS MATERIALIZED (SELECT request_id, node, 0 AS depth, row_number() OVER (PARTITION BY request_id ORDER BY node) AS place FROM seeds JOIN sc USING (request_id) WHERE c < 80),
+c1 AS (SELECT v.request_id, neighbour AS node, min(place) AS pp FROM v0 v JOIN near USING (node) WHERE NOT EXISTS (SELECT 1 FROM v0 w WHERE w.request_id = v.request_id AND w.node = neighbour) GROUP BY ALL),
 r1 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pp, node) AS n FROM c1),
-v1 AS (SELECT r1.request_id, node, 1 AS depth, n + c AS place FROM r1 JOIN sc USING (request_id) WHERE n <= 80 - c),
-u1 AS (SELECT * FROM v0 UNION ALL SELECT * FROM v1),
+v1 AS MATERIALIZED (SELECT r1.request_id, node, 1 AS depth, n + c AS place FROM r1 JOIN sc USING (request_id) WHERE n <= 80 - c),
+u1 AS MATERIALIZED (SELECT * FROM v0 UNION ALL SELECT * FROM v1),
 t1 AS (SELECT request_id, count(*) AS c FROM u1 GROUP BY request_id),
-c2 AS (SELECT v.request_id, neighbour AS node, min(place) AS pp FROM v1 v JOIN near USING (node) WHERE (v.request_id, neighbour) NOT IN (SELECT request_id, node FROM u1) GROUP BY ALL),
+c2 AS (SELECT v.request_id, neighbour AS node, min(place) AS pp FROM v1 v JOIN near USING (node) WHERE NOT EXISTS (SELECT 1 FROM u1 w WHERE w.request_id = v.request_id AND w.node = neighbour) GROUP BY ALL),
 r2 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pp, node) AS n FROM c2),
 visited AS (SELECT request_id, node, depth FROM u1 UNION ALL SELECT r2.request_id, node, 2 FROM r2 JOIN t1 USING (request_id) WHERE n <= 80 - c
   UNION ALL SELECT request_id, node, 0 FROM seeds JOIN sc USING (request_id) WHERE c >= 80)"""
@@ -739,7 +738,7 @@ SELECT plan_id, count(*) FILTER (starts_with(o, 'applied')) AS applied, count(*)
 FROM results JOIN d USING (plan_id) GROUP BY plan_id, level"""
 ORACLE_SQL["edit_rollback"] = f"WITH {FILES} SELECT path AS doc_path, sha256(content) AS content_hash FROM files"
 ORACLE_SQL["patch_dry_run"] = f"WITH {FILES}, {EDITS} SELECT step_id, present AND contains(content, 'onre') AS matches FROM plan WHERE type = 'patch_file'"
-ORACLE_SQL["duplicate_plans"] = f"""WITH {CHAT}, p AS (SELECT conv_id % 10 AS run_id, conv_id * 100 + turn AS iteration, 'patch_file:' || split_part(prompt, ' ', 1) || ':x' AS signature FROM chat)
+ORACLE_SQL["duplicate_plans"] = f"""WITH {CHAT}, p AS (SELECT conv_id % 10 AS run_id, conv_id * 100 + turn AS iteration, 'patch_file:' || prompt || ':' || project_id AS signature FROM chat)
 SELECT run_id, iteration, signature, iteration > min(iteration) OVER (PARTITION BY run_id, signature) AS is_duplicate FROM p"""
 
 # --- streams ----------------------------------------------------------------------------------------------
@@ -750,10 +749,16 @@ SELECT * EXCLUDE (d), strftime(d, '%Y-%m-%d') AS day FROM k"""
 ORACLE_SQL["embedding_cache"] = r"""WITH d AS (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS body, length(text) AS n FROM documents)
 SELECT CAST(CASE WHEN body <> '' THEN 16 END AS BIGINT) AS dims, body <> '' AND body NOT IN (SELECT body FROM d WHERE n < 1000) AS is_new, count(*) AS texts FROM d GROUP BY ALL"""
 
-ORACLE_SQL["edit_classes"] = f"""WITH p AS (SELECT item_id AS request_id, item_id % 5 AS v,
-  ['remove', 'update', 'create new file', 'raise rate to 1.5 in', 'add +2 in'][item_id % 5 + 1] || ' ./app/main.py, src/a.lua and src/a.lua ' || url AS prompt
-  FROM benchmark JOIN pages ON page_id = item_id),
+_INCREMENT = r"""(regexp_matches(low, '\+\s*\d+(?:\.\d+)?')
+  OR regexp_matches(low, '(?:aumenta|aumente|increase|add|somar|soma|incrementa|increment)\D{0,20}(?:em|by|\+)\s*\d+(?:\.\d+)?'))"""
+_NAMED = r"lower(trim(replace(x, '\\', '/'), '/'))"
+_RISK = f"""CASE WHEN {_NAMED} IN ({quoted(rules.HIGH_RISK_FILES)}) OR (starts_with({_NAMED}, 'app/') AND ends_with({_NAMED}, '.py')) THEN 'high'
+  WHEN contains('/' || {_NAMED} || '/', '/tests/') OR regexp_extract({_NAMED}, '(?:^|/)[^/]+(\\.[^./]+)$', 1) IN ({quoted(rules.LOW_RISK_EXTENSIONS)}) THEN 'low' ELSE 'medium' END"""
+ORACLE_SQL["edit_classes"] = f"""WITH a AS (SELECT 'b' || item_id AS request_id, item_id, text FROM benchmark UNION ALL SELECT 'p' || page_id, page_id, url || ' ' || html FROM pages),
+p AS (SELECT request_id, item_id % 5 AS v,
+  ['remove', 'update', 'create new file', 'raise rate to 1.5 in', 'add +2 in'][item_id % 5 + 1] || ' ./app/main.py, src/a.lua and src/a.lua, docs/n' || item_id % 7 || '.md ' || text AS prompt FROM a),
 t AS (SELECT *, lower(prompt) AS low, list_filter(list_transform(regexp_extract_all(prompt, '([A-Za-z0-9_./\\\\-]+\\.[A-Za-z0-9]{{1,10}})', 1), lambda x: trim(regexp_replace(x, '^(\\./)+', ''), '/')), lambda x: x <> '') AS found FROM p)
 SELECT request_id, CASE WHEN {any_of('low', rules.DELETE_HINTS)} THEN 'delete_file' WHEN {any_of('low', rules.PATCH_HINTS)} THEN 'patch_file'
   WHEN {any_of('low', rules.CREATE_HINTS)} OR ({any_of('low', ('file', 'arquivo'))} AND {any_of('low', rules.CREATE_WORDS)}) THEN 'create_file' ELSE 'update_file' END AS type,
-  array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i)[1:8], '|') AS targets, v = 4 AS increment, 'high' AS risk FROM t"""
+  array_to_string(targets, '|') AS targets, {_INCREMENT} AS increment, array_to_string(list_transform(targets, lambda x: {_RISK}), '|') AS risks
+FROM (SELECT *, list_filter(found, lambda x, i: list_position(found, x) = i)[1:8] AS targets FROM t)"""
