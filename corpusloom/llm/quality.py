@@ -47,7 +47,10 @@ _REPEAT = np.int64(xxhash.xxh64_intdigest("repeat") % SLOTS)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, values) of a text: its words, word shapes, shape pairs and word repetitions, log counts of unit length."""
+    """(slots, values) of a text: log counts of its words, and of its word shapes, shape pairs and repetitions.
+
+    The second part has unit length.  Words are divided by the root of their length only, so a few telling words still count in a long text.
+    """
     found = (text or "").split()
     codes = np.fromiter(map(_WORDS.__getitem__, found), np.int64, len(found))
     if not len(codes):
@@ -55,10 +58,11 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     shapes, own = codes % SLOTS, codes // SLOTS
     pairs = (shapes[1:] * 31 + shapes[:-1] * 17 + 5) % SLOTS
     again = np.full(int((own[1:] == own[:-1]).sum()), _REPEAT)
-    counts = np.bincount(np.concatenate([own % SLOTS, shapes, pairs, again]), minlength=SLOTS)
-    slots = np.flatnonzero(counts)
-    values = np.log1p(counts[slots])
-    return slots.astype(np.int32), (values / np.sqrt((values**2).sum())).astype(np.float32)
+    words = np.log1p(np.bincount(own % SLOTS, minlength=SLOTS))
+    form = np.log1p(np.bincount(np.concatenate([shapes, pairs, again]), minlength=SLOTS))
+    values = words / (3 * np.linalg.norm(words) ** 0.5) + form / np.linalg.norm(form)
+    slots = np.flatnonzero(values)
+    return slots.astype(np.int32), values[slots].astype(np.float32)
 
 
 @dataclass
@@ -71,7 +75,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def fit(slots: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, steps: int = 200, l2: float = 1e-4) -> OrdinalModel:
+def fit(slots: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, steps: int = 200, l2: float = 2e-5) -> OrdinalModel:
     """Maximum likelihood of the cumulative-link model by full-batch Adam.
 
     The gaps between thresholds are exponentials, so they stay ordered.  Without rows, or where all grades agree, the
@@ -153,14 +157,14 @@ def _scores(model: OrdinalModel):
 def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
     """One row per input row: (id, expected_grade, p_good, p_best, kept).
 
-    ``p_good`` is the tail probability of a grade above 0; rows from ``keep_from`` on are kept.  Null and empty texts have the
+    ``p_good`` and ``p_best`` are the tail probabilities of a grade above 0 and above 1; rows whose ``p_best`` is at least ``keep_from`` are kept.  Null and empty texts have the
     score 0 and are graded by the thresholds alone.  Null ids and repeated rows are graded like any other; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         _scores(model), f"id {kind}, expected_grade double, p_good double, p_best double"
     )
-    return scored.select(F.col("id").alias(id_col), "expected_grade", "p_good", "p_best", (F.col("p_good") >= keep_from).alias("kept"))
+    return scored.select(F.col("id").alias(id_col), "expected_grade", "p_good", "p_best", (F.col("p_best") >= keep_from).alias("kept"))
 
 
 def keep_good(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
@@ -173,6 +177,6 @@ def keep_good(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep
             for i, text in enumerate(batch.column(at)):
                 slots, values = features(text.as_py())
                 scores[i] = model.weights[slots] @ values
-            yield batch.filter(pa.array(model.tails(scores)[:, 0] >= keep_from))
+            yield batch.filter(pa.array(model.tails(scores)[:, 1] >= keep_from))
 
     return docs.mapInArrow(run, docs.schema)
