@@ -251,12 +251,17 @@ def rollup_nodes(leaves: DataFrame) -> DataFrame:
     return joined.withColumn("risk_level", risk).withColumn("summary", summary).drop("_kids", "_titles")
 
 
-def knowledge_tree(nodes: DataFrame) -> DataFrame:
-    """Nodes in level, path, id order with the stale total on each row."""
+def knowledge_tree(nodes: DataFrame, drift: DataFrame | None = None) -> DataFrame:
+    """Nodes in project, level, path, id order; with ``drift`` (project, drift) the stale total of the project on each row.
+
+    Nodes whose level is unknown are skipped.
+    """
     ranks = F.create_map(*[F.lit(x) for pair in LEVEL_RANK.items() for x in pair])
-    return nodes.withColumn("level_rank", F.element_at(ranks, F.col("level"))).orderBy(
-        "project", "level_rank", "source_path", "node_id"
-    )
+    rows = nodes.withColumn("level_rank", F.try_element_at(ranks, F.col("level"))).filter("level_rank is not null")
+    if drift is not None:
+        rows = rows.join(drift.select("project", F.col("drift").alias("_stale")), "project", "left")
+        rows = rows.withColumn("stale", F.coalesce("_stale", F.lit(0))).drop("_stale")
+    return rows.orderBy("project", "level_rank", "source_path", "node_id")
 
 
 def render_nodes(nodes: DataFrame) -> DataFrame:

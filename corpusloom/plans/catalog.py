@@ -773,9 +773,8 @@ def _validated(spark, sf):
     )
 
 
-@query
-def edit_classes(spark, sf):
-    """Type, targets and rate of prompts that name pages and numbers."""
+def _edit_prompts(spark, sf):
+    """Items and whole pages as prompts that name files and numbers."""
     rows = read_table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("request_id"), "item_id", "text").unionByName(
         read_table(spark, sf, "pages").select(
             F.concat(F.lit("p"), "page_id").alias("request_id"), F.col("page_id").alias("item_id"), F.concat_ws(" ", "url", "html").alias("text")
@@ -783,7 +782,13 @@ def edit_classes(spark, sf):
     )
     verb = F.element_at(F.array(*map(F.lit, ("remove", "update", "create new file", "raise rate to 1.5 in", "add +2 in"))), (F.col("item_id") % 5 + 1).cast("int"))
     named = F.concat(F.lit("./app/main.py, src/a.lua and src/a.lua, docs/n"), F.col("item_id") % 7, F.lit(".md"))
-    prompts = rows.select("request_id", F.concat_ws(" ", verb, named, "text").alias("prompt"))
+    return rows.select("request_id", F.concat_ws(" ", verb, named, "text").alias("prompt"))
+
+
+@query
+def edit_classes(spark, sf):
+    """Type, targets and rate of prompts that name pages and numbers."""
+    prompts = _edit_prompts(spark, sf)
     targets = edits.edit_targets(prompts).groupBy("request_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "target"))), lambda t: t["target"]), "|").alias("targets")
     )
@@ -862,13 +867,11 @@ def cooldown_triggers(spark, sf):
 @query
 def kpi_stream(spark, sf):
     """Traces written as JSON lines, streamed into daily KPIs, read back."""
-    import uuid
-
-    from ..session import shared_dir
+    from ..session import scratch
     from ..sources.sinks import write_traces
     from ..streaming.traces import land_kpis, read_kpis, stream_traces
 
-    base = f"{shared_dir(spark)}/kpi-stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "kpi-stream")
     write_traces(ad.traces(spark, sf).drop("seq"), f"{base}/traces")
     job = (
         stream_traces(spark, f"{base}/traces").writeStream.foreachBatch(land_kpis(f"{base}/log", f"{base}/kpis"))

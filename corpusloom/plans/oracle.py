@@ -746,6 +746,16 @@ SELECT run_id, iteration, signature, iteration > min(iteration) OVER (PARTITION
 ORACLE_SQL["kpi_stream"] = f"""WITH {TRACES}, k AS (SELECT date_trunc('day', ts) AS d, {KPI} FROM traces GROUP BY 1)
 SELECT * EXCLUDE (d), strftime(d, '%Y-%m-%d') AS day FROM k"""
 
+# The next firing is the first weak event a cooldown after the last one; every other event looks at the firing before it.
+ORACLE_SQL["cooldown_triggers"] = """WITH RECURSIVE
+g AS MATERIALIZED (SELECT 'w' || user_id % 4 AS workspace_id, event_id AS seq, ts AS moment, event_type <> 'view' AS weak FROM events),
+fire AS (SELECT workspace_id, min(struct_pack(moment := moment, seq := seq)) AS f FROM g WHERE weak GROUP BY workspace_id
+  UNION ALL SELECT g.workspace_id, min(struct_pack(moment := g.moment, seq := g.seq)) FROM fire JOIN g ON g.workspace_id = fire.workspace_id
+    AND g.weak AND g.moment >= fire.f.moment + INTERVAL 600 SECONDS GROUP BY g.workspace_id),
+m AS (SELECT g.*, fire.f IS NOT NULL AS fired, max(fire.f.moment) OVER (PARTITION BY g.workspace_id ORDER BY g.moment, g.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM g LEFT JOIN fire ON fire.workspace_id = g.workspace_id AND fire.f.seq = g.seq)
+SELECT workspace_id, seq, weak, fired, CASE WHEN fired THEN 'weak_context' WHEN moment < before + INTERVAL 600 SECONDS THEN 'cooldown_active' ELSE 'context_sufficient' END AS reason FROM m"""
+
 ORACLE_SQL["embedding_cache"] = r"""WITH d AS (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS body, length(text) AS n FROM documents)
 SELECT CAST(CASE WHEN body <> '' THEN 16 END AS BIGINT) AS dims, body <> '' AND body NOT IN (SELECT body FROM d WHERE n < 1000) AS is_new, count(*) AS texts FROM d GROUP BY ALL"""
 

@@ -75,11 +75,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     executors, and their sizes give the planner real statistics.
     """
     spark = df.sparkSession
-    path = f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own for what one run writes; ``release_stages`` deletes it."""
+    return f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def release_stages(spark: SparkSession) -> None:
     """Delete what this application staged, once no result that reads it is needed any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,16 +94,17 @@ def recent_traces(lines: DataFrame, n: int = 20) -> DataFrame:
 
 
 def latest_usage(spark: SparkSession, directory: str) -> DataFrame:
-    """Records of the lexicographically last cognitive-usage-*.jsonl."""
+    """Records of the lexicographically last cognitive-usage-*.jsonl, a file or a folder of parts."""
     rows = spark.read.schema(USAGE_SCHEMA)
-    names = rows.json(f"{directory}/cognitive-usage-*.jsonl").inputFiles()  # names only
-    return rows.json(max(names)) if names else spark.createDataFrame([], USAGE_SCHEMA)
+    listed = rows.json(f"{directory}/cognitive-usage-*.jsonl").inputFiles()  # names only
+    names = {re.search(r"cognitive-usage-[^/]*\.jsonl", name)[0] for name in listed}
+    return rows.json(f"{directory}/{max(names)}") if names else spark.createDataFrame([], USAGE_SCHEMA)
 
 
-def load_graph(spark: SparkSession, path: str) -> DataFrame:
-    """Edge rows of graph JSON documents: dependency map and relationship list."""
+def load_graph(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Edge rows of graph JSON documents, one a file or one a line: dependency map and relationship list."""
     schema = "dependencies map<string,array<string>>, edges array<struct<source:string,target:string,relation:string>>"
-    raw = spark.read.schema(schema).option("multiLine", "true").json(path)
+    raw = spark.read.schema(schema).option("multiLine", not lines).json(path)
     from_map = raw.select(F.explode("dependencies").alias("source", "targets")).select(
         "source", F.explode("targets").alias("target"), F.lit("map").alias("kind"), F.lit(None).cast("string").alias("relation")
     )
@@ -120,11 +123,11 @@ def pair_summaries(meta: DataFrame, summaries: DataFrame) -> DataFrame:
     ).drop("_summary")
 
 
-def read_workload(spark: SparkSession, path: str, default_workspace: str = paths.DEFAULT_WORKSPACE) -> DataFrame:
-    """Workload prompts with defaults; rows without project or prompt are skipped."""
+def read_workload(spark: SparkSession, path: str, default_workspace: str = paths.DEFAULT_WORKSPACE, lines: bool = False) -> DataFrame:
+    """Workload prompts of JSON documents, one a file or one a line, with defaults; rows without project or prompt are skipped."""
     schema = "queries array<struct<workspace_id:string,project_id:string,user_id:string,domain:string,prompt:string>>"
     return (
-        spark.read.schema(schema).option("multiLine", "true").json(path)
+        spark.read.schema(schema).option("multiLine", not lines).json(path)
         .select(F.posexplode("queries").alias("index", "q"))
         .select(
             (F.col("index") + 1).alias("index"), F.coalesce("q.workspace_id", F.lit(default_workspace)).alias("workspace_id"),

@@ -76,3 +76,10 @@ def test_latest_usage_reads_the_last_file(spark, tmp_path):
     for name, n in (("20260101", 3), ("20260201", 1)):
         (tmp_path / f"cognitive-usage-{name}.jsonl").write_text("{}\n" * n)
     assert latest_usage(spark, str(tmp_path)).count() == 1
+
+
+def test_latest_usage_reads_every_part_of_the_last_run(spark, tmp_path):
+    rows = spark.range(40).selectExpr("concat('d', id) AS domain").repartition(4)
+    rows.limit(3).write.json(f"{tmp_path}/cognitive-usage-20260101.jsonl")
+    rows.write.json(f"{tmp_path}/cognitive-usage-20260201.jsonl")
+    assert latest_usage(spark, str(tmp_path)).distinct().count() == 40
