@@ -463,6 +463,27 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, su
 ORACLE_SQL["candidate_dedup"] = f"""WITH {retrieval_ctes(False)}, {BEST}
 SELECT request_id, count(*) AS candidates, {rnd('CAST(sum(CAST(final_score AS DECIMAL(10,4))) AS DOUBLE)')} AS score_sum, min(source) AS first_source FROM best GROUP BY request_id"""
 
+# The budget walk over chosen items only: from (rank, used) the next is the first later candidate that fits, or the very next while 260 or more
+# remain.  Plain prompts ask for no XML or loot and every one matches, so no item is forced in and no fallback is due.
+WALK = f"""
+ranked AS MATERIALIZED (SELECT request_id, source, substr(body, 1, 3500) AS head, length(body) AS size, final_score, freshness, confidence, is_hot,
+  row_number() OVER (PARTITION BY request_id {_RANK}) AS rank FROM best),
+walk AS (SELECT request_id, CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS used, '' AS content, CAST(0 AS BIGINT) AS position FROM requests
+  UNION ALL SELECT request_id, rank, CAST(used + length(content) AS BIGINT), content, position FROM (
+    SELECT request_id, rank, used, position, CASE WHEN size <= 3500 - used THEN head
+      ELSE regexp_replace(substr(head, 1, greatest(260, 3496 - used)), '\\s+$', '') || chr(10) || '...' END AS content
+    FROM (SELECT w.request_id, min(r.rank) AS rank, any_value(w.used) AS used, any_value(w.position) + 1 AS position, arg_min(r.head, r.rank) AS head, arg_min(r.size, r.rank) AS size
+      FROM walk w JOIN ranked r ON r.request_id = w.request_id AND r.rank > w.rank AND w.used < 3500 AND (r.size <= 3500 - w.used OR 3500 - w.used >= 260) GROUP BY w.request_id))),
+chosen AS (SELECT w.request_id, w.position, source, w.content, final_score, freshness, confidence, is_hot FROM walk w JOIN ranked r USING (request_id, rank) WHERE w.position > 0),
+packet AS (SELECT q.request_id, count(c.source) AS selected_count, (SELECT count(*) FROM ranked r WHERE r.request_id = q.request_id) - count(c.source) AS dropped_count,
+  CAST(coalesce(sum(length(c.content)), 0) AS BIGINT) AS used_chars, count(*) FILTER (c.freshness < 40e-2) AS stale, count(*) FILTER (c.confidence < 50e-2) AS unsure,
+  count(*) FILTER (c.is_hot) AS hot_context_count, count(*) FILTER (starts_with(c.source, 'artifact:file:')) AS artifacts,
+  CASE WHEN count(c.source) > 0 THEN {rnd('CAST(sum(CAST(c.final_score AS DECIMAL(10,4))) AS DOUBLE) / count(c.source)')} ELSE 0e0 END AS avg_context_score
+  FROM requests q LEFT JOIN chosen c USING (request_id) GROUP BY q.request_id)"""
+ORACLE_SQL["context_pack"] = f"""WITH RECURSIVE {retrieval_ctes(True)}, {BEST}, {WALK}
+SELECT request_id, position AS rank, source, CAST(length(content) AS BIGINT) AS chars, sha256(content) AS content_hash, selected_count, dropped_count, used_chars
+FROM chosen JOIN packet USING (request_id)"""
+
 ORACLE_SQL["fallback_context"] = f"""WITH {FILES}, {DEPS},
 requests AS (SELECT CAST(n_nationkey AS VARCHAR) AS request_id, ['mmo_workspace', 'unity_workspace'][n_nationkey % 2 + 1] AS workspace_id,
   n_name || CASE n_nationkey % 3 WHEN 0 THEN ' doc_8.xml' WHEN 1 THEN ' onuse' ELSE '' END AS prompt FROM nation),
