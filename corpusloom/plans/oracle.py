@@ -484,6 +484,16 @@ ORACLE_SQL["context_pack"] = f"""WITH RECURSIVE {retrieval_ctes(True)}, {BEST},
 SELECT request_id, position AS rank, source, CAST(length(content) AS BIGINT) AS chars, sha256(content) AS content_hash, selected_count, dropped_count, used_chars
 FROM chosen JOIN packet USING (request_id)"""
 
+ORACLE_SQL["risk_counts"] = f"""WITH RECURSIVE {retrieval_ctes(True)}, {BEST}, {WALK},
+n AS (SELECT *, CASE WHEN selected_count = 0 THEN ['No relevant context selected; fallback to model-only reasoning may reduce quality.'] ELSE [] END
+  || CASE WHEN stale > 0 THEN [stale || ' selected contexts may be stale (low freshness score).'] ELSE [] END
+  || CASE WHEN dropped_count > 0 THEN ['Token budget dropped ' || dropped_count || ' context candidates.'] ELSE [] END
+  || CASE WHEN unsure > 0 THEN [unsure || ' selected contexts have low confidence score.'] ELSE [] END AS notes FROM packet),
+w AS (SELECT *, CASE WHEN selected_count < 2 THEN ['low_selected_context'] ELSE [] END || CASE WHEN artifacts = 0 AND selected_count <= 2 THEN ['no_artifact_sources'] ELSE [] END
+  || CASE WHEN selected_count = 0 THEN ['no_relevant_context'] ELSE [] END || CASE WHEN stale > 0 THEN ['stale_context_signal'] ELSE [] END
+  || CASE WHEN dropped_count >= 10 AND selected_count <= 1 THEN ['high_drop_low_selection'] ELSE [] END AS codes FROM n)
+SELECT request_id, array_to_string(notes, '; ') AS risks, array_to_string(codes, '|') AS reasons, len(codes) > 0 AS weak, avg_context_score, hot_context_count FROM w"""
+
 ORACLE_SQL["fallback_context"] = f"""WITH {FILES}, {DEPS},
 requests AS (SELECT CAST(n_nationkey AS VARCHAR) AS request_id, ['mmo_workspace', 'unity_workspace'][n_nationkey % 2 + 1] AS workspace_id,
   n_name || CASE n_nationkey % 3 WHEN 0 THEN ' doc_8.xml' WHEN 1 THEN ' onuse' ELSE '' END AS prompt FROM nation),
