@@ -393,6 +393,30 @@ def risk_counts(spark, sf):
     )
 
 
+@query
+def packet_lists(spark, sf):
+    """Clean dependencies and recent changes of what every plain prompt matches."""
+    requests, scored = ad.requests(spark, sf, plain=True), _scored(spark, sf, plain=True)
+    docs = ad.corpus(spark, sf).withColumn("source", F.concat(F.lit("artifact:file:"), "path"))
+    deps = packet.sanitize_dependencies(packet.candidate_dependencies(scored, docs), "request_id", is_clean=True)
+    none = F.array().cast("array<string>")
+    return requests.select("request_id").join(deps, "request_id", "left").join(packet.recent_changes(scored), "request_id", "left").select(
+        "request_id", joined(F.coalesce("dependencies", none)).alias("dependencies"), joined(F.coalesce("recent_changes", none)).alias("recent_changes")
+    )
+
+
+@query
+def packet_systems(spark, sf):
+    """Q14, Q15: systems named by every file per project, and by every page path per page group."""
+    sources = ad.files(spark, sf).select(F.col("project").alias("request_id"), F.concat(F.lit("artifact:file:"), "path").alias("source"))
+    path = F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1)
+    named = read_table(spark, sf, "pages").select(
+        F.concat(F.lit("page"), F.col("page_id") % 10).alias("request_id"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" file:"), path)).otherwise(path).alias("system")
+    )
+    systems = packet.sanitize_systems(packet.systems_from_sources(sources).unionByName(named), "request_id")
+    return systems.select("request_id", joined("relevant_systems").alias("systems"))
+
+
 @query
 def fallback_context(spark, sf):
     """Best domain files for nation names no file mentions."""

@@ -494,6 +494,28 @@ w AS (SELECT *, CASE WHEN selected_count < 2 THEN ['low_selected_context'] ELSE
   || CASE WHEN dropped_count >= 10 AND selected_count <= 1 THEN ['high_drop_low_selection'] ELSE [] END AS codes FROM n)
 SELECT request_id, array_to_string(notes, '; ') AS risks, array_to_string(codes, '|') AS reasons, len(codes) > 0 AS weak, avg_context_score, hot_context_count FROM w"""
 
+_NOISY = " OR ".join(f"starts_with(low, '{x}')" for x in (*rules.DEPENDENCY_NOISE_PREFIXES, "__"))
+_ROOTED = " OR ".join(f"starts_with(low, 'file:{x}')" for x in rules.DEPENDENCY_FILE_ROOTS)
+ORACLE_SQL["packet_lists"] = f"""WITH {retrieval_ctes(True)},
+raw AS (SELECT DISTINCT s.request_id, unnest(df.dependencies) AS x FROM scored s JOIN df USING (source)),
+d AS (SELECT request_id, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS d, lower(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS low FROM raw),
+clean AS (SELECT DISTINCT request_id, d FROM d WHERE NOT ({_NOISY}) AND low NOT IN ({quoted(rules.DEPENDENCY_NOISE)}) AND (NOT starts_with(low, 'file:') OR {_ROOTED})
+  AND (starts_with(low, 'file:') OR NOT contains(low, '.')) AND length(d) >= 3),
+deps AS (SELECT request_id, list_sort(list(d))[1:180] AS l FROM clean GROUP BY request_id),
+recent AS (SELECT request_id, list_sort(list_distinct(list(path)))[1:25] AS l FROM scored WHERE freshness >= 85e-2 GROUP BY request_id)
+SELECT q.request_id, coalesce(array_to_string(deps.l, '|'), '') AS dependencies, coalesce(array_to_string(recent.l, '|'), '') AS recent_changes
+FROM requests q LEFT JOIN deps USING (request_id) LEFT JOIN recent ON recent.request_id = q.request_id"""
+
+ORACLE_SQL["packet_systems"] = rf"""WITH {FILES},
+v AS (SELECT project AS request_id, CASE WHEN split_part(path, '/', 1) = 'data' THEN 'data/' || split_part(path, '/', 2) ELSE split_part(path, '/', 1) END AS v FROM files
+  UNION ALL SELECT 'page' || page_id % 10, CASE WHEN page_id % 3 = 0 THEN ' file:' ELSE '' END || regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) FROM pages),
+r AS (SELECT request_id, regexp_replace(replace(v, '\', '/'), '^\s+|\s+$', '', 'g') AS raw FROM v),
+n AS (SELECT request_id, CASE WHEN starts_with(raw, 'file:') THEN substr(raw, 6) ELSE raw END AS name FROM r WHERE raw <> ''),
+p AS (SELECT *, lower(split_part(name, '/', 1)) AS head, lower(split_part(name, '/', 2)) AS second FROM n),
+s AS (SELECT DISTINCT request_id, CASE WHEN head = 'data' THEN CASE WHEN second <> '' AND second NOT IN ({quoted(rules.SYSTEM_DATA_NOISE)}) THEN 'data/' || second END
+  WHEN head IN ({quoted(rules.SYSTEM_NOISE)}) THEN NULL WHEN regexp_matches(lower(name), '^\.[^/]+/workspaces/') THEN split_part(name, '/', 5) ELSE name END AS system FROM p)
+SELECT request_id, array_to_string(list_sort(list(system))[1:40], '|') AS systems FROM s WHERE system <> '' GROUP BY request_id""".replace("\\\\", "\\")
+
 ORACLE_SQL["fallback_context"] = f"""WITH {FILES}, {DEPS},
 requests AS (SELECT CAST(n_nationkey AS VARCHAR) AS request_id, ['mmo_workspace', 'unity_workspace'][n_nationkey % 2 + 1] AS workspace_id,
   n_name || CASE n_nationkey % 3 WHEN 0 THEN ' doc_8.xml' WHEN 1 THEN ' onuse' ELSE '' END AS prompt FROM nation),
