@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The test items are a stated query set: they are cut into blocks of at most ``BLOCK_BYTES`` of text, and each block travels to the
-rows, so documents are never shuffled.  A first pass counts in all documents how often each n-gram of the items occurs.  The seeds
-are the rarest n-grams of every stretch of an item, so every part of an item has some, however common the item is.  Wherever a seed occurs, the
-passage around it is aligned with the item by word-level Smith-Waterman; the score is the share of the best possible one.
+rows, so documents are never shuffled.  A first pass gathers which n-grams of the items occur in any document.  Each of these is a seed, so a
+copy is found by any n-gram that its edits left whole.  Wherever a seed occurs, the passage around it is aligned with the item by word-level
+Smith-Waterman; the score is the share of the best possible one.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from corpusloom.session import stage
 
 GRAM = 3
-STRETCH = 4
 MIN_SCORE = 0.5
 BLOCK_BYTES = 4 << 20
 _CACHE_WORDS = 300_000
@@ -58,16 +57,13 @@ class Items:
         return np.where(known, packed, 0)
 
     def seeds(self, counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """gram -> [(item position, offset)], the rarest gram of every ``STRETCH`` consecutive ones."""
+        """gram -> [(item position, offset)] of all grams that occur in the documents."""
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, words in enumerate(self.words):
             grams = self.grams(words)
-            chosen = {
-                min(range(at, min(at + STRETCH, len(grams))), key=lambda i: (counts.get(int(grams[i]), 0), i))
-                for at in range(max(1, len(grams) - STRETCH + 1))
-            } if len(grams) else set()
-            for i in sorted(chosen):
-                found[int(grams[i])].append((k, i))
+            for i, gram in enumerate(grams.tolist()):
+                if gram in counts:
+                    found[gram].append((k, i))
         return dict(found)
 
 
