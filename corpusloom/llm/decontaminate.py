@@ -188,6 +188,7 @@ def contaminations(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` without an aligned item; of rows with a null id all go if one is aligned."""
-    gone = stage(contaminations(docs, benchmark, id_col, text_col, min_score).select(F.col(id_col).alias("__gone")).distinct(), "leaks")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows of ``docs`` without an aligned item; rows that share an id, null included, are decided each by its text."""
+    keyed = docs.withColumn("__row", F.xxhash64(id_col, text_col))
+    gone = stage(contaminations(keyed, benchmark, "__row", text_col, min_score).select(F.col("__row").alias("__gone")).distinct(), "leaks")
+    return keyed.join(gone, keyed["__row"] == gone["__gone"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

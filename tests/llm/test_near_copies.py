@@ -1,10 +1,12 @@
 """The near-copy stage against all pairs."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from corpusloom.llm import near_copies
+from corpusloom.llm import decontaminate, near_copies
 
 
 def _sets(text):
@@ -60,3 +62,17 @@ def test_stage_finds_edited_copies(spark):
     texts = _edited()
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, frame, "").collect()) == sorted(set(_groups(texts)))
+
+
+def test_rows_are_decided_by_id_and_text(spark):
+    rng = np.random.default_rng(1)
+    pool = [f"w{i}" for i in range(900)]
+    say = lambda: " ".join(rng.choice(pool, 60))
+    a, b, c, d, e = (say() for _ in range(5))
+    rows = [(1, a), (None, a + " more"), (None, b), (None, c), (2, d), (3, d + " more"), (3, e), (4, c + " end"), (5, b[::-1]), (5, b[::-1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter(tuple(r) for r in corpus_pipeline.near_copies(spark, frame, "").collect())
+    assert kept == Counter([(1, a), (None, b), (2, d), (3, e), (4, c + " end"), (5, b[::-1])])
+    test = spark.createDataFrame([(0, a), (1, d)], "item_id long, text string")
+    clean = Counter(tuple(r) for r in decontaminate.drop_contaminated(frame, test).collect())
+    assert clean == Counter([(None, b), (None, c), (3, e), (4, c + " end"), (5, b[::-1]), (5, b[::-1])])
