@@ -1,7 +1,7 @@
 """Line de-duplication in content-defined chunks of lines.
 
-A rolling hash over the hashes of two neighbouring lines ends a chunk where it is divisible by ``DIVISOR``, so boundaries move with
-the text when lines are inserted before it.  Chunks of several lines are counted by a 128-bit digest over all documents; the texts of
+A rolling hash over the hashes of two neighbouring lines ends a chunk of ``MIN_LINES`` lines or more where it is divisible by ``DIVISOR``, so
+boundaries move with the text when lines are inserted before it; a shorter rest joins the chunk before.  Chunks of several lines are counted by a 128-bit digest over all documents; the texts of
 repeated ones are then compared byte by byte, and every copy but the first is removed.
 """
 
@@ -21,18 +21,20 @@ DIVISOR = 3
 MIN_LINES = 2
 
 
-def chunks(text: str | None, divisor: int = DIVISOR) -> list[list[bytes]]:
-    """The lines of each chunk, in order; together they are the text."""
+def chunks(text: str | None, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> list[list[bytes]]:
+    """The lines of each chunk, in order; together they are the text.  Only a text of fewer lines has a chunk of fewer than ``min_lines``."""
     lines = (text or "").encode().split(b"\n")
     hashes = [xxhash.xxh64_intdigest(line) for line in lines]
     out, now = [], []
     for i, line in enumerate(lines):
         now.append(line)
         rolling = (hashes[i - 1] * 0x9E3779B97F4A7C15 + hashes[i]) & (1 << 64) - 1 if i else hashes[i]
-        if (rolling >> 17) % divisor == 0:
+        if len(now) >= min_lines and (rolling >> 17) % divisor == 0:
             out.append(now)
             now = []
-    if now:
+    if len(now) < min_lines and out:
+        out[-1] += now
+    elif now:
         out.append(now)
     return out
 
@@ -46,7 +48,7 @@ def _digests(divisor: int, min_lines: int):
         for batch in batches:
             rows: list[list] = [[] for _ in range(4)]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for nth, chunk in enumerate(chunks(text.as_py(), divisor)):
+                for nth, chunk in enumerate(chunks(text.as_py(), divisor, min_lines)):
                     if len(chunk) >= min_lines:
                         digest = xxhash.xxh3_128_intdigest(b"\n".join(chunk))
                         for column, value in zip(rows, (key, nth, _signed(digest >> 64), _signed(digest & (1 << 64) - 1))):
@@ -56,13 +58,13 @@ def _digests(divisor: int, min_lines: int):
     return run
 
 
-def _texts(divisor: int):
+def _texts(divisor: int, min_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in range(5)]
             ids = []
             for i, (text, key, wanted) in enumerate(zip(batch.column("text"), batch.column("key").to_pylist(), batch.column("repeated").to_pylist())):
-                cut = chunks(text.as_py(), divisor)
+                cut = chunks(text.as_py(), divisor, min_lines)
                 for x in wanted:
                     ids.append(i)
                     for column, value in zip(rows, (key, x["nth"], x["d1"], x["d2"], b"\n".join(cut[x["nth"]]))):
@@ -75,12 +77,12 @@ def _texts(divisor: int):
     return run
 
 
-def _finish(divisor: int):
+def _finish(divisor: int, min_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in range(5)]
             for text, gone in zip(batch.column("text"), batch.column("gone").to_pylist()):
-                cut, out = chunks(text.as_py(), divisor), set(gone or ())
+                cut, out = chunks(text.as_py(), divisor, min_lines), set(gone or ())
                 kept = [line for nth, chunk in enumerate(cut) if nth not in out for line in chunk]
                 lines = sum(map(len, cut))
                 for column, value in zip(rows, (lines, len(cut), len(out), lines - len(kept), hashlib.sha256(b"\n".join(kept)).hexdigest())):
@@ -110,7 +112,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # The texts are shuffled once: both joins below use the same exchange.
     dealt = texts.repartition(shuffles, "key")
     copies = dealt.join(lists.hint("shuffle_hash"), "key").select("id", "text", "key", "repeated").mapInArrow(
-        _texts(divisor), f"id {kind}, key long, nth long, d1 long, d2 long, chunk binary"
+        _texts(divisor, min_lines), f"id {kind}, key long, nth long, d1 long, d2 long, chunk binary"
     )
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "nth")).alias("first")
     compared = copies.groupBy("d1", "d2", "chunk").agg(first).groupBy("d1", "d2").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("texts"))
@@ -118,6 +120,6 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     gone = repeated.join(owners, ["d1", "d2"]).where("key <> own_key OR nth <> own_nth").groupBy("key").agg(F.collect_set("nth").alias("gone"))
     return (
         dealt.join(gone.hint("shuffle_hash"), "key", "left").select("id", "text", "gone")
-        .mapInArrow(_finish(divisor), f"id {kind}, n_lines long, n_chunks long, n_removed_chunks long, n_removed_lines long, kept_sha256 string")
+        .mapInArrow(_finish(divisor, min_lines), f"id {kind}, n_lines long, n_chunks long, n_removed_chunks long, n_removed_lines long, kept_sha256 string")
         .withColumnRenamed("id", id_col)
     )
