@@ -118,6 +118,9 @@ def matches(words: np.ndarray, items: Items, seeds: dict[int, list[tuple[int, in
             else:
                 done.append((low, high))
         for low, high in done:
+            # No alignment matches more words than the passage has: this leaves out no passage that could reach the score.
+            if np.isin(item, words[low:high]).sum() < min_score * len(item):
+                continue
             score, end = align(item, words[low:high])
             if score / (_MATCH * len(item)) > best[0]:
                 _, back = align(item[::-1], words[low : low + end][::-1])
