@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.rows import row_key
 from corpusloom.session import stage
 
 GRAM = 3
@@ -192,6 +193,6 @@ def contaminations(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` without an aligned item; rows that share an id, null included, are decided each by its text."""
-    keyed = docs.withColumn("__row", F.xxhash64(id_col, text_col))
+    keyed = docs.withColumn("__row", row_key(id_col, text_col))
     gone = stage(contaminations(keyed, benchmark, "__row", text_col, min_score).select(F.col("__row").alias("__gone")).distinct(), "leaks")
     return keyed.join(gone, keyed["__row"] == gone["__gone"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -76,3 +76,37 @@ def test_rows_are_decided_by_id_and_text(spark):
     test = spark.createDataFrame([(0, a), (1, d)], "item_id long, text string")
     clean = Counter(tuple(r) for r in decontaminate.drop_contaminated(frame, test).collect())
     assert clean == Counter([(None, b), (None, c), (3, e), (4, c + " end"), (5, b[::-1]), (5, b[::-1])])
+
+
+def test_null_ids_and_null_texts_are_rows_of_their_own(spark):
+    rows = [("abc", None), (None, "abc"), ("", None), (None, ""), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string")
+    kept = Counter(tuple(r) for r in corpus_pipeline.near_copies(spark, frame, "").collect())
+    assert kept == Counter([("", None), (None, "abc")])  # empty texts are one group, its smallest id stays
+    test = spark.createDataFrame([(0, "one two three four"), (1, "abc")], "item_id long, text string")
+    clean = Counter(tuple(r) for r in decontaminate.drop_contaminated(frame.union(spark.createDataFrame([(None, "one two three four")], frame.schema)), test).collect())
+    assert clean == Counter(rows)
+
+
+def test_beginnings_rule_out_no_similar_pair():
+    rng = np.random.default_rng(11)
+    none = np.zeros(0, np.uint64)
+    ruled_out = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        x = rng.choice(400, n, replace=False).astype(np.uint64)
+        edits = int(rng.integers(0, n // 4 + 2 if rng.random() < 0.7 else n + 1))
+        y = np.unique(np.concatenate([x[edits:], rng.integers(400, 800, int(rng.integers(0, edits + 1))).astype(np.uint64)]))
+        x = np.sort(x)
+        frequent = np.sort(rng.choice(np.union1d(x, y), int(rng.integers(0, 5)))) if rng.random() < 0.5 and len(y) else none
+        frequent = np.unique(frequent)
+        if not len(y):
+            continue
+        shared = len(np.intersect1d(x, y))
+        (a, need_a), (b, need_b) = (near_copies.beginning(s, frequent, 0.8) for s in (x, y))
+        common = len(np.intersect1d(a, b))
+        if shared >= 0.8 * (len(x) + len(y) - shared):
+            assert common >= need_a and common >= need_b
+        else:
+            ruled_out += common < need_a or common < need_b
+    assert ruled_out > 100
