@@ -49,7 +49,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns, whatever these are named."""
+    """The rows of ``docs`` that stay, with their columns, whatever these are named.
+
+    Null and empty texts are copies of each other; rows that repeat the id and text that stays all stay; an empty table stays empty.
+    """
     gone = exact_groups(docs, id_col, text_col, support).where("not kept").select(
         F.col(id_col).alias("__gone_id"), F.col("text_sha256").alias("__gone_digest")
     )

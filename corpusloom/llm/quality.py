@@ -118,14 +118,18 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """Fit on a bounded sample of labelled rows; rows with a null id or quality are no labels, a null toxic counts as 0."""
+    """Fit on a bounded sample of labelled rows; rows with a null id or quality are no labels, a null toxic counts as 0.
+
+    A label is one training row: of documents that repeat its id the smallest text counts, null texts last.  No other column is read.
+    """
     graded = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(
         F.col("doc_id").alias("labelled"), F.when(F.col("quality") == 0, 0).when(F.coalesce("toxic", F.lit(0)) == 1, 1).otherwise(2).alias("grade")
     )
     sample = graded.orderBy(F.xxhash64("labelled"), "labelled", "grade").limit(rows)
+    texts = docs.select(F.col(id_col).alias("labelled"), F.col(text_col).alias("text"))
     vectors = (
-        docs.join(F.broadcast(sample), docs[id_col] == F.col("labelled"))
-        .select("grade", F.col(text_col).alias("text"))
+        texts.join(F.broadcast(sample), "labelled").groupBy("labelled", "grade").agg(F.min("text").alias("text"))
+        .select("grade", "text")
         .mapInArrow(_vectors, "grade int, slots array<int>, values array<float>")
     )
     got = vectors.toArrow()
@@ -164,7 +168,11 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns, in one pass without a shuffle."""
+    """The rows of ``docs`` that pass, with all their columns, in one pass without a shuffle.
+
+    Each row is decided by its own text, so repeated rows all stay or all go; null and empty texts are graded by the thresholds alone, and an
+    empty table stays empty.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
         for batch in batches:

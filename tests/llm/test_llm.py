@@ -180,6 +180,11 @@ def test_quality_on_held_out_rows(spark):
     assert grades[kind == 0, 0].mean() < grades[kind == 1, 0].mean() < grades[kind == 2, 0].mean()
     kept = quality.keep_good(frame, model)
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
+    clash = frame.withColumns({c: F.lit("x") for c in ("grade", "labelled", "quality", "toxic", "id", "slots")})
+    again = quality.train(clash, label.withColumn("text", F.lit("y")).withColumn("grade", F.lit(7)))
+    assert np.allclose(again.weights, model.weights) and quality.keep_good(clash, again).count() == kept.count()
+    many = quality.train(frame.unionByName(frame.where("doc_id = 4").join(spark.range(500), how="cross").drop("id")), label)
+    assert np.allclose(many.weights, model.weights)  # a labelled id that fills the table is one training row
     none = quality.train(frame, label.limit(0))
     assert quality.grade(frame, none).where("kept").count() == len(rows)
     assert quality.grade(frame.limit(0), model).count() == 0
@@ -339,8 +344,6 @@ def test_fingerprints_and_components(docs, empty):
         least[find(n)] = min((x for x in (i, least.get(find(n))) if x is not None), default=None)
     want = Counter((i, f"{p:016x}", least[find(n)]) for n, ((i, *_), p) in enumerate(zip(ROWS, prints)))
     assert _rows(simhash.simhash_components(docs), "doc_id", "fingerprint", "component_id") == want
-    kept = simhash.keep_one_of_each(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(least.values()) - {None}
     assert simhash.simhash_components(empty).count() == 0
 
 
