@@ -29,7 +29,7 @@ def file_nodes(parsed: DataFrame) -> DataFrame:
         F.when(path.contains("/"), F.concat(F.lit("folder:"), F.regexp_replace(path, r"/[^/]*$", "")))
         .otherwise("module:root").alias("parent_id"),
         F.col("hash").alias("source_hash"),
-        *[c for c in ("confidence", "risk_level", "summary", "dependencies", "patterns", "symbols", "line_count") if c in parsed.columns],
+        *[c for c in ("confidence", "risk_level", "summary", "dependencies", "patterns", "symbols", "line_count", "links") if c in parsed.columns],
     )
 
 
@@ -74,46 +74,58 @@ def build_hierarchy(files: DataFrame) -> DataFrame:
     return folder_nodes.unionByName(modules).unionByName(projects).unionByName(top)
 
 
-def _hash_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """SHA-256 of 'id:hash|id:hash...' per run of equal (project, parent), in input order.
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per parent and batch of sorted children: 'id:hash|id:hash...' and the id it begins with."""
+    for batch in batches:
+        done = [
+            (*key, rows["node_id"].iloc[0], "|".join(rows["node_id"] + ":" + rows["source_hash"]))
+            for key, rows in batch.groupby(["project", "parent_id"], sort=False)
+        ]
+        yield pd.DataFrame(done, columns=["project", "parent_id", "first", "piece"])
 
-    State is one open digest, so a parent with any number of children needs no memory.
-    """
+
+def _feed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 of the pieces of each run of equal (project, parent), in input order; state is one open digest."""
     columns = ["project", "node_id", "source_hash"]
     open_key, digest = None, None
     for batch in batches:
         done: list[tuple[str, str, str]] = []
-        for key, rows in batch.groupby(["project", "parent_id"], sort=False):
-            text = "|".join(rows["node_id"] + ":" + rows["source_hash"]).encode("utf-8")
-            if key == open_key:
-                digest.update(b"|" + text)
+        for project, parent, piece in zip(batch["project"], batch["parent_id"], batch["piece"]):
+            if (project, parent) == open_key:
+                digest.update(b"|" + piece.encode("utf-8"))
                 continue
             if open_key is not None:
                 done.append((*open_key, digest.hexdigest()))
-            open_key, digest = key, hashlib.sha256(text)
+            open_key, digest = (project, parent), hashlib.sha256(piece.encode("utf-8"))
         yield pd.DataFrame(done, columns=columns)
     if open_key is not None:
         yield pd.DataFrame([(*open_key, digest.hexdigest())], columns=columns)
 
 
+def child_pieces(children: DataFrame) -> DataFrame:
+    """Children in id order, joined into pieces of a batch each.
+
+    Ranges over (project, parent, id) split a parent that holds a third of all files among tasks, and each sorts its own range.
+    """
+    ship_package(children.sparkSession)
+    order = ["project", "parent_id", "node_id"]
+    ranged = children.select(*order, "source_hash").repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.mapInPandas(_pieces, "project string, parent_id string, first string, piece string")
+
+
 def _hash_parents(children: DataFrame) -> DataFrame:
     """One digest per parent over its children in id order.
 
-    The digest is sequential by definition.  Rows arrive sorted and are folded as a
-    stream, so a parent holding a third of all files costs time in its task, not memory.
+    The digest is sequential by definition.  Its last pass sorts and feeds pieces, a thousandth of the rows.
     """
-    ship_package(children.sparkSession)
-    ordered = (
-        children.select("project", "parent_id", "node_id", "source_hash")
-        .repartition("project", "parent_id")
-        .sortWithinPartitions("project", "parent_id", "node_id")
-    )
-    return ordered.mapInPandas(_hash_runs, "project string, node_id string, source_hash string")
+    pieces = child_pieces(children).repartition("project", "parent_id").sortWithinPartitions("project", "parent_id", "first")
+    return pieces.mapInPandas(_feed, "project string, node_id string, source_hash string")
 
 
 def rollup_levels(leaves: DataFrame, inner: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Merkle hash, confidence and child count of every inner node, bottom up (A3, A4).
 
+    ``leaves`` are files, or any nodes whose hash and confidence stand.
     One round per level: deepest folders first, then modules, projects and the global node.
     Each round is staged, which keeps the plan flat and survives lost executors.
     """
@@ -121,8 +133,12 @@ def rollup_levels(leaves: DataFrame, inner: DataFrame, max_depth: int | None = N
     if max_depth is None:
         max_depth = inner.agg(F.coalesce(F.max("depth"), F.lit(-2))).first()[0]  # an empty table has one empty round
     carried = ["project", "node_id", "parent_id", "source_hash", "confidence"]
-    slashes = F.length("source_path") - F.length(F.replace("source_path", F.lit("/"), F.lit("")))
-    below = stage(leaves.select(*carried, slashes.alias("parent_depth")), "leaves")
+    parent = F.col("parent_id")
+    slashes = F.length(parent) - F.length(F.replace(parent, F.lit("/"), F.lit("")))
+    parent_depth = (
+        F.when(parent.startswith("folder:"), slashes + 1).when(parent.startswith("module:"), 0).when(parent.startswith("project:"), -1).otherwise(-2)
+    )
+    below = stage(leaves.select(*carried, parent_depth.alias("parent_depth")), "leaves")
     rolled = above = None
     for depth in range(max_depth, -3, -1):
         # Children of a level: the files lying directly in it and the whole level beneath.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,23 +14,8 @@ from .memory import last_n, newest_first
 RETRIEVAL, ROUTE, FEEDBACK = "retrieval.assembly", "route.decision", "cognitive.feedback"
 
 
-def _rate(kind: Column, hit: Column) -> Column:
-    """Share of events of a kind that satisfy ``hit``; 0 for an empty kind."""
-    return F.round(
-        F.coalesce(F.count_if(kind & F.coalesce(hit, F.lit(False))) / F.nullif(F.count_if(kind), F.lit(0)), F.lit(0.0)), 4
-    )
-
-
-def _mean(kind: Column, value: Column) -> Column:
-    return F.round(F.coalesce(F.avg(F.when(kind, F.coalesce(value, F.lit(0.0)))), F.lit(0.0)), 4)
-
-
-def _total(kind: Column, value: Column) -> Column:
-    return F.coalesce(F.sum(F.when(kind, F.coalesce(value, F.lit(0)))), F.lit(0))
-
-
-def kpi_columns() -> list[Column]:
-    """Aggregates of the quality report over trace rows, in one pass."""
+def kpi_parts() -> dict[str, Column]:
+    """The sums that the quality report is made of, over trace rows; parts of disjoint rows merge by adding."""
     p = lambda name: F.col(f"payload.{name}")
     retrieval, route, feedback = (F.col("event_type") == k for k in (RETRIEVAL, ROUTE, FEEDBACK))
     score = F.coalesce(p("retrieval.avg_context_score"), F.lit(0.0))
@@ -41,33 +28,63 @@ def kpi_columns() -> list[Column]:
     efficiency = F.greatest(F.lit(0.0), F.least(F.lit(1.0), utilization * (F.lit(1.0) - drop_rate)))
     verdict = F.lower(text.strip(F.coalesce(p("verdict"), F.lit(""))))
 
+    def hits(kind: Column, hit: Column) -> Column:
+        return F.count_if(kind & F.coalesce(hit, F.lit(False)))
+
+    def total(kind: Column, value: Column, nothing: Column) -> Column:
+        return F.coalesce(F.sum(F.when(kind, F.coalesce(value, nothing))), nothing)
+
     def has_issue(issue: str) -> Column:
         return F.exists(p("issues"), lambda i: F.lower(text.strip(i)) == issue)
 
+    none, zero = F.lit(0), F.lit(0.0)
+    return {
+        "sample_size": F.count("*"),
+        "retrieval_samples": F.count_if(retrieval),
+        "route_samples": F.count_if(route),
+        "feedback_samples": F.count_if(feedback),
+        "retrieval_precision": total(retrieval, score, zero),
+        "hallucination_rate": hits(route, (confidence >= 0.82) & ((score < 0.25) | (contexts == 0))),
+        "stale_context_rate": hits(retrieval, F.exists(p("risks"), lambda r: F.lower(r).contains("stale"))),
+        "architectural_consistency": hits(
+            retrieval, (F.coalesce(p("dependencies_count"), none) == 0) | (F.coalesce(F.size(p("relevant_systems")), none) > 0)
+        ),
+        "token_efficiency": total(route, efficiency, zero),
+        "reasoning_success": hits(route, (confidence >= 0.75) & ~F.lower(F.coalesce(p("reason"), F.lit(""))).contains("fallback-local")),
+        **{f"feedback_{v}_rate": hits(feedback, verdict == v) for v in rules.VERDICTS},
+        **{f"feedback_{i}_rate": hits(feedback, has_issue(i)) for i in rules.KPI_ISSUES},
+        "total_cost_usd": total(route, p("usage.cost_usd").cast("decimal(28,12)"), none.cast("decimal(28,12)")),
+        **{name: total(route, p(f"usage.{name}"), none) for name in ("prompt_tokens", "completion_tokens", "total_tokens")},
+    }
+
+
+def kpi_report(part: Callable[[str], Column]) -> list[Column]:
+    """The quality report from its parts, whatever they were added up from; 0 for a kind without events."""
+
+    def share(metric: str, kind: str) -> Column:
+        return F.round(F.coalesce(part(metric) / F.nullif(part(f"{kind}_samples"), F.lit(0)), F.lit(0.0)), 4).alias(metric)
+
     return [
-        F.count("*").alias("sample_size"),
-        F.count_if(retrieval).alias("retrieval_samples"),
-        F.count_if(route).alias("route_samples"),
-        _mean(retrieval, score).alias("retrieval_precision"),
-        _rate(route, (confidence >= 0.82) & ((score < 0.25) | (contexts == 0))).alias("hallucination_rate"),
-        _rate(retrieval, F.exists(p("risks"), lambda r: F.lower(r).contains("stale"))).alias("stale_context_rate"),
-        _rate(
-            retrieval,
-            (F.coalesce(p("dependencies_count"), F.lit(0)) == 0) | (F.coalesce(F.size(p("relevant_systems")), F.lit(0)) > 0),
-        ).alias("architectural_consistency"),
-        _mean(route, efficiency).alias("token_efficiency"),
-        _rate(
-            route, (confidence >= 0.75) & ~F.lower(F.coalesce(p("reason"), F.lit(""))).contains("fallback-local")
-        ).alias("reasoning_success"),
-        *[_rate(feedback, verdict == v).alias(f"feedback_{v}_rate") for v in rules.VERDICTS],
-        *[_rate(feedback, has_issue(i)).alias(f"feedback_{i}_rate") for i in rules.KPI_ISSUES],
-        F.round(_total(route, p("usage.cost_usd").cast("decimal(28,12)")).cast("double"), 6).alias("total_cost_usd"),
-        _total(route, p("usage.prompt_tokens")).cast("double").alias("prompt_tokens"),
-        _total(route, p("usage.completion_tokens")).cast("double").alias("completion_tokens"),
-        _total(route, p("usage.total_tokens")).cast("double").alias("total_tokens"),
+        *[part(name).alias(name) for name in ("sample_size", "retrieval_samples", "route_samples")],
+        share("retrieval_precision", "retrieval"), share("hallucination_rate", "route"), share("stale_context_rate", "retrieval"),
+        share("architectural_consistency", "retrieval"), share("token_efficiency", "route"), share("reasoning_success", "route"),
+        *[share(f"feedback_{name}_rate", "feedback") for name in (*rules.VERDICTS, *rules.KPI_ISSUES)],
+        F.round(part("total_cost_usd").cast("double"), 6).alias("total_cost_usd"),
+        *[part(name).cast("double").alias(name) for name in ("prompt_tokens", "completion_tokens", "total_tokens")],
     ]
 
 
+def kpi_columns() -> list[Column]:
+    """Aggregates of the quality report over trace rows, in one pass."""
+    return kpi_report(kpi_parts().__getitem__)
+
+
+def merged_kpis(parts: DataFrame, *keys: str) -> DataFrame:
+    """Reports from rows of parts, added up per key."""
+    summed = parts.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in kpi_parts()])
+    return summed.select(*keys, *kpi_report(F.col))
+
+
 def scoped_traces(traces: DataFrame, project: str | None = None, user: str | None = None) -> DataFrame:
     """Trace rows with a payload, of one project and user if given."""
     rows = traces.filter("payload is not null")

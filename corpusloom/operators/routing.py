@@ -22,23 +22,27 @@ def lookup(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     return df.join(dim, key, "left")
 
 
-def request_tokens(requests: DataFrame, snippets: DataFrame) -> DataFrame:
-    """Words of the prompt and of its context snippets, and the snippet count (Q20)."""
-    per_request = snippets.groupBy("request_id").agg(
+def request_tokens(requests: DataFrame, snippets: DataFrame, key: str = "request_id") -> DataFrame:
+    """Words of the prompt and of its context snippets, and the snippet count (Q20).
+
+    ``key`` is what requests and snippets have in common.  Requests that share their snippets, as the turns of a conversation do, share a
+    key: words are added up once per key and no request meets a snippet.
+    """
+    per_key = snippets.groupBy(key).agg(
         F.sum(text.word_count(F.col("content"))).alias("_words"), F.count("*").alias("n_snippets")
     )
     return (
-        requests.join(per_request, "request_id", "left")
+        requests.join(per_key, key, "left")
         .withColumn("tokens", text.word_count(F.col("prompt")) + F.coalesce("_words", F.lit(0)))
         .withColumn("n_snippets", F.coalesce("n_snippets", F.lit(0))).drop("_words")
     )
 
 
-def estimate_cost(requests: DataFrame, snippets: DataFrame, tiers: DataFrame) -> DataFrame:
+def estimate_cost(requests: DataFrame, snippets: DataFrame, tiers: DataFrame, key: str = "request_id") -> DataFrame:
     """Estimated cost of every request at every tier (Q20)."""
     ladder = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(tiers.columns, r)]) for r in tiers.collect()])
     return (
-        request_tokens(requests, snippets).withColumn("t", F.explode(ladder)).select("*", "t.*").drop("t")
+        request_tokens(requests, snippets, key).withColumn("t", F.explode(ladder)).select("*", "t.*").drop("t")
         .withColumn(
             "estimated_cost_usd",
             routing.request_cost(F.col("tokens"), F.col("cost_floor"), F.col("input_rate"), F.col("output_rate")),

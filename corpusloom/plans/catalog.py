@@ -248,16 +248,26 @@ def _node_tables(spark, sf):
     return now, before
 
 
+def _level_tables(spark, sf):
+    """Files and all nodes above them, now and before."""
+    now, before = _node_tables(spark, sf)
+    inner = [
+        hierarchy.merkle_hash(listed.select("project", "path", "hash")).select("project", "node_id", "source_hash")
+        for listed in (ad.files(spark, sf), ad.files_before(spark, sf))
+    ]
+    return now.unionByName(inner[0]), before.unionByName(inner[1].withColumn("generation", (F.length("node_id") % 5 + 1).cast("long")))
+
+
 @query
 def generation_bumps(spark, sf):
-    """Generation of every node after a sync."""
-    return diff.bump_generation(*_node_tables(spark, sf), "project").select("project", "node_id", "changed", "generation")
+    """Generation of every node of every level after a sync."""
+    return diff.bump_generation(*_level_tables(spark, sf), "project").select("project", "node_id", "changed", "generation")
 
 
 @query
 def knowledge_drift(spark, sf):
-    """Drifted nodes per project."""
-    return diff.drift_count(*_node_tables(spark, sf), "project")
+    """Drifted nodes of every level per project."""
+    return diff.drift_count(*_level_tables(spark, sf), "project")
 
 
 # --- requests ------------------------------------------------------------------------------------------
@@ -285,7 +295,7 @@ def prompt_profiles(spark, sf):
 def lexical_topk(spark, sf):
     """The ten most relevant documents per prompt, whole texts."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    pairs = lexical_match(ad.requests(spark, sf, plain=True), docs, haystack=F.col("text"), keep=["doc_id"])
+    pairs = lexical_match(ad.requests(spark, sf, plain=True), docs, haystack=F.col("text"), keep=["doc_id"], best=(10, "doc_id"))
     from pyspark.sql import Window as W
 
     w = W.partitionBy("request_id").orderBy(F.desc("relevance"), "doc_id")
@@ -318,10 +328,8 @@ def candidate_dedup(spark, sf):
     )
 
 
-@query
-def context_pack(spark, sf):
-    """Chosen items of every packet for the plain prompts."""
-    run = retrieve(ad.requests(spark, sf, plain=True), ad.corpus(spark, sf), ad.now())
+def packed_items(run):
+    """Chosen items of every packet with its totals."""
     items = selected_rows(run.packets).select(
         "request_id", big("rank").alias("rank"), "source", big("chars").alias("chars"), F.sha2("content", 256).alias("content_hash")
     )
@@ -331,6 +339,12 @@ def context_pack(spark, sf):
     )
 
 
+@query
+def context_pack(spark, sf):
+    """Chosen items of every packet for the plain prompts."""
+    return packed_items(retrieve(ad.requests(spark, sf, plain=True), ad.corpus(spark, sf), ad.now()))
+
+
 def _full_run(spark, sf):
     requests = ad.requests(spark, sf)
     memories = memory.memory_search(requests, ad.memory(spark, sf), 10)
@@ -347,8 +361,7 @@ def context_packets(spark, sf):
     packets = packet.weak_context(packet.risk_notes(run.packets, requests))
     items = selected_rows(run.packets)
     systems = packet.sanitize_systems(packet.systems_from_sources(items), "request_id")
-    docs = ad.corpus(spark, sf).withColumn("source", F.concat(F.lit("artifact:file:"), "path"))
-    deps = packet.sanitize_dependencies(packet.candidate_dependencies(run.scored, docs), "request_id", is_clean=True)
+    deps = packet.sanitize_dependencies(packet.candidate_dependencies(run.scored, run.documents), "request_id", is_clean=True)
     none = F.array().cast("array<string>")
     full = (
         packets.join(packet.retrieval_metrics(run.packets).select("request_id", "avg_context_score", "hot_context_count"), "request_id")
@@ -370,8 +383,7 @@ def packet_evidence(spark, sf):
     requests, run = _full_run(spark, sf)
     noted = packet.risk_notes(run.packets, requests)
     systems = packet.sanitize_systems(packet.systems_from_sources(selected_rows(run.packets)), "request_id")
-    docs = ad.corpus(spark, sf).withColumn("source", F.concat(F.lit("artifact:file:"), "path"))
-    deps = packet.sanitize_dependencies(packet.candidate_dependencies(run.scored, docs), "request_id", is_clean=True)
+    deps = packet.sanitize_dependencies(packet.candidate_dependencies(run.scored, run.documents), "request_id", is_clean=True)
     none = F.array().cast("array<string>")
     ready = (
         noted.join(systems, "request_id", "left").join(deps, "request_id", "left").join(requests.select("request_id", "intent"), "request_id")
@@ -516,19 +528,47 @@ def auto_memories(spark, sf):
     )
 
 
-@query
-def knowledge_search(spark, sf):
-    """Best knowledge nodes per prompt, whole texts as summaries."""
+def _knowledge_found(spark, sf):
     nodes = ad.corpus(spark, sf).select(
         F.concat(F.lit("file:"), "path").alias("node_id"), F.regexp_extract("path", "[^/]*$", 0).alias("title"),
         F.col("path").alias("source_path"), F.col("content").alias("summary"), "dependencies",
         F.array(F.lit("async")).alias("patterns"), (F.col("doc_id") % 50 / F.lit(50.0)).alias("confidence"),
     )
-    return memory.knowledge_search(ad.requests(spark, sf), nodes).select(
-        "request_id", "node_id", F.round("score", 6).alias("score"), big("rank").alias("rank")
+    return memory.knowledge_search(ad.requests(spark, sf), nodes)
+
+
+@query
+def knowledge_search(spark, sf):
+    """Best knowledge nodes per prompt, whole texts as summaries."""
+    return _knowledge_found(spark, sf).select("request_id", "node_id", F.round("score", 6).alias("score"), big("rank").alias("rank"))
+
+
+_SCORES = ("request_id", "source", "freshness", "final_score", "is_hot")
+
+
+def _shown_scores(scored):
+    return scored.select(
+        *_SCORES, F.round("relevance", 6).alias("relevance"), F.round("confidence", 4).alias("confidence"), F.round("importance", 4).alias("importance"),
+        big("n_deps").alias("n_deps"), big("size").alias("size"),
     )
 
 
+@query
+def knowledge_scores(spark, sf):
+    """Q8, Q9: the knowledge nodes found for every prompt as scored candidates."""
+    found = _knowledge_found(spark, sf).withColumn("level", F.lit("file")).drop("terms")
+    return _shown_scores(cand.knowledge_candidates(found.join(ad.requests(spark, sf).select("request_id", "terms"), "request_id")))
+
+
+@query
+def memory_scores(spark, sf):
+    """Q8, Q9: the memories found for every user turn as scored candidates."""
+    asked = ad.chat_requests(spark, sf)
+    found = memory.memory_search(asked, ad.memory(spark, sf))
+    terms = asked.select("request_id", text.intent_terms(F.col("prompt")).alias("terms"))
+    return _shown_scores(cand.memory_candidates(found.join(terms, "request_id"), ad.now()))
+
+
 @query
 def knowledge_scope(spark, sf):
     """Knowledge rows inside each request's own workspace tree."""
@@ -694,15 +734,14 @@ def _route_requests(spark, sf):
         }
     )
     answers = ad.turns(spark, sf).filter("role = 'assistant'").select("conv_id", F.col("text").alias("content"))
-    snippets = requests.select("request_id", "conv_id").join(answers, "conv_id").select("request_id", "content")
-    return requests, snippets
+    return requests, answers
 
 
 @query
 def route_tiers(spark, sf):
     """Q17, Q18: starting tier and reason of every user turn."""
     requests, snippets = _route_requests(spark, sf)
-    return route.start_tiers(route.request_tokens(requests, snippets)).select(
+    return route.start_tiers(route.request_tokens(requests, snippets, "conv_id")).select(
         "request_id", "start_tier", "start_reason", F.round(routing.complexity(F.col("prompt")), 4).alias("complexity")
     )
 
@@ -711,7 +750,7 @@ def route_tiers(spark, sf):
 def route_cost(spark, sf):
     """Estimated cost of every user turn at every tier."""
     requests, snippets = _route_requests(spark, sf)
-    return route.estimate_cost(requests, snippets, route.tier_table(spark)).select(
+    return route.estimate_cost(requests, snippets, route.tier_table(spark), "conv_id").select(
         "request_id", "tier", big("tokens").alias("tokens"), "estimated_cost_usd"
     )
 
@@ -720,8 +759,8 @@ def route_cost(spark, sf):
 def served_tiers(spark, sf):
     """Q21: tier that serves every user turn, given logged confidences."""
     requests, snippets = _route_requests(spark, sf)
-    costs = route.estimate_cost(requests, snippets, route.tier_table(spark))
-    starts = route.start_tiers(route.request_tokens(requests, snippets))
+    costs = route.estimate_cost(requests, snippets, route.tier_table(spark), "conv_id")
+    starts = route.start_tiers(route.request_tokens(requests, snippets, "conv_id"))
     # One logged response per turn and tier, some tiers unavailable.
     confidence = F.col("tier_rank") * F.lit(0.05) + (F.col("conv_id") % 30 + F.lit(60)) / F.lit(100.0)
     responses = costs.filter((F.col("conv_id") + F.col("tier_rank")) % 5 != 0).select(
@@ -750,11 +789,18 @@ def prompt_routing(spark, sf):
 
 @query
 def parsed_answers(spark, sf):
-    """Q26: edit steps read out of free model answers."""
-    body = F.concat(
-        F.lit('{"actions":[{"target":"./docs/c'), F.col("conv_id").cast("string"), F.lit('.md","type":"PATCH_file","risk":"Low","intent":"tidy"},{"target":"a'),
-        F.col("turn").cast("string"), F.lit('.py","risk":"odd"},{"target":" "}]}'),
+    """Q26: edit steps read out of free model answers; every turn's own words are the intent of one."""
+    none = F.lit(None).cast("string")
+
+    def step(target, kind, risk, intent, rationale):
+        return F.struct(target.alias("target"), kind.alias("type"), risk.alias("risk"), intent.alias("intent"), rationale.alias("rationale"))
+
+    steps = F.array(
+        step(F.concat(F.lit("./docs/c"), F.col("conv_id").cast("string"), F.lit(".md")), F.lit("PATCH_file"), F.lit("Low"), F.concat(F.lit(" "), "text"), F.col("role")),
+        step(F.concat(F.lit("a"), F.col("turn").cast("string"), F.lit(".py")), none, F.lit("odd"), none, none),
+        step(F.lit(" "), none, none, none, none),
     )
+    body = F.to_json(F.struct(steps.alias("actions")))
     kind = F.col("conv_id") % 4
     answers = ad.turns(spark, sf).select(
         "conv_id", "turn",
@@ -898,7 +944,7 @@ def kpi_stream(spark, sf):
     base = scratch(spark, "kpi-stream")
     write_traces(ad.traces(spark, sf).drop("seq"), f"{base}/traces")
     job = (
-        stream_traces(spark, f"{base}/traces").writeStream.foreachBatch(land_kpis(f"{base}/log", f"{base}/kpis"))
+        stream_traces(spark, f"{base}/traces").writeStream.foreachBatch(land_kpis(f"{base}/kpis"))
         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     )
     job.awaitTermination()

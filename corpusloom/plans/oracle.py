@@ -299,14 +299,20 @@ SELECT project, count(h) AS scanned_files, count(*) FILTER (changed) AS changed_
   count(DISTINCT folder) FILTER ((changed OR removed) AND folder IN (SELECT x.folder FROM files x WHERE x.project = j.project)) AS generated_folder_summaries
 FROM j GROUP BY project"""
 
-ORACLE_SQL["generation_bumps"] = f"""WITH {FILES}, {FILES_BEFORE}
-SELECT f.project, 'file:' || f.path AS node_id, (b.hash IS NULL OR b.hash <> f.hash) AS changed,
-  CAST(CASE WHEN b.hash IS NULL THEN 1 WHEN b.hash <> f.hash THEN b.doc_id % 5 + 2 ELSE b.doc_id % 5 + 1 END AS BIGINT) AS generation
-FROM files f LEFT JOIN files_before b ON b.project = f.project AND b.path = f.path"""
+_ALL_NODES = f"""
+inner_now AS (WITH base AS (SELECT *, 6e-1 AS confidence FROM files), {LEVELS} SELECT project, node_id, source_hash FROM inner_nodes),
+inner_before AS (WITH base AS (SELECT *, 6e-1 AS confidence FROM files_before), {LEVELS} SELECT project, node_id, source_hash FROM inner_nodes),
+n AS (SELECT project, 'file:' || path AS node_id, hash AS source_hash FROM files UNION ALL SELECT * FROM inner_now),
+o AS (SELECT project, 'file:' || path AS node_id, hash AS source_hash, doc_id % 5 + 1 AS generation FROM files_before
+  UNION ALL SELECT *, length(node_id) % 5 + 1 FROM inner_before)"""
 
-ORACLE_SQL["knowledge_drift"] = f"""WITH {FILES}, {FILES_BEFORE}
-SELECT project, count(*) FILTER (f.hash IS DISTINCT FROM b.hash) AS drift
-FROM (SELECT project, path, hash FROM files) f FULL JOIN (SELECT project, path, hash FROM files_before) b USING (project, path) GROUP BY project"""
+ORACLE_SQL["generation_bumps"] = f"""WITH {FILES}, {FILES_BEFORE}, {_ALL_NODES}
+SELECT n.project, n.node_id, (o.source_hash IS NULL OR o.source_hash <> n.source_hash) AS changed,
+  CAST(CASE WHEN o.source_hash IS NULL THEN 1 WHEN o.source_hash <> n.source_hash THEN o.generation + 1 ELSE o.generation END AS BIGINT) AS generation
+FROM n LEFT JOIN o ON o.project = n.project AND o.node_id = n.node_id"""
+
+ORACLE_SQL["knowledge_drift"] = f"""WITH {FILES}, {FILES_BEFORE}, {_ALL_NODES}
+SELECT project, count(*) FILTER (n.source_hash IS DISTINCT FROM o.source_hash) AS drift FROM n FULL JOIN o USING (project, node_id) GROUP BY project"""
 
 ORACLE_SQL["page_xml_markers"] = f"""WITH m AS (SELECT page_id, replace(html, '<a href=', '<Action ItemId="1" script=') AS markup FROM pages)
 SELECT DISTINCT page_id, unnest({xml_marks('markup')}) AS marker FROM m"""
@@ -758,8 +764,9 @@ SELECT request_id, CASE WHEN conv_id % 5 = 0 THEN 'coding' WHEN conv_id % 7 = 0
   {rnd("greatest(25e-2, least(95e-2, 9e-1 - CASE WHEN length(prompt) > 280 THEN 15e-2 ELSE 0e0 END - CASE WHEN " + any_of('lower(prompt)', rules.DRAFT_MARKERS) + " THEN 2e-1 ELSE 0e0 END - CASE WHEN length(prompt) - length(replace(prompt, '?', '')) > 1 THEN 5e-2 ELSE 0e0 END))")} AS draft_confidence,
   sha256(CASE WHEN task = 'chat' THEN prompt ELSE 'TaskType: ' || task || chr(10) || 'Directive: ' || CASE task WHEN 'debugging' THEN '{rules.TASK_DIRECTIVES['debugging']}'
     WHEN 'planning' THEN '{rules.TASK_DIRECTIVES['planning']}' ELSE '{rules.TASK_DIRECTIVES['chat']}' END || chr(10) || chr(10) || 'UserRequest:' || chr(10) || prompt END) AS task_prompt_hash FROM t"""
-ORACLE_SQL["parsed_answers"] = """
-SELECT conv_id, turn, CAST(0 AS BIGINT) AS ord, 'patch_file' AS type, 'docs/c' || conv_id || '.md' AS target, 'tidy' AS intent, 'low' AS risk, 'model-assisted planning' AS rationale FROM conversations WHERE conv_id % 4 <> 3
+ORACLE_SQL["parsed_answers"] = r"""
+SELECT conv_id, turn, CAST(0 AS BIGINT) AS ord, 'patch_file' AS type, 'docs/c' || conv_id || '.md' AS target,
+  substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 500) AS intent, 'low' AS risk, role AS rationale FROM conversations WHERE conv_id % 4 <> 3
 UNION ALL SELECT conv_id, turn, 1, 'update_file', 'a' || turn || '.py', '', 'medium', 'model-assisted planning' FROM conversations WHERE conv_id % 4 <> 3"""
 
 # --- bulk edits --------------------------------------------------------------------------------------

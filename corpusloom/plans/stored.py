@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from ..functions import scoring
+from ..functions import paths, scoring
 from ..operators import diff, edits, embeddings, graph, hierarchy, memory
 from ..session import scratch
 from ..sources import readers, sinks
 from ..sources.tables import read_table
-from ..streaming.traces import fill_embedding_cache, run_reflection_stream, stream_traces
+from ..streaming import gate
+from ..streaming.rebuild import incremental_rebuild, read_state
+from ..streaming.traces import fan_out, fill_embedding_cache, land_kpis, read_kpis, run_reflection_stream, stream_traces
 from . import adapters as ad
-from .catalog import _edit_docs, _edit_plan, _edit_prompts, _link_edges, _node_tables, _patch, big, joined, query
+from .catalog import _edit_docs, _edit_plan, _edit_prompts, _gate_events, _link_edges, _node_tables, _patch, big, joined, packed_items, query
+from .retrieve import retrieve
 
 
 @query
@@ -226,7 +230,7 @@ def cache_fill(spark, sf):
     """Two streamed loads of texts into an embedding cache; each text is embedded once."""
     path = scratch(spark, "cache-fill")
     texts = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
-    for run in (texts.filter("doc_id % 2 = 0"), texts.filter("doc_id % 3 > 0")):
+    for run in (texts.filter("doc_id % 2 = 0"), texts):
         run.select("content").write.mode("append").parquet(f"{path}/texts")
         job = (
             spark.readStream.schema("content string").parquet(f"{path}/texts").writeStream
@@ -251,3 +255,112 @@ def reflection_stream(spark, sf):
     run_reflection_stream(stream_traces(spark, f"{path}/traces"), reflect, f"{path}/checkpoint").awaitTermination()
     reports = spark.read.schema("verdict string, n long").option("recursiveFileLookup", "true").parquet(f"{path}/reports")
     return reports.groupBy("verdict").agg(F.sum("n").alias("n"))
+
+
+@query
+def incremental_state(spark, sf):
+    """The state after two listings of the same projects, the second rebuilt from what changed."""
+    root = scratch(spark, "state")
+    rebuild = incremental_rebuild(root)
+    rebuild(ad.files_before(spark, sf), 0)
+    rebuild(ad.files(spark, sf), 1)
+    none = F.lit("")
+    nodes = read_state(spark, root, "nodes").select(
+        F.col("level").alias("what"), "project", F.col("node_id").alias("id"), F.concat_ws("~", F.coalesce("parent_id", none), "source_hash").alias("value"),
+        big("generation").alias("n"), F.round("confidence", 2).alias("confidence"),
+    )
+    edges = read_state(spark, root, "edges").groupBy("project", "kind", "relation", "source", "target").agg(F.count("*").alias("n")).select(
+        F.col("kind").alias("what"), "project", F.concat_ws(">", "source", "target").alias("id"), F.coalesce("relation", none).alias("value"), "n", F.lit(0.0).alias("confidence")
+    )
+    lines = read_state(spark, root, "folders").select(
+        F.lit("line").alias("what"), "project", F.concat_ws("~", "folder", "item").alias("id"), F.col("line").alias("value"), big("section").alias("n"), F.lit(0.0).alias("confidence")
+    )
+    return nodes.unionByName(edges).unionByName(lines)
+
+
+@query
+def cooldown_stream(spark, sf):
+    """The cooldown over a stream of four files with late events, by a stateful operator that restarts half-way."""
+    path = scratch(spark, "gate")
+    at_file = F.floor(F.dayofmonth("at") / 8) + F.when(F.col("seq") % 5 == 0, 1).otherwise(0)  # every fifth event comes one file later
+    events = _gate_events(spark, sf).withColumn("at", F.col("at").cast("timestamp")).withColumn("file", at_file)
+    schema = events.drop("file").schema
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events")
+        gate.run_gate(stream, f"{path}/out", f"{path}/checkpoint", 600, "9 days").awaitTermination()
+
+    for part in range(5):
+        events.filter(F.col("file") == part).drop("file").coalesce(1).write.mode("append").parquet(f"{path}/events")
+        if part == 2:
+            run()
+    for moment in ("2100-01-01 00:00:00", "2100-01-02 00:00:00"):
+        gate.heartbeat(events.drop("file"), moment).coalesce(1).write.mode("append").parquet(f"{path}/events")
+    run()
+    return gate.read_verdicts(spark, f"{path}/out").select("workspace_id", "seq", "weak", "fired", "reason")
+
+
+@query
+def trace_fanout(spark, sf):
+    """One trace stream for three consumers, one of which fails in its first epoch; the stream is started again."""
+    path, broken = scratch(spark, "fan-out"), [True]
+    sinks.write_traces(ad.traces(spark, sf).drop("seq"), f"{path}/traces")
+
+    def verdicts(batch, epoch):
+        rows = batch.filter("payload.verdict is not null").groupBy("payload.verdict").agg(F.count("*").alias("n"))
+        sinks.append_rows(rows, f"{path}/verdicts")  # an append: a second delivery would show
+
+    def projects(batch, epoch):
+        if broken.pop() if broken else False:
+            raise OSError("not now")
+        batch.groupBy("payload.project_id").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/projects/epoch={epoch}")
+
+    consumers = {"verdicts": verdicts, "projects": projects, "kpis": land_kpis(f"{path}/kpis")}
+    for last in (False, True):
+        job = (
+            stream_traces(spark, f"{path}/traces").writeStream.foreachBatch(fan_out(consumers, f"{path}/marks"))
+            .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        )
+        try:
+            job.awaitTermination()
+        except StreamingQueryException:
+            if last:
+                raise
+    counted = spark.read.schema("verdict string, n long").parquet(f"{path}/verdicts").groupBy(F.col("verdict").alias("id")).agg(F.sum("n").alias("n"))
+    named = spark.read.schema("project_id string, n long").option("recursiveFileLookup", "true").parquet(f"{path}/projects").groupBy(F.col("project_id").alias("id")).agg(F.sum("n").alias("n"))
+    days = read_kpis(spark, f"{path}/kpis").select(F.date_format("window_start", "yyyy-MM-dd").alias("id"), F.col("sample_size").alias("n"))
+    return counted.withColumn("what", F.lit("verdict")).unionByName(named.withColumn("what", F.lit("project"))).unionByName(days.withColumn("what", F.lit("day")))
+
+
+@query
+def corpus_scan(spark, sf):
+    """Every text written out as a source file, some in Latin-1, too large, hidden or of other kinds; both scans read them back."""
+    root = scratch(spark, "scan")
+    doc, text = F.col("doc_id"), F.col("content")
+    raw = ad.files(spark, sf).select("doc_id", "project", "path", "content")
+    # A few kinds by number: plain UTF-8, Latin-1 where the text allows it, padded beyond the cap, below an excluded folder, no source.
+    narrow = F.encode(F.regexp_replace(text, "[^\\x00-\\xff]", "é"), "ISO-8859-1")
+    padded = F.encode(F.concat(text, F.repeat(F.lit(" "), 310_000)), "UTF-8")
+    body = F.when(doc % 5 == 1, narrow).when(doc % 50 == 2, padded).otherwise(F.encode(text, "UTF-8"))
+    name = F.when(doc % 7 == 3, F.concat(F.lit("node_modules/"), "path")).when(doc % 11 == 4, F.concat("path", F.lit(".bin"))).otherwise(F.col("path"))
+    sinks.write_files(raw.select(F.concat_ws("/", "project", name).alias("path"), body.alias("content")), root)
+
+    def scanned(variant):
+        rows = readers.scan_corpus(spark, root, variant=variant)
+        return rows.select(F.lit(variant).alias("variant"), "project", "path", "hash", big("size").alias("size"), "language", "module", "folder", F.md5("content").alias("content_hash"))
+
+    return scanned("ingest").unionByName(scanned("knowledge"))
+
+
+@query
+def context_pack_scoped(spark, sf):
+    """Packets of the plain prompts, each from the documents of its own workspace and project."""
+    path = scratch(spark, "tenants")
+    doc = F.col("doc_id")
+    workspace = F.element_at(F.array(F.lit("mmo_workspace"), F.lit("unity_workspace"), F.lit("plain")), (doc % 3 + 1).cast("int"))
+    owned = ad.corpus(spark, sf).withColumns({"workspace_id": workspace, "project_id": F.concat(F.lit("p"), (doc % 5).cast("string"))})
+    sinks.write_partitions(owned, path, "workspace_id", "project_id")
+    tenant = paths.scoped_id(F.col("workspace_id"), F.col("project_id"))
+    requests = ad.requests(spark, sf, plain=True).withColumn("tenant", tenant)
+    corpus = readers.tenant_rows(spark.read.parquet(path), requests).withColumn("tenant", tenant)
+    return packed_items(retrieve(requests, corpus, ad.now(), scope="tenant"))

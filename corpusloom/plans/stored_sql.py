@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .oracle import CHAT, DEPS, EDITS, FEEDBACK, FILES, FILES_BEFORE, MEMORY, ORACLE_SQL, requests_cte, terms_of
+from .oracle import (
+    BEST, CHAT, DEPS, DOC_FEATURES, EDITS, FEEDBACK, FILES, FILES_BEFORE, FINAL, LEVELS, MEMORY, ORACLE_SQL, PARSED, REQUEST_FEATURES, requests_cte, rnd, scored_cte, terms_of, WALK,
+)
 
 ORACLE_SQL["trace_log"] = f"""WITH {requests_cte()}, {FEEDBACK},
 rows AS (SELECT 't-r' || event_id AS trace_id, 'r' || event_id AS request_id, 'route.decision' AS event_type, NULL AS query, NULL AS notes,
@@ -87,7 +89,74 @@ SELECT plan_id, step_id, CASE WHEN first IS NOT NULL AND starts_with(o, 'applied
   CASE WHEN first IS NOT NULL AND starts_with(o, 'applied') THEN 'Rolled back due to execution failure in the plan.' ELSE split_part(o, '~', 2) END AS message
 FROM f WHERE first IS NULL OR doc_id <= first"""
 
-ORACLE_SQL["cache_fill"] = r"""WITH d AS (SELECT DISTINCT regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 > 0)
+ORACLE_SQL["cache_fill"] = r"""WITH d AS (SELECT DISTINCT regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents)
 SELECT sha256('hashing:' || body) AS cache_key, CAST(1 AS BIGINT) AS times, CAST(16 AS BIGINT) AS dims FROM d WHERE body <> ''"""
 
 ORACLE_SQL["reflection_stream"] = """SELECT ['correct', 'partial', 'incorrect'][event_id % 3 + 1] AS verdict, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1"""
+
+# A full rebuild of either listing; a node is one generation older if its hash differs from the earlier one.
+_LINES = ORACLE_SQL["folder_documents"].split("f AS (", 1)[1]
+ORACLE_SQL["incremental_state"] = f"""WITH {FILES}, {DEPS}, {PARSED},
+earlier AS (SELECT * REPLACE (CASE WHEN doc_id % 17 = 3 THEN replace(path, '/doc_', '/old_') ELSE path END AS path,
+  CASE WHEN doc_id % 11 = 5 THEN sha256(content || 'x') ELSE hash END AS hash) FROM parsed WHERE doc_id % 13 <> 7),
+tree_before AS (WITH base AS (SELECT * FROM earlier), {LEVELS} SELECT project, node_id, source_hash FROM inner_nodes UNION ALL SELECT project, node_id, source_hash FROM leaf),
+tree AS (WITH base AS (SELECT * FROM parsed), {LEVELS} SELECT level, project, node_id, parent_id, source_hash, confidence FROM inner_nodes
+  UNION ALL SELECT 'file', project, node_id, parent_id, source_hash, confidence FROM leaf),
+d AS (SELECT project, path, module, unnest(dependencies) AS dep FROM corpus),
+links AS (SELECT project, 'map' AS kind, '' AS relation, path || '>' || dep AS id FROM d
+  UNION ALL SELECT project, 'edge', 'related_to', 'file:' || path || '>module:' || module FROM corpus
+  UNION ALL SELECT project, 'edge', CASE WHEN contains(lower(dep), 'event') OR contains(lower(dep), 'emit') THEN 'emits' ELSE 'uses' END, 'file:' || path || '>symbol:' || dep
+    FROM d WHERE trim(dep) <> ''),
+f AS ({_LINES.split("SELECT project, folder, CAST(0", 1)[0].strip().removesuffix(")")}),
+lines AS (SELECT project, folder, CAST(0{_LINES.split("SELECT project, folder, CAST(0", 1)[1]})
+SELECT t.level AS what, t.project, t.node_id AS id, concat_ws('~', coalesce(t.parent_id, ''), t.source_hash) AS value,
+  CAST(CASE WHEN b.source_hash <> t.source_hash THEN 2 ELSE 1 END AS BIGINT) AS n, t.confidence
+FROM tree t LEFT JOIN tree_before b ON b.project = t.project AND b.node_id = t.node_id
+UNION ALL SELECT kind, project, id, relation, count(*), 0e0 FROM links GROUP BY project, kind, relation, id
+UNION ALL SELECT 'line', project, folder || '~' || item, line, section, 0e0 FROM lines"""
+
+ORACLE_SQL["cooldown_stream"] = ORACLE_SQL["cooldown_triggers"]
+
+ORACLE_SQL["trace_fanout"] = """
+SELECT 'verdict' AS what, ['correct', 'partial', 'incorrect'][event_id % 3 + 1] AS id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 2
+UNION ALL SELECT 'project', 'p' || user_id % 5, count(*) FROM events GROUP BY 2
+UNION ALL SELECT 'day', strftime(ts, '%Y-%m-%d'), count(*) FROM events GROUP BY 2"""
+
+_OWN = "rf JOIN df ON rf.workspace_id = ['mmo_workspace', 'unity_workspace', 'plain'][doc_id % 3 + 1] AND rf.project_id = 'p' || doc_id % 5"
+ORACLE_SQL["context_pack_scoped"] = f"""WITH RECURSIVE {FILES}, {DEPS}, {requests_cte(True)}, {REQUEST_FEATURES}, {DOC_FEATURES}, {scored_cte(join=_OWN)}, {BEST}, {WALK}
+SELECT request_id, position AS rank, source, CAST(length(content) AS BIGINT) AS chars, sha256(content) AS content_hash, selected_count, dropped_count, used_chars
+FROM chosen JOIN packet USING (request_id)"""
+
+# Latin-1 bytes are written out code point by code point.
+ORACLE_SQL["corpus_scan"] = rf"""WITH {FILES},
+k AS (SELECT project, path, language, module, folder, CASE WHEN doc_id % 5 = 1 THEN 'narrow' WHEN doc_id % 50 = 2 THEN 'padded' ELSE 'plain' END AS kind,
+  CASE WHEN doc_id % 5 = 1 THEN regexp_replace(content, '[^\x{{00}}-\x{{ff}}]', 'é', 'g') WHEN doc_id % 50 = 2 THEN content || repeat(' ', 310000) ELSE content END AS body
+  FROM files WHERE doc_id % 7 <> 3 AND doc_id % 11 <> 4),
+b AS (SELECT *, CASE WHEN kind = 'narrow' THEN length(body) ELSE strlen(body) END AS size,
+  CASE WHEN kind = 'narrow' THEN sha256(unhex(array_to_string(list_transform(string_split(body, ''), lambda c: printf('%02x', ord(c))), ''))) ELSE sha256(body) END AS raw_hash FROM k)
+SELECT 'ingest' AS variant, project, path, raw_hash AS hash, size, language, module, folder, md5(body) AS content_hash FROM b WHERE size <= CASE WHEN language IN ('xml', 'lua') THEN 2000000 ELSE 300000 END
+UNION ALL SELECT 'knowledge', project, path, sha256(body), size, language, module, folder, md5(body) FROM b WHERE size <= 300000"""
+
+_STRIP = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+
+
+def _share(hay: str) -> str:
+    return f"CASE WHEN len(terms) = 0 THEN 0e0 ELSE len(list_filter(terms, lambda x: contains(lower({hay}), x))) / CAST(len(terms) AS DOUBLE) END"
+
+
+_SHOWN = f"""SELECT request_id, source, freshness, {FINAL} AS final_score, freshness >= 75e-2 AS is_hot, {rnd('relevance', 6)} AS relevance, {rnd('confidence')} AS confidence,
+  {rnd('importance')} AS importance, CAST(n_deps AS BIGINT) AS n_deps, length(body) AS size FROM c"""
+ORACLE_SQL["memory_scores"] = f"""{ORACLE_SQL["memory_search"].rsplit("SELECT request_id, id, seq FROM j", 1)[0]},
+t AS (SELECT request_id, {terms_of('prompt')} AS terms FROM chat),
+d AS (SELECT request_id, 'memory:' || scope || ':' || id AS source, {_STRIP.format(c='content')} AS body, confidence, terms, scope,
+  greatest(0e0, epoch(TIMESTAMP '2024-02-01 00:00:00') - (1704067200 + m.seq)) / 86400e0 AS age FROM j JOIN memory m USING (id) JOIN t USING (request_id) WHERE rn <= 8),
+c AS (SELECT *, {_share('body')} AS relevance, 0e0 AS semantic, CASE WHEN age <= 1 THEN 1e0 WHEN age <= 7 THEN 85e-2 WHEN age <= 30 THEN 70e-2 WHEN age <= 90 THEN 55e-2 ELSE 40e-2 END AS freshness,
+  CASE WHEN scope = 'project' THEN 65e-2 ELSE 55e-2 END AS importance, 0 AS n_deps FROM d)
+{_SHOWN}"""
+ORACLE_SQL["knowledge_scores"] = f"""{ORACLE_SQL["knowledge_search"].rsplit("SELECT request_id, node_id", 1)[0]},
+t AS (SELECT request_id, {terms_of('prompt')} AS terms FROM requests),
+d AS (SELECT r.request_id, 'knowledge:file:' || r.node_id AS source, {_STRIP.format(c='f.content')} AS body, f.doc_id % 50 / 50e0 AS confidence, len(f.dependencies) AS n_deps, t.terms,
+  regexp_extract(f.path, '[^/]*$', 0) || ' ' || f.path || ' ' || array_to_string(f.dependencies, ' ') || ' async' AS described
+  FROM r JOIN corpus f ON r.node_id = 'file:' || f.path JOIN t USING (request_id) WHERE rank <= 5),
+c AS (SELECT *, greatest({_share('body')}, {_share('described')}) AS relevance, 0e0 AS semantic, 70e-2 AS freshness, least(1e0, 60e-2 + least(30e-2, n_deps * 3e-2)) AS importance FROM d WHERE body <> '')
+{_SHOWN}"""

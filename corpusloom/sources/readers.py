@@ -31,7 +31,8 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = F.regexp_extract("path", r"^[a-z]+:/*(/.*)$", 1)
-    relative = F.regexp_replace(prefix, "^" + _quoted(root.rstrip("/")) + "/", "")
+    below = re.sub(r"^[a-z]+:/+", "/", root.rstrip("/"))
+    relative = F.regexp_replace(prefix, "^" + _quoted(below) + "/", "")
     return found.select(
         F.substring_index(relative, "/", 1).alias("project"),
         F.regexp_replace(relative, "^[^/]*/", "").alias("path"),
@@ -146,3 +147,13 @@ def recent_reports(reports: DataFrame, order: Column, n: int = 20) -> DataFrame:
 def resolve_project(table: DataFrame, workspace: str, project: str) -> DataFrame:
     """Rows of one workspace and project; prunes partitions of a table laid out by them."""
     return table.filter((F.col("workspace_id") == workspace) & (F.col("project_id") == project))
+
+
+def tenant_rows(table: DataFrame, requests: DataFrame) -> DataFrame:
+    """Rows of the workspaces and projects that requests come from.
+
+    Of a table laid out by them only these partitions are read: the distinct tenants prune it while the query runs.  A request
+    without a project has no tenant.
+    """
+    tenants = requests.filter("workspace_id <> '' and project_id <> ''").select("workspace_id", "project_id").distinct()
+    return table.join(tenants, ["workspace_id", "project_id"], "left_semi")

@@ -53,11 +53,34 @@ def write_partitions(df: DataFrame, path: str, *keys: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def write_files(df: DataFrame, root: str) -> None:
+    """One file per (path, content) row below ``root``, written by the tasks; a repeated task writes the same again (K4)."""
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    def write(batches):
+        system, base = pafs.FileSystem.from_uri(root if ":/" in root else f"file://{root}")
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                target = f"{base}/{path}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write(content.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    df.select("path", "content").mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()
+
+
 def write_snapshot(df: DataFrame, path: str, version: int) -> None:
     """Write a new version next to the earlier ones, which stay readable (K4, K5, K6)."""
     df.write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
+def commit_snapshot(df: DataFrame, path: str, version: int) -> None:
+    """Write a version that becomes visible as a whole; what a failed attempt at it left is replaced (K6)."""
+    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
 def snapshot_versions(spark: SparkSession, path: str) -> list[int]:
     """Complete versions under ``path``, ascending."""
     jvm = spark._jvm
@@ -117,3 +140,10 @@ def read_snapshot_tree(spark: SparkSession, path: str, schema: str) -> DataFrame
     if not fs.exists(root):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def read_tree(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A partitioned table whose partition columns have the types of ``schema``, or an empty frame when there is none yet."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return spark.read.schema(schema).parquet(path) if fs.exists(root) else spark.createDataFrame([], schema)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import diff, embeddings, quality
-from ..operators.files import summarize_files
+from ..operators import embeddings, quality
+from ..session import stage
 from ..sources import sinks
 from ..sources.readers import TRACE_SCHEMA
 
@@ -18,71 +18,65 @@ def stream_traces(spark: SparkSession, directory: str, max_files: int = 1000) ->
     return spark.readStream.schema(TRACE_SCHEMA).option("maxFilesPerTrigger", max_files).json(directory)
 
 
-def stream_kpis(stream: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Quality report per event-time window, closed by the watermark (R2)."""
-    return (
-        stream.filter("payload is not null").withWatermark("created_at", delay)
-        .groupBy(F.window("created_at", window)).agg(*quality.kpi_columns())
-        .withColumn("window_start", F.col("window.start")).drop("window")
-    )
+def land_kpis(path: str, window: str = "1 day") -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: the parts of every window's report, from the epoch's own rows alone.
 
-
-def land_kpis(log_path: str, kpi_path: str, window: str = "1 day") -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: a KPI table that is the same for any number, size or order of files.
-
-    Files of a log are not in time order, so a watermark would drop rows.  Each epoch lands its rows, and every window it
-    touches is evaluated anew over all that has landed.  Both writes replace the epoch's own folder, so retries repeat nothing.
+    Parts merge by adding, so no row is late, an epoch reads nothing that came before, and the report is the same for any number, size or
+    order of files.  An epoch replaces its own folder: repeated, it adds nothing.
     """
 
     def land(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
         rows = batch.filter("payload is not null").withColumn("window_start", F.window("created_at", window)["start"])
-        rows.write.mode("overwrite").partitionBy("window_start").parquet(f"{log_path}/epoch={epoch}")
-        landed = spark.read.option("basePath", log_path).schema(rows.schema).parquet(f"{log_path}/epoch=*")
-        touched = spark.read.option("basePath", f"{log_path}/epoch={epoch}").schema(rows.schema).parquet(f"{log_path}/epoch={epoch}").select("window_start").distinct()
-        report = landed.filter(F.col("epoch") <= epoch).join(touched, "window_start", "left_semi").groupBy("window_start").agg(*quality.kpi_columns())
-        report.write.mode("overwrite").parquet(f"{kpi_path}/epoch={epoch}")
+        parts = rows.groupBy("window_start").agg(*[part.alias(name) for name, part in quality.kpi_parts().items()])
+        parts.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return land
 
 
-def read_kpis(spark: SparkSession, kpi_path: str) -> DataFrame:
-    """The newest report of every window."""
-    rows = spark.read.option("basePath", kpi_path).parquet(f"{kpi_path}/epoch=*")
-    newest = rows.groupBy("window_start").agg(F.max("epoch").alias("epoch"))
-    return rows.join(newest, ["window_start", "epoch"], "left_semi").drop("epoch")
+def read_kpis(spark: SparkSession, path: str) -> DataFrame:
+    """The report of every window, from the parts of all epochs."""
+    return quality.merged_kpis(spark.read.option("basePath", path).parquet(f"{path}/epoch=*"), "window_start")
 
 
-def run_reflection_stream(stream: DataFrame, reflect: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None):
-    """Reflect on every micro-batch: at an interval of at least 60 s, or once over what is there."""
-    writer = stream.writeStream.foreachBatch(reflect).option("checkpointLocation", checkpoint)
-    if seconds is None:
-        return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=f"{max(60, seconds)} seconds").start()
+def compact_kpis(spark: SparkSession, path: str, into: str) -> None:
+    """Write the parts of all epochs as one row per window under ``into``, where later epochs may go on."""
+    parts = spark.read.option("basePath", path).parquet(f"{path}/epoch=*").drop("epoch")
+    summed = parts.groupBy("window_start").agg(*[F.sum(c).cast(parts.schema[c].dataType).alias(c) for c in parts.columns if c != "window_start"])
+    summed.write.mode("overwrite").parquet(f"{into}/epoch=-1")
 
 
-def incremental_rebuild(snapshot_path: str, artifact_path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: full listings in, changed files re-summarized.
+def fan_out(consumers: dict[str, Callable[[DataFrame, int], None]], marks: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: one stream, several consumers.
 
-    A batch is the current state of its projects.  A replayed epoch finds its snapshot
-    written and stops, so retries do not repeat events.
+    Every consumer leaves a mark when it is done with an epoch.  If one fails the others still run, then the epoch fails; repeated,
+    it goes only to consumers without a mark.  The batch is staged once, so its source is read once.
     """
 
-    def rebuild(batch: DataFrame, epoch: int) -> None:
+    def deliver(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        versions = sinks.snapshot_versions(spark, snapshot_path)
-        if epoch in versions:
+        left = {name: f for name, f in consumers.items() if epoch not in sinks.snapshot_versions(spark, f"{marks}/{name}")}
+        if not left:
             return
-        current = batch.select("project", "path", "hash")
-        previous = sinks.read_snapshot(spark, snapshot_path, current.schema)
-        events = diff.resolve_changes(diff.snapshot_diff(current, previous))
-        sinks.append_rows(events.withColumn("epoch", F.lit(epoch)), f"{artifact_path}/events")
-        dirty = events.filter(F.col("event_type") != "deleted").select("project", "path")
-        fresh = summarize_files(batch.join(dirty, ["project", "path"], "left_semi"))
-        sinks.append_rows(fresh.withColumn("epoch", F.lit(epoch)), f"{artifact_path}/metadata")
-        sinks.write_snapshot(current, snapshot_path, epoch)
-
-    return rebuild
+        rows, failed = stage(batch, "fan-out"), []
+        for name, consume in left.items():
+            try:
+                consume(rows, epoch)
+            except Exception as error:  # the epoch fails below, once all have had their turn
+                failed.append((name, error))
+            else:
+                sinks.commit_snapshot(spark.range(1).select(F.lit(epoch).alias("epoch")), f"{marks}/{name}", epoch)
+        if failed:
+            raise RuntimeError(f"consumers failed in epoch {epoch}: {', '.join(name for name, _ in failed)}") from failed[0][1]
+
+    return deliver
+
+
+def run_reflection_stream(stream: DataFrame, reflect: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None):
+    """Reflect on every micro-batch: at an interval of at least 60 s, or once over what is there."""
+    writer = stream.writeStream.foreachBatch(reflect).option("checkpointLocation", checkpoint)
+    if seconds is None:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=f"{max(60, seconds)} seconds").start()
 
 
 def fill_embedding_cache(cache_path: str, embed: embeddings.Embedder, model: str, batch_size: int = 10) -> Callable[[DataFrame, int], None]:

@@ -9,7 +9,7 @@ from corpusloom.operators import diff, edits, hierarchy, quality
 from corpusloom.operators.files import describe_files, extract_files, summarize_files
 from corpusloom.sources import readers, sinks
 from corpusloom.streaming.cooldown import cooldown_trigger
-from corpusloom.streaming.traces import incremental_rebuild
+from corpusloom.streaming.rebuild import commit_path, incremental_rebuild
 
 
 def test_cooldown_equals_a_sequential_walk(spark):
@@ -130,7 +130,7 @@ def test_scan_and_incremental_rebuild(spark, tmp_path):
     assert got["d.txt"]["content"] == "é" and got["src/a.py"]["language"] == "python" and got["d.txt"]["module"] == "root"
     assert set(r["path"] for r in readers.scan_corpus(spark, str(root), variant="knowledge").collect()) == {"src/a.py", "d.txt"}
 
-    rebuild = incremental_rebuild(str(tmp_path / "snap"), str(tmp_path / "out"))
+    rebuild = incremental_rebuild(str(tmp_path / "out"))
     batch = readers.scan_corpus(spark, str(root))
     rebuild(batch, 0)
     rebuild(batch, 0)
@@ -138,7 +138,7 @@ def test_scan_and_incremental_rebuild(spark, tmp_path):
     rebuild(readers.scan_corpus(spark, str(root)), 1)
     events = spark.read.parquet(str(tmp_path / "out/events")).groupBy("epoch", "event_type").count().collect()
     assert sorted((e["epoch"], e["event_type"], e["count"]) for e in events) == [(0, "created", 3), (1, "modified", 1)]
-    assert sinks.snapshot_versions(spark, str(tmp_path / "snap")) == [0, 1]
+    assert sinks.snapshot_versions(spark, commit_path(str(tmp_path / "out"))) == [0, 1]
 
 
 def test_patches_apply_in_order(spark):
