@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from corpusloom.plans.catalog import QUERIES  # noqa: E402
 from corpusloom.session import build_session, configure, release_stages  # noqa: E402
+from corpusloom.sources.tables import SPREAD  # noqa: E402
 
 HEADLINE = (
     "lexical_topk", "candidate_ranking", "context_pack", "context_packets", "hybrid_score", "file_summaries", "file_confidence_risk",
@@ -21,11 +22,13 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    # The test tables are files of one row group, which is one task each; BENCH_SPREAD=0 measures them so.
+    spread = os.environ.get("BENCH_SPREAD", str(int(cpus) * 2 if cpus.isdigit() else 16))
     spark = build_session(
         "bench", f"local[{cpus}]",
         **{
             "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
-            "spark.sql.shuffle.partitions": str(int(cpus) * 2 if cpus.isdigit() else 16),
+            "spark.sql.shuffle.partitions": str(int(cpus) * 2 if cpus.isdigit() else 16), SPREAD: spread,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -40,7 +43,7 @@ def main() -> None:
     prompts = spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
     result = {
         "metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
-        "sf": os.path.basename(sf_dir).removeprefix("sf"), "prompts": prompts,
+        "sf": os.path.basename(sf_dir).removeprefix("sf"), "prompts": prompts, "spread": int(spread),
     }
     if "context_packets" in seconds and prompts:
         result["seconds_per_prompt"] = round(seconds["context_packets"] / prompts, 4)

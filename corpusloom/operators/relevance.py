@@ -1,11 +1,10 @@
-"""Substring relevance of prompts against a corpus, without comparing every pair.
-
-The requests are dealt into blocks of bounded term volume, which are rows of a DataFrame and never
-pass through the driver.  Every document meets every block once: the rows of a block come first in
-each of its partitions and form one multi-pattern automaton there, then the documents stream
-through it.  Each document is read once a block, all terms of the block are found in that single
-pass, and the hits are counted per request inside the task.  The path is the same at every size;
-only the number of blocks follows the volume of the requests.
+"""Substring relevance of prompts against a corpus, without comparing every pair and without moving the corpus.
+
+The distinct terms of all requests form one multi-pattern automaton; their number saturates as requests are added.  The requests
+themselves are an inverted list, term to requests, of a few bytes per entry.  Both are broadcast, in blocks whose size is counted first: a
+second block is begun only where the lists or the vocabulary outgrow a bound.  Documents stream through the automaton where
+they are read, one pass a block and no shuffle, and hits are counted per request inside the task.  Asked for the best documents
+only, a task keeps so many per request and hands over no other pair.  The result does not depend on the number of blocks.
 """
 
 from __future__ import annotations
@@ -15,55 +14,74 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-#: Characters of terms in one block: what bounds the automaton that a task holds.
+#: Characters of distinct terms in one block, and entries of its inverted list: what bounds a broadcast and the automaton of a task.
 BLOCK_CHARS = 1_000_000
+BLOCK_ENTRIES = 4_000_000
 #: Pairs in one output batch; a document with more spreads over several rows.
 OUTPUT_PAIRS = 100_000
 
 
+class _Inverted:
+    """The requests of one block as they are broadcast: ids, scopes, numbers of terms, vocabulary, and term to requests."""
+
+    def __init__(self, rows: pa.Table, scoped: bool) -> None:
+        self.ids = rows["request_id"].combine_chunks().cast(pa.string())
+        listed = rows["terms"].combine_chunks()
+        self.n_terms = listed.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        flat = listed.flatten().dictionary_encode()
+        slots = flat.indices.to_numpy(zero_copy_only=False)
+        self.vocabulary = flat.dictionary.to_pylist()
+        owners = np.repeat(np.arange(len(self.n_terms)), self.n_terms)
+        order = np.argsort(slots, kind="stable")
+        self.users = owners[order].astype(np.int32)
+        self.starts = np.searchsorted(slots[order], np.arange(len(self.vocabulary) + 1))
+        self.scopes = rows["scope"].to_pylist() if scoped else None
+
+
 class _Block:
-    """The requests of one block as an automaton over their terms."""
-
-    def __init__(self, ids: list[str], terms: list[list[str]], scopes: list[str | None], scoped: bool) -> None:
-        self.ids = pa.array(ids, pa.string())
-        self.n_terms = np.array([len(t) for t in terms], dtype=np.int64)
-        slots: dict[str, int] = {}
-        users: list[list[int]] = []
-        for request, listed in enumerate(terms):
-            for term in listed:
-                slot = slots.setdefault(term, len(users))
-                if slot == len(users):
-                    users.append([])
-                users[slot].append(request)
-        self.users = [np.array(u, dtype=np.int64) for u in users]
-        self.by_scope: dict[str | None, np.ndarray] | None = None
-        if scoped:
-            grouped: dict[str | None, list[int]] = {}
-            for request, scope in enumerate(scopes):
-                grouped.setdefault(scope, []).append(request)
-            self.by_scope = {k: np.array(v, dtype=np.int64) for k, v in grouped.items() if k is not None}
+    """A block with its automaton, as a task holds it."""
+
+    def __init__(self, inverted: _Inverted) -> None:
+        self.ids, self.n_terms, self.users = inverted.ids, inverted.n_terms, inverted.users
+        self.first, self.times = inverted.starts[:-1], np.diff(inverted.starts)
+        self.scope_codes: dict[str, int] | None = None
+        if inverted.scopes is not None:
+            self.scope_codes = {scope: code for code, scope in enumerate(sorted({s for s in inverted.scopes if s is not None}))}
+            self.scope_of = np.array([self.scope_codes.get(s, -1) for s in inverted.scopes], np.int64)
         self.automaton = ahocorasick.Automaton()
-        for term, slot in slots.items():
-            self.automaton.add_word(term, slot)
+        for slot, term in enumerate(inverted.vocabulary):
+            if term:
+                self.automaton.add_word(term, slot)
         self.automaton.make_automaton()
 
     def hits(self, haystack: str | None, scope: str | None, min_rel: float) -> tuple[np.ndarray, np.ndarray]:
         """(requests, hits) above ``min_rel`` for one document."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not haystack or not self.users or (self.by_scope is not None and scope not in self.by_scope):
+        if not haystack or not len(self.automaton) or (self.scope_codes is not None and scope not in self.scope_codes):
             return none
-        found = {slot for _, slot in self.automaton.iter(haystack)}
-        if not found:
+        slots = {slot for _, slot in self.automaton.iter(haystack)}
+        if not slots:
             return none
-        counts = np.bincount(np.concatenate([self.users[s] for s in found]), minlength=len(self.n_terms))
-        asked = np.flatnonzero(counts) if self.by_scope is None else self.by_scope[scope]
-        kept = asked[(counts[asked] > 0) & (counts[asked] / self.n_terms[asked] > min_rel)]
-        return kept, counts[kept]
+        found = np.fromiter(slots, np.int64, len(slots))
+        times = self.times[found]
+        before = np.cumsum(times) - times
+        users = self.users[np.repeat(self.first[found] - before, times) + np.arange(times.sum())]
+        if self.scope_codes is not None:
+            users = users[self.scope_of[users] == self.scope_codes[scope]]
+        if len(self.n_terms) > 4 * len(users):  # few of many requests are hit: sorting them costs less than a slot for each
+            hit, counts = np.unique(users, return_counts=True)
+        else:
+            counts = np.bincount(users, minlength=len(self.n_terms))
+            hit = np.flatnonzero(counts)
+            counts = counts[hit]
+        kept = counts / self.n_terms[hit] > min_rel
+        return hit[kept], counts[kept]
 
 
 def _matched(block: _Block, rows: list[tuple[int, np.ndarray, np.ndarray]], docs: pa.Array) -> pa.RecordBatch:
@@ -78,45 +96,74 @@ def _matched(block: _Block, rows: list[tuple[int, np.ndarray, np.ndarray]], docs
     return pa.RecordBatch.from_arrays([docs.take(pa.array([i for i, _, _ in rows])), lists], names=["doc", "found"])
 
 
-def _stream(min_rel: float, scoped: bool):
-    """Arrow function over partitions sorted by (part, is_doc): requests first, then the documents that meet them."""
+class _Best:
+    """The best documents per request so far: most hits, then the smallest tie."""
+
+    def __init__(self, block: _Block, k: int) -> None:
+        self.block, self.k = block, k
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
+        self.size, self.limit = 0, 2 * k * len(block.n_terms) + OUTPUT_PAIRS
+
+    def add(self, rows: list[tuple[int, np.ndarray, np.ndarray]], docs: pa.Array, ties: np.ndarray) -> None:
+        at = np.repeat([i for i, _, _ in rows], [len(r) for _, r, _ in rows])
+        self.held.append((np.concatenate([r for _, r, _ in rows]), np.concatenate([h for _, _, h in rows]), ties[at], docs.take(pa.array(at))))
+        self.size += len(at)
+        if self.size > self.limit:
+            self.cut()
+
+    def cut(self) -> None:
+        requests, hits, ties = (np.concatenate([h[i] for h in self.held]) for i in range(3))
+        docs = pa.concat_arrays([h[3] for h in self.held])
+        order = np.lexsort((ties, -hits, requests))
+        sorted_requests = requests[order]
+        nth = np.arange(len(order)) - np.searchsorted(sorted_requests, sorted_requests)
+        kept = order[nth < self.k]
+        self.held, self.size = [(requests[kept], hits[kept], ties[kept], docs.take(pa.array(kept)))], len(kept)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self.cut()
+            requests, hits, _, docs = self.held[0]
+            for at in range(0, len(requests), OUTPUT_PAIRS):
+                part = range(at, min(at + OUTPUT_PAIRS, len(requests)))
+                yield _matched(self.block, [(i, requests[i : i + 1], hits[i : i + 1]) for i in part], docs)
+
+
+def _stream(inverted: Broadcast, min_rel: float, best: int | None):
+    """Arrow function over documents (doc, haystack, scope[, tie])."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block = None, None
-        pending: tuple[list, list, list] = ([], [], [])
+        block = _Block(inverted.value)
+        top = _Best(block, best) if best else None
         for batch in batches:
-            parts = np.asarray(batch.column("part"))
-            is_doc = np.asarray(batch.column("is_doc"))
-            edges = np.flatnonzero((parts[1:] != parts[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1
-            for start, stop in zip([0, *edges], [*edges, len(parts)]):
-                run = batch.slice(start, stop - start)
-                if not len(run):
-                    continue
-                if parts[start] != part:
-                    part, block, pending = parts[start], None, ([], [], [])
-                scopes = run.column("scope").to_pylist()
-                if not is_doc[start]:
-                    pending[0].extend(run.column("request_id").to_pylist())
-                    pending[1].extend(run.column("terms").to_pylist())
-                    pending[2].extend(scopes)
-                    continue
-                if block is None:
-                    block, pending = _Block(*pending, scoped), ([], [], [])
-                docs, rows, pairs = run.column("doc"), [], 0
-                for i, (haystack, scope) in enumerate(zip(run.column("haystack"), scopes)):
-                    requests, hits = block.hits(haystack.as_py(), scope, min_rel)
-                    for at in range(0, len(requests), OUTPUT_PAIRS):
-                        rows.append((i, requests[at : at + OUTPUT_PAIRS], hits[at : at + OUTPUT_PAIRS]))
-                        pairs += len(rows[-1][1])
-                        if pairs >= OUTPUT_PAIRS:
-                            yield _matched(block, rows, docs)
-                            rows, pairs = [], 0
-                if rows:
-                    yield _matched(block, rows, docs)
+            docs, scopes, rows, pairs = batch.column(0), batch.column(2).to_pylist(), [], 0
+            for i, (haystack, scope) in enumerate(zip(batch.column(1), scopes)):
+                requests, hits = block.hits(haystack.as_py(), scope, min_rel)
+                for at in range(0, len(requests), OUTPUT_PAIRS):
+                    rows.append((i, requests[at : at + OUTPUT_PAIRS], hits[at : at + OUTPUT_PAIRS]))
+                    pairs += len(rows[-1][1])
+                    if pairs >= OUTPUT_PAIRS and top is None:
+                        yield _matched(block, rows, docs)
+                        rows, pairs = [], 0
+            if rows and top is not None:
+                top.add(rows, docs, batch.column(3).to_numpy())
+            elif rows:
+                yield _matched(block, rows, docs)
+        if top is not None:
+            yield from top.rows()
 
     return match
 
 
+def _blocks(wanted: DataFrame, block_chars: int, block_entries: int) -> int:
+    """Blocks that keep every broadcast within its bounds."""
+    terms = wanted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    size = F.length("t")
+    entries, chars, volume = terms.agg(F.sum("n"), F.sum(size), F.sum(size * F.col("n"))).first()
+    # A vocabulary that fits is shared by all blocks; one that does not is bounded by what the requests of a block hold.
+    return 1 + max((entries or 0) // block_entries, (volume or 0) // block_chars if (chars or 0) > block_chars else 0)
+
+
 def lexical_match(
     requests: DataFrame,
     corpus: DataFrame,
@@ -126,47 +173,36 @@ def lexical_match(
     scope: str | None = None,
     min_rel: float = 0.05,
     keep: list[str] | None = None,
+    best: tuple[int, str] | None = None,
     block_chars: int = BLOCK_CHARS,
+    block_entries: int = BLOCK_ENTRIES,
 ) -> DataFrame:
     """Pairs whose term share exceeds ``min_rel``.
 
     ``requests`` needs request_id and an array of terms (repeats count, as in Q3 and J3);
     ``corpus`` is any frame from which ``haystack`` can be computed.  With ``scope`` (a
     column of both) a request only meets rows of its own scope.  Returns the corpus columns
-    (those in ``keep``) plus request_id, hits, n_terms and relevance.  The result does not
-    depend on ``block_chars``.
+    (those in ``keep``) plus request_id, hits, n_terms and relevance.  ``best`` = (k, column): a task may leave out pairs
+    that are not among its k of a request by relevance and the column, a whole number, ascending (T1); at most k rows per
+    task and request come out, and the k best of all are among them.
     """
     spark = corpus.sparkSession
     ship_package(spark)
     kept = corpus.columns if keep is None else keep
     own = F.col(scope).cast("string") if scope else F.lit(None).cast("string")
     wanted = requests.select(
-        F.col("request_id").cast("string").alias("request_id"), F.col(terms).cast("array<string>").alias("terms"), own.alias("scope")
+        F.col("request_id").cast("string").alias("request_id"), F.filter(F.col(terms).cast("array<string>"), lambda t: t.isNotNull()).alias("terms"), own.alias("scope")
     ).filter(F.size("terms") > 0)
-    volume = wanted.agg(F.sum(F.aggregate("terms", F.lit(0).cast("long"), lambda total, t: total + F.length(t)))).first()[0] or 0
-    blocks = 1 + volume // block_chars
-    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def part(block: Column, piece: Column) -> Column:
-        return (block * F.lit(pieces) + piece).cast("int").alias("part")
-
-    # Equal texts of different rows go to different pieces.
-    own_piece = F.pmod(F.xxhash64(*corpus.columns), F.lit(pieces))
-    placed = corpus.select(
-        F.struct(*kept).alias("doc"), F.lower(haystack).alias("haystack"), own.alias("scope"), own_piece.alias("piece"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    ).select(part(F.col("block"), F.col("piece")), F.lit(True).alias("is_doc"), "scope", "doc", "haystack")
-    asked = wanted.select("*", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece")).select(
-        part(F.pmod(F.xxhash64("request_id"), F.lit(blocks)), F.col("piece")), F.lit(False).alias("is_doc"), "scope", "request_id", "terms"
-    )
-    streamed = (
-        asked.unionByName(placed, allowMissingColumns=True).select("part", "is_doc", "scope", "request_id", "terms", "doc", "haystack")
-        .repartitionById(blocks * pieces, F.col("part")).sortWithinPartitions("part", "is_doc")
-    )
-    doc_type = placed.schema["doc"].dataType.simpleString()
-    found = streamed.mapInArrow(
-        _stream(min_rel, scope is not None), f"doc {doc_type}, found array<struct<request_id: string, hits: int, n_terms: int>>"
-    ).select("doc", F.explode("found").alias("found"))
-    return found.select(
+    blocks = _blocks(wanted, block_chars, block_entries)
+    tie = [F.col(best[1]).cast("long").alias("tie")] if best else []
+    docs = corpus.select(F.struct(*kept).alias("doc"), F.lower(haystack).alias("haystack"), own.alias("scope"), *tie)
+    schema = f"doc {docs.schema['doc'].dataType.simpleString()}, found array<struct<request_id: string, hits: int, n_terms: int>>"
+    pairs = None
+    for block in range(blocks):
+        chosen = wanted.filter(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == block)
+        inverted = spark.sparkContext.broadcast(_Inverted(chosen.toArrow(), scope is not None))  # one block, bounded above
+        part = docs.mapInArrow(_stream(inverted, min_rel, best[0] if best else None), schema)
+        pairs = part if pairs is None else pairs.unionByName(part)
+    return pairs.select("doc", F.explode("found").alias("found")).select(
         "doc.*", F.col("found.request_id").cast(requests.schema["request_id"].dataType).alias("request_id"), "found.hits", "found.n_terms"
     ).withColumn("relevance", F.col("hits") / F.col("n_terms"))
