@@ -155,5 +155,6 @@ def tenant_rows(table: DataFrame, requests: DataFrame) -> DataFrame:
     Of a table laid out by them only these partitions are read: the distinct tenants prune it while the query runs.  A request
     without a project has no tenant.
     """
-    tenants = requests.filter("workspace_id <> '' and project_id <> ''").select("workspace_id", "project_id").distinct()
+    # Written by length: a comparison with '' is inferred for the table too, and then counts as pruned.
+    tenants = requests.filter("length(workspace_id) > 0 and length(project_id) > 0").select("workspace_id", "project_id").distinct()
     return table.join(tenants, ["workspace_id", "project_id"], "left_semi")
