@@ -1,8 +1,9 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scoring, text
 from corpusloom.operators import candidates as cand
-from corpusloom.operators import memory
+from corpusloom.operators import memory, relevance
 from corpusloom.operators.relevance import lexical_match
 from corpusloom.plans.adapters import prepare_requests
 from corpusloom.plans.retrieve import artifact_pairs, retrieve
@@ -106,3 +107,37 @@ def test_memory_search_limits_and_scope(spark):
     for r in memory.memory_search(asked, mem, 3).collect():
         got.setdefault(r["request_id"], []).append(r["seq"])
     assert {k: sorted(v) for k, v in got.items()} == {"a": [25, 27, 29], "b": [24, 26, 28]}
+
+
+def test_tasks_keep_only_the_best_pairs(spark, monkeypatch):
+    rows = [(i, f"alpha note {i % 7}" + (" beta" if i % 3 == 0 else ""), None if i % 11 == 0 else f"n{i % 40:02d}", None if i % 13 == 0 else i // 2, (i % 5) / 4) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc long, content string, name string, at long, confidence double").repartition(3)
+    asked = spark.createDataFrame([("a", ["alpha", "beta"]), ("b", ["beta"]), ("c", ["note 3"])], "request_id string, terms array<string>")
+    weight = F.lit(0.6) + F.lit(0.4) * F.col("confidence")
+    everything = lexical_match(asked, docs, haystack=F.col("content"), min_rel=0.0).withColumn("score", F.col("relevance") * weight)
+    monkeypatch.setattr(relevance, "HELD_PAIRS", 8)
+    monkeypatch.setattr(relevance, "OUTPUT_PAIRS", 16)
+    for ties, order in (
+        ([("name", "ascending"), ("doc", "ascending")], [F.asc("name"), F.asc("doc")]),
+        ([("at", "descending"), ("doc", "descending")], [F.desc("at"), F.desc("doc")]),
+    ):
+        best = lexical_match(asked, docs, haystack=F.col("content"), min_rel=0.0, best=(5, ties), weight=weight).withColumn("score", F.col("relevance") * weight)
+        w = Window.partitionBy("request_id").orderBy(F.desc("score"), *order)
+        top = lambda df: sorted((r["request_id"], r["n"], r["doc"]) for r in df.withColumn("n", F.row_number().over(w)).filter("n <= 5").collect())
+        assert top(best) == top(everything) and len(top(best)) == 15
+        assert best.count() < everything.count()
+
+
+def test_searches_shuffle_keys_and_not_contents(spark):
+    mem = spark.createDataFrame([(f"m{i}", "p", "u", "project", f"alpha {i} " + "x" * 5000, 0.5, i) for i in range(40)], "id string, project_id string, user_id string, scope string, content string, confidence double, seq long").withColumn("updated_at", F.timestamp_seconds("seq"))
+    asked = spark.createDataFrame([(f"r{i}", "p", "u", "alpha", ["t"]) for i in range(6)], "request_id string, project_id string, user_id string, prompt string, terms array<string>")
+    found = memory.memory_search(asked, mem, 3, carry=("terms",))
+    assert sorted((r["request_id"], r["seq"]) for r in found.collect()) == [(f"r{i}", s) for i in range(6) for s in (37, 38, 39)]
+    assert set(found.columns) == {*mem.columns, "request_id", "terms"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in "".join(line for line in plan.splitlines() if "Window" in line or "Aggregate" in line or "Generate" in line)
+    nodes = spark.createDataFrame([(f"n{i}", "t", "p", "alpha" if i else "alpha beta", ["d"], ["q"], i / 40) for i in range(40)], "node_id string, title string, source_path string, summary string, dependencies array<string>, patterns array<string>, confidence double")
+    best = memory.knowledge_search(asked.limit(1), nodes, 2)
+    assert [r["node_id"] for r in best.orderBy("rank").collect()] == ["n39", "n38"]
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # ranked before whole nodes join
