@@ -4,7 +4,8 @@ A sparse logistic regression over words and word pairs of the notices below tell
 trained on the driver from noisy copies of the notices, on misleading sentences and on a bounded sample of the corpus's own
 paragraphs; a temperature is then fitted on copies held out, so that probabilities are calibrated, and the unknown class takes what no family
 claims with ``MIN_PROBABILITY``.  A prediction is confirmed if the paragraph holds enough of the n-grams of one of the family's notices.
-Only n-grams with a cue word count, so paragraphs without one have no feature and are known to be unknown without being scored.
+Every paragraph is searched for the model's n-grams, as notices also have lines without a cue word; one without any has no feature and is known to be
+unknown without being scored.  Cues only choose paragraphs that the training samples.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from corpusloom.session import stage
 NEGATIVE_ROWS = 2000
 MIN_PROBABILITY = 0.7
 CONFIRM_FROM = 0.6
-#: A paragraph without any of these has no feature.
+#: Paragraphs with one of these are the negatives that the training samples.
 CUES = ("licen", "copyright", "public domain", "spdx", "warranty", "redistribut", "permission is hereby")
 
 # Common public licence notices by family.
@@ -105,13 +106,18 @@ def grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+_CUE = "(?i)" + "|".join(CUES)
+
+
+def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, paragraph, body): all paragraphs, here lines, that are not blank."""
+    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "body"))
+    return lines.where(F.col("body").rlike(r"\S"))
+
+
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, paragraph, body): the paragraphs, here lines, with a cue."""
-    pattern = "(?i)" + "|".join(CUES)
-    lines = docs.where(F.col(text_col).rlike(pattern)).select(
-        F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "body")
-    )
-    return lines.where(F.col("body").rlike(pattern))
+    """(id, paragraph, body): the paragraphs with a cue, which the training samples."""
+    return paragraphs(docs.where(F.col(text_col).rlike(_CUE)), id_col, text_col).where(F.col("body").rlike(_CUE))
 
 
 @dataclass
@@ -160,6 +166,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negat
     )
     far = stage(own, "licence-cues").where(F.greatest(*(_held(F.col("hits"), x) for _, _, x in notices)) < 0.5)
     sampled = far.orderBy("order", "hits").limit(negative_rows).select("hits").collect()
+    # Plain text as well, so that common words speak for no family: the first paragraphs without a cue by hash, as many at most.
+    plain = paragraphs(docs, id_col, text_col).where(~F.col("body").rlike(_CUE)).orderBy(F.xxhash64("body"), "body").limit(negative_rows).select(
+        F.array_intersect(grams(tokens(F.col("body"))), _strings(vocabulary)).alias("hits")
+    )
+    sampled += plain.where(F.greatest(*(_held(F.col("hits"), x) for _, _, x in notices)) < 0.5).collect()
 
     def examples(copies: int) -> tuple[list[list[int]], np.ndarray]:
         hits, labels = [], []
@@ -205,7 +216,7 @@ def _held(found: Column, notice: list[str]) -> Column:
 
 
 def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph with a cue: (id, paragraph, family, probability, notice, similarity, confirmed).
+    """One row per paragraph with a cue or any of the model's n-grams: (id, paragraph, family, probability, notice, similarity, confirmed).
 
     ``family`` is ``unknown`` if no family reaches ``MIN_PROBABILITY``; ``notice`` is then null, and nothing is confirmed.  ``similarity`` is the share of
     the closest notice's n-grams that the paragraph holds, the first of equally close ones.  Null and empty texts have no paragraph.
@@ -213,7 +224,11 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
     """
     families = model.classes[1:]
     by_gram = {g: model.weights[:, i] / model.temperature for i, g in enumerate(model.vocabulary) if np.any(model.weights[:, i])}
-    found = candidates(docs, id_col, text_col).select("id", F.col("paragraph").cast("long").alias("paragraph"), F.array_intersect(grams(tokens(F.col("body"))), _strings(model.vocabulary)).alias("hits"))
+    known = paragraphs(docs, id_col, text_col).select(
+        "id", F.col("paragraph").cast("long").alias("paragraph"), F.col("body").rlike(_CUE).alias("cue"), F.array_intersect(grams(tokens(F.col("body"))), _strings(model.vocabulary)).alias("hits")
+    )
+    # Exploded and not filtered, as a filter would be pushed below and look up all n-grams once more.
+    found = known.select("id", "paragraph", F.explode(F.filter(F.array("hits"), lambda h: F.col("cue") | (F.size(h) > 0))).alias("hits"))
     table = F.create_map(*(x for g, w in by_gram.items() for x in (F.lit(g), F.array(*map(F.lit, w.tolist())))))
     start = F.array(*map(F.lit, (model.weights[:, -1] / model.temperature).tolist()))
     scores = F.aggregate(

@@ -394,3 +394,20 @@ def test_pipeline_stages_on_a_table(spark, tmp_path, docs):
 def test_registered_queries_cover_every_operator():
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES) == list(range(1, 14))
     assert json.dumps(sorted(queries.QUERIES))
+
+
+def test_licence_lines_without_a_cue_are_scored(spark, docs):
+    model = license_scan.train(docs)
+    bodies = [
+        "This Source Code Form is subject to the terms of the Mozilla Public", "you may not use this file except in compliance with the Apache",
+        "zzz qqq", " ", "Licensee", "Released under the MIT License.",
+    ]
+    rows = [(1, "\n".join(bodies)), (2, bodies[0]), (None, "associated documentation files"), (3, None)]
+    got = {(r["doc_id"], r["paragraph"]): r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 4), (1, 5), (2, 0), (None, 0)}
+    for at, body in (((1, 0), bodies[0]), ((1, 1), bodies[1])):
+        words = body.lower().split()
+        hits = [model.vocabulary.index(g) for g in license_scan._gram_list(words) if g in model.vocabulary]
+        odds = model.probabilities([hits])[0]
+        assert abs(got[at]["probability"] - odds[1:].max()) < 1e-9
+        assert got[at]["family"] == (model.classes[1 + odds[1:].argmax()] if odds[1:].max() >= license_scan.MIN_PROBABILITY else "unknown")
