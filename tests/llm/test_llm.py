@@ -411,3 +411,17 @@ def test_licence_lines_without_a_cue_are_scored(spark, docs):
         odds = model.probabilities([hits])[0]
         assert abs(got[at]["probability"] - odds[1:].max()) < 1e-9
         assert got[at]["family"] == (model.classes[1 + odds[1:].argmax()] if odds[1:].max() >= license_scan.MIN_PROBABILITY else "unknown")
+
+
+def test_pipeline_drops_close_fingerprints(spark):
+    import corpus_pipeline
+
+    same = "a b c " * 200
+    texts = [same + " ".join(f"{n}w{i}" for i in range(12)) for n in "xyz"] + [" ".join(f"o{i}" for i in range(80))]
+    # Few of the distinct five-word shingles are shared, so only the fingerprints tell the first three.
+    rows = [(7, texts[0]), (3, texts[1]), (None, texts[2]), (9, texts[3]), (None, "other words " + texts[3][:100]), (11, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.simhash_components(frame).where("doc_id in (3, 7)").select("component_id").distinct().count() == 1
+    left = corpus_pipeline.near_copies(spark, frame, "")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect() if r["text"]) == sorted([(3, texts[1]), (9, texts[3]), (0, rows[4][1])])
+    assert left.where("text IS NULL").count() == 1 and left.columns == frame.columns
