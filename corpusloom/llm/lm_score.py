@@ -9,17 +9,22 @@ each: they are the only model that is broadcast, together with the exact counts
 ``P(w | v) = L(v) * count(v w) / count(v) + (1 - L(v)) * P(w)`` with ``P(w) = (count(w) + 0.1) / (N + 0.1 (V + 1))``.  ``L`` depends on the
 level of ``v`` and is fitted by expectation maximisation on leave-one-out counts of all training tokens, gathered as one small histogram.
 Numerators are rounded down and denominators up, so the probabilities of all words sum to at most one but for rare false hits.
-Pairs seen once are not stored; if the rest outgrows ``FILTER_BITS``, the least count that is stored rises.
+Pairs seen once are not stored.  If a filter outgrows ``FILTER_BITS``, its lower levels go to a second one of any size: a file that each executor
+fetches once and its tasks map into memory, so no count is lost and what is broadcast stays bounded.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,10 +78,17 @@ def pair_ids(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return _ids(gram_hashes(tokens, 2))[second - 1], second
 
 
+@lru_cache(maxsize=4)
+def _mapped(name: str) -> np.ndarray:
+    """A file of the application, mapped: tasks of one machine share its pages."""
+    return np.load(SparkFiles.get(name), mmap_mode="r")
+
+
 @dataclass
 class LogFrequencyFilter:
-    bits: np.ndarray  # (buckets, bytes of one)
+    bits: np.ndarray | str  # (buckets, bytes of one), or the name of a file that holds them
     least: int  # the level of the smallest stored count
+    rest: LogFrequencyFilter | None = None  # the levels below ``least``
 
     @staticmethod
     def hashes(ids: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +97,10 @@ class LogFrequencyFilter:
 
     def reached(self, ids: np.ndarray, level: int) -> np.ndarray:
         """Positions of the ids that were stored with this level; most others are dropped at the first probe."""
-        width, flat = self.bits.shape[1], self.bits.reshape(-1)
+        if level < self.least and self.rest is not None:
+            return self.rest.reached(ids, level)
+        bits = _mapped(self.bits) if isinstance(self.bits, str) else self.bits
+        width, flat = bits.shape[1], bits.reshape(-1)
         start, (h, step) = (ids >> np.uint64(_ID_BITS - 12)).astype(np.int64) * width, self.hashes(ids, level)
         at = np.arange(len(ids))
         for probe in range(PROBES):
@@ -97,7 +112,7 @@ class LogFrequencyFilter:
     def levels(self, ids: np.ndarray) -> np.ndarray:
         """The quantised count of every id, 0 where it is not stored."""
         out = np.zeros(len(ids), np.int64)
-        at, level = np.arange(len(ids)), self.least
+        at, level = np.arange(len(ids)), self.least if self.rest is None else self.rest.least
         while len(at) and level < _LEVELS:
             at = at[self.reached(ids[at], level)]
             out[at] = level
@@ -209,12 +224,12 @@ def gram_counts(texts: DataFrame, order: int, known: Broadcast | None, least: in
     return stage(sent.repartition(min(BUCKETS, shuffles), "bucket").mapInArrow(_sum_counts(least), "id long, n long"), f"grams-{order}")
 
 
-def _fill(size: int, least: int):
+def _fill(size: int, least: int, most: int = _LEVELS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
         for batch in batches:
             ids, level = batch.column(0).to_numpy().view(np.uint64), level_of(batch.column(1).to_numpy())
-            for step in range(least, int(level.max(initial=0)) + 1):
+            for step in range(least, min(int(level.max(initial=0)), most) + 1):
                 mine = ids[level >= step]
                 bucket = (mine >> np.uint64(_ID_BITS - 12)).astype(np.int64)
                 h, stride = LogFrequencyFilter.hashes(mine, step)
@@ -238,18 +253,40 @@ def _by_level(counts: DataFrame) -> dict[int, int]:
 
 
 def build_filter(counts: DataFrame, least_count: int, max_bits: int = FILTER_BITS) -> LogFrequencyFilter:
-    """A filter of at most ``max_bits``; the smallest stored count rises until it fits."""
+    """A filter of at most ``max_bits`` for the highest levels that fit, and the file of the rest if there is one."""
     histogram = _by_level(counts)
-    least = int(level_of(np.array([least_count]))[0])
-    entries = lambda low: sum(n * (level - low + 1) for level, n in histogram.items() if level >= low)
+    lowest = least = int(level_of(np.array([least_count]))[0])
+    entries = lambda low, high=_LEVELS: sum(n * (min(level, high) - low + 1) for level, n in histogram.items() if level >= low)
+    size_of = lambda n: max(64, -(-n * BITS_PER_ENTRY // BUCKETS // 64) * 64)
     while entries(least) * BITS_PER_ENTRY > max_bits:
         least += 1
-    size = max(64, -(-entries(least) * BITS_PER_ENTRY // BUCKETS // 64) * 64)
+    size = size_of(entries(least))
     bits = np.zeros((BUCKETS, size // 8), np.uint8)
-    parts = counts.where(_level() >= least).mapInArrow(_fill(size, least), "bucket int, bits binary").toArrow()
-    for bucket, row in zip(parts["bucket"].to_pylist(), parts["bits"]):
+    _put(counts.where(_level() >= least).mapInArrow(_fill(size, least), "bucket int, bits binary"), bits)
+    made = LogFrequencyFilter(bits, least)
+    return made if least == lowest else replace(made, rest=_filter_file(counts, size_of(entries(lowest, least - 1)), lowest, least - 1, max_bits))
+
+
+def _put(parts: DataFrame, bits: np.ndarray) -> None:
+    found = parts.toArrow()
+    for bucket, row in zip(found["bucket"].to_pylist(), found["bits"]):
         bits[bucket] |= np.frombuffer(row.as_buffer(), np.uint8)
-    return LogFrequencyFilter(bits, least)
+
+
+def _filter_file(counts: DataFrame, size: int, least: int, most: int, max_bits: int) -> LogFrequencyFilter:
+    """A filter of the levels from ``least`` to ``most``, written and handed on ``max_bits`` at a time."""
+    spark = counts.sparkSession
+    name = f"lm-filter-{uuid.uuid4().hex}.npy"
+    path = Path(tempfile.mkdtemp(prefix="corpusloom-lm-")) / name
+    bits = np.lib.format.open_memmap(path, "w+", np.uint8, (BUCKETS, size // 8))
+    parts = stage(counts.where(_level() >= least).mapInArrow(_fill(size, least, most), "bucket int, bits binary"), "lm-filter")
+    step = min(BUCKETS, max(1, max_bits // size))
+    for first in range(0, BUCKETS, step):
+        _put(parts.where(F.col("bucket").between(first, first + step - 1)), bits)
+    bits.flush()
+    del bits
+    spark.sparkContext.addFile(str(path))
+    return LogFrequencyFilter(name, least)
 
 
 def _histogram(shared: Broadcast):

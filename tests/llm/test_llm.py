@@ -135,6 +135,21 @@ def test_filter_never_underestimates(spark):
     assert small.bits.size * 8 <= max(80_000, lm_score.BUCKETS * 64) and small.least > 1
 
 
+def test_lm_filters_beyond_the_broadcast_lose_no_level(spark, docs):
+    rng = np.random.default_rng(2)
+    ids = np.unique(rng.integers(0, 1 << 60, 5000, dtype=np.int64))
+    n = rng.integers(1, 2000, len(ids))
+    small = lm_score.build_filter(spark.createDataFrame(list(zip(ids.tolist(), n.tolist())), "id long, n long"), 1, max_bits=80_000)
+    level = small.levels(ids.view(np.uint64))
+    assert (level >= lm_score.level_of(n)).all() and (level == lm_score.level_of(n)).mean() > 0.8
+    assert len(small.reached(ids.view(np.uint64), 1)) == len(ids)
+    totals = [
+        lm_score.score_texts(docs, frequent=20, max_bits=bits).where("NOT held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_known")).first()
+        for bits in (lm_score.FILTER_BITS, 4000)
+    ]
+    assert totals[1][0] > 0.9 * totals[1][1] and abs(totals[1][0] / totals[0][0] - 1) < 0.02 and totals[0][2] == totals[1][2]
+
+
 def test_licences(spark, docs, empty):
     model = license_scan.train(docs)
     known = {
