@@ -92,18 +92,18 @@ UNKNOWN = "unknown"
 
 
 def tokens(paragraph: Column) -> Column:
-    """Lower-case words of letters, digits and inner dots."""
-    plain = F.regexp_replace(F.lower(paragraph), r"[^a-z0-9.]+|[.]+(?=[^a-z0-9]|$)", " ")
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    """Lower-case words of letters, digits and dots before one of these."""
+    return F.regexp_extract_all(F.lower(paragraph), F.lit(r"[.]?[a-z0-9]++(?:[.][a-z0-9]++)*+"), F.lit(0))
 
 
-def grams(words: Column) -> Column:
-    """Distinct words and word pairs."""
-    # Both sides are evaluated once a paragraph, so a long one takes linear time.
-    pairs = F.filter(
-        F.zip_with(words, F.slice(words, F.lit(2), F.size(words) + 1), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull()
+def known_grams(words: Column, vocabulary: list[str]) -> Column:
+    """The distinct words and word pairs that are in the vocabulary, words first; a pair is only made of words that pairs of the vocabulary have."""
+    single, double = [g for g in vocabulary if " " not in g], [g for g in vocabulary if " " in g]
+    first, second = (sorted({g.split(" ")[i] for g in double}) for i in (0, 1))
+    pairs = F.zip_with(
+        words, F.slice(words, F.lit(2), F.size(words) + 1), lambda a, b: F.when(a.isin(first) & b.isin(second), F.concat(a, F.lit(" "), b))
     )
-    return F.array_distinct(F.concat(words, pairs))
+    return F.array_distinct(F.concat(F.filter(words, lambda w: w.isin(single)), F.filter(pairs, lambda p: p.isin(double))))
 
 
 _CUE = "(?i)" + "|".join(CUES)
@@ -162,7 +162,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negat
     notices = [(row["family"], f"{row['family']}-{i}", _gram_list(row["words"])) for i, row in enumerate(rows) if row["family"] != UNKNOWN]
     # The corpus's own negatives: cue paragraphs with less than half of any notice's n-grams.  Only known n-grams leave the executors.
     own = candidates(docs, id_col, text_col).select(
-        F.array_intersect(grams(tokens(F.col("body"))), _strings(vocabulary)).alias("hits"), F.xxhash64("body").alias("order")
+        known_grams(tokens(F.col("body")), vocabulary).alias("hits"), F.xxhash64("body").alias("order")
     )
     far = stage(own, "licence-cues").where(F.greatest(*(_held(F.col("hits"), x) for _, _, x in notices)) < 0.5)
     sampled = far.orderBy("order", "hits").limit(negative_rows).select("hits").collect()
@@ -220,7 +220,7 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
     families = model.classes[1:]
     by_gram = {g: model.weights[:, i] / model.temperature for i, g in enumerate(model.vocabulary) if np.any(model.weights[:, i])}
     known = paragraphs(docs, id_col, text_col).select(
-        "id", F.col("paragraph").cast("long").alias("paragraph"), F.col("body").rlike(_CUE).alias("cue"), F.array_intersect(grams(tokens(F.col("body"))), _strings(model.vocabulary)).alias("hits")
+        "id", F.col("paragraph").cast("long").alias("paragraph"), F.col("body").rlike(_CUE).alias("cue"), known_grams(tokens(F.col("body")), model.vocabulary).alias("hits")
     )
     # Exploded and not filtered, as a filter would be pushed below and look up all n-grams once more.
     found = known.select("id", "paragraph", F.explode(F.filter(F.array("hits"), lambda h: F.col("cue") | (F.size(h) > 0))).alias("hits"))
