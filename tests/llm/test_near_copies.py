@@ -110,3 +110,15 @@ def test_beginnings_rule_out_no_similar_pair():
         else:
             ruled_out += common < need_a or common < need_b
     assert ruled_out > 100
+
+
+def test_wanted_texts_are_found_without_shuffling_the_others(spark):
+    keys = [*range(-3000, 3000, 7), (1 << 62) + 5, near_copies.MAP_BITS + 4, -(1 << 63)]
+    rows = spark.createDataFrame([(k, f"t{k}") for k in [*keys, 1, 2, 2]], "key long, text string")
+    wanted = [-3000, 4, (1 << 62) + 5, 2, -(1 << 63)]  # one key that has no text
+    asked = spark.createDataFrame([(k, k + 1 if k < 100 else 0) for k in wanted], "key long, root long")
+    got = near_copies.texts_of(rows, asked)
+    assert got.columns == ["key", "text", "root"]
+    present = [k for k in [*keys, 1, 2, 2] if k in wanted]
+    assert sorted(r["key"] for r in got.collect()) == sorted(present) and all(r["text"] == f"t{r['key']}" for r in got.collect())
+    assert near_copies.texts_of(rows, asked.limit(0)).count() == 0
