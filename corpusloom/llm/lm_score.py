@@ -4,7 +4,9 @@ Counts of words and word pairs of the training texts are taken over all data: ta
 each bucket is summed in one place.  A count c is quantised to 1 + floor(log_BASE(c)), and a gram enters the filter once
 for each level up to its own; a reader probes one level after the other until it misses.  So the filter holds counts in a few
 bits a gram, errs only upwards, and rarely.  Filters are cut into buckets that are built apart, and are at most ``FILTER_BITS`` long
-each: they are the only model that is broadcast, together with the exact counts of at most ``FREQUENT`` words, those of the highest levels.
+each: they are the only model that is broadcast, together with the exact counts of at most ``FREQUENT`` words, those of the highest levels, and
+what the filter answers for at most ``OFTEN`` pairs, chosen alike: a common pair has many levels to probe and occurs in most texts.
+Within a slice of texts each distinct id is looked up once, in order, as ids of one bucket lie side by side.
 
 ``P(w | v) = L(v) * count(v w) / count(v) + (1 - L(v)) * P(w)`` with ``P(w) = (count(w) + 0.1) / (N + 0.1 (V + 1))``.  ``L`` depends on the
 level of ``v`` and is fitted by expectation maximisation on leave-one-out counts of all training tokens, gathered as one small histogram.
@@ -38,6 +40,7 @@ PROBES = 5
 BITS_PER_ENTRY = 10
 FILTER_BITS = 1 << 28
 FREQUENT = 1 << 18
+OFTEN = 1 << 20
 _ID_BITS = 60
 _SEND_GRAMS = 3_000_000
 _END = np.uint64(0x1F0E2D3C4B5A6978)
@@ -89,6 +92,7 @@ class LogFrequencyFilter:
     bits: np.ndarray | str  # (buckets, bytes of one), or the name of a file that holds them
     least: int  # the level of the smallest stored count
     rest: LogFrequencyFilter | None = None  # the levels below ``least``
+    often: tuple[np.ndarray, np.ndarray] | None = None  # ids, ascending, and what :meth:`probed` says of them
 
     @staticmethod
     def hashes(ids: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +115,18 @@ class LogFrequencyFilter:
 
     def levels(self, ids: np.ndarray) -> np.ndarray:
         """The quantised count of every id, 0 where it is not stored."""
+        seen, back = np.unique(ids, return_inverse=True)
+        if self.often is None or not len(self.often[0]):
+            return self.probed(seen)[back]
+        known, level = self.often
+        slot = np.minimum(np.searchsorted(known, seen), len(known) - 1)
+        out = level[slot].astype(np.int64)
+        rest = np.flatnonzero(known[slot] != seen)
+        out[rest] = self.probed(seen[rest])
+        return out[back]
+
+    def probed(self, ids: np.ndarray) -> np.ndarray:
+        """The same, all read from the filter."""
         out = np.zeros(len(ids), np.int64)
         at, level = np.arange(len(ids)), self.least if self.rest is None else self.rest.least
         while len(at) and level < _LEVELS:
@@ -132,14 +148,15 @@ class Model:
 
     def word_counts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(least count, largest count, exactly known): exact for frequent words, else as the filter has it."""
-        slot = np.minimum(np.searchsorted(self.frequent_ids, ids), max(0, len(self.frequent_ids) - 1))
-        exact = self.frequent_ids[slot] == ids if len(self.frequent_ids) else np.zeros(len(ids), bool)
-        low, high = np.zeros(len(ids)), np.zeros(len(ids))
+        seen, back = np.unique(ids, return_inverse=True)
+        slot = np.minimum(np.searchsorted(self.frequent_ids, seen), max(0, len(self.frequent_ids) - 1))
+        exact = self.frequent_ids[slot] == seen if len(self.frequent_ids) else np.zeros(len(seen), bool)
+        low, high = np.zeros(len(seen)), np.zeros(len(seen))
         low[exact] = high[exact] = self.frequent_counts[slot[exact]]
         rest = np.flatnonzero(~exact)
-        level = self.single.levels(ids[rest])
+        level = self.single.probed(seen[rest])
         low[rest], high[rest] = _LEAST[level], _MOST[level]
-        return low, high, exact
+        return low[back], high[back], exact[back]
 
 
 def _parts(model: Model, ids: np.ndarray, ends: np.ndarray, left_out: int):
@@ -252,6 +269,17 @@ def _by_level(counts: DataFrame) -> dict[int, int]:
     return {row["level"]: row["n"] for row in counts.groupBy(_level().alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
+def _commonest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ascending, their counts) of the grams of the highest levels that are at most ``most`` together."""
+    histogram, least = _by_level(counts), _LEVELS
+    while least > 1 and sum(n for level, n in histogram.items() if level >= least - 1) <= most:
+        least -= 1
+    top = counts.where(_level() >= least).toArrow()  # at most ``most`` rows
+    ids, n = top["id"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(ids)
+    return ids[order], n[order]
+
+
 def build_filter(counts: DataFrame, least_count: int, max_bits: int = FILTER_BITS) -> LogFrequencyFilter:
     """A filter of at most ``max_bits`` for the highest levels that fit, and the file of the rest if there is one."""
     histogram = _by_level(counts)
@@ -321,20 +349,17 @@ def fitted_weights(histogram: dict[int, int], rounds: int = 60) -> np.ndarray:
     return weights
 
 
-def train(texts: DataFrame, max_bits: int = FILTER_BITS, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
+def train(texts: DataFrame, max_bits: int = FILTER_BITS, frequent: int = FREQUENT, often: int = OFTEN) -> tuple[Model, DataFrame]:
     """The model of a table with one column ``text``, and the exact word counts (id, n)."""
     context = texts.sparkSession.sparkContext
     counts = gram_counts(texts, 1, None, 1)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    histogram, often = _by_level(counts), _LEVELS
-    while often > 1 and sum(n for level, n in histogram.items() if level >= often - 1) <= frequent:
-        often -= 1
-    top = counts.where(_level() >= often).toArrow()  # at most `frequent` rows
-    ids, n = top["id"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(ids)
     single = build_filter(counts, 1, max_bits)
-    pair = build_filter(gram_counts(texts, 2, context.broadcast(single), 2), 2, max_bits)
-    model = Model(total, distinct, ids[order], n[order], single, pair, np.zeros(_LEVELS))
+    pairs = gram_counts(texts, 2, context.broadcast(single), 2)
+    pair = build_filter(pairs, 2, max_bits)
+    common, _ = _commonest(pairs, often)
+    pair.often = common, pair.probed(common).astype(np.uint8)
+    model = Model(total, distinct, *_commonest(counts, frequent), single, pair, np.zeros(_LEVELS))
     seen = texts.mapInArrow(_histogram(context.broadcast(model)), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # bounded
     model.weights = fitted_weights({row["slot"]: row["n"] for row in seen})
     return model, counts
@@ -376,7 +401,7 @@ def _score(shared: Broadcast):
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = FILTER_BITS, frequent: int = FREQUENT) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = FILTER_BITS, frequent: int = FREQUENT, often: int = OFTEN) -> DataFrame:
     """One row per input row: (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Rows whose CRC-32 of the id as text is divisible by 10 are held out, the others train.  A null id counts as the empty text, which is
@@ -386,7 +411,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 10 == 0
     texts = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    model, counts = train(texts.where("NOT held_out").select("text"), max_bits, frequent)
+    model, counts = train(texts.where("NOT held_out").select("text"), max_bits, frequent, often)
     rows = stage(
         texts.mapInArrow(
             _score(spark.sparkContext.broadcast(model)),

@@ -150,6 +150,22 @@ def test_lm_filters_beyond_the_broadcast_lose_no_level(spark, docs):
     assert totals[1][0] > 0.9 * totals[1][1] and abs(totals[1][0] / totals[0][0] - 1) < 0.02 and totals[0][2] == totals[1][2]
 
 
+def test_lm_common_pairs_are_not_probed_again(spark, docs, monkeypatch):
+    model, _ = lm_score.train(docs.select("text"))
+    text = " ".join(t for _, t, *_ in ROWS if t).encode()
+    (_, _, ids, ends), = lm_score.token_ids(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    pairs, _ = lm_score.pair_ids(ids, ends)
+    sent, reached = [], lm_score.LogFrequencyFilter.reached
+    monkeypatch.setattr(lm_score.LogFrequencyFilter, "reached", lambda self, x, level: (sent.append(len(x)), reached(self, x, level))[1])
+    want = model.pair.probed(pairs)
+    everywhere = sum(sent)
+    sent.clear()
+    assert (model.pair.levels(pairs) == want).all() and (want > 0).any()
+    assert sum(sent) < everywhere / 5  # those the model knows, and copies of the others, are not probed
+    small = [_rows(lm_score.score_texts(docs, often=n), "doc_id", "score") for n in (0, 30, lm_score.OFTEN)]
+    assert small[0] == small[1] == small[2] and len(lm_score.train(docs.select("text"), often=30)[0].pair.often[0]) <= 30
+
+
 def test_licences(spark, docs, empty):
     model = license_scan.train(docs)
     known = {
