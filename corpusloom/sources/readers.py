@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,75 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+#: Bytes of contents in one batch; a larger file makes a batch of its own.
+BATCH_BYTES = 1 << 25
+
+
+def walk_files(spark: SparkSession, root: str) -> DataFrame | None:
+    """The same listing with ``file``, the name to read, in place of contents; None where pyarrow does not know the file system.
+
+    Tasks walk one entry of ``root`` each, a folder at a time, so the driver holds no file names but those right below ``root``.
+    Names that Spark's file sources pass over are passed over, and empty files too.
+    """
+    try:
+        system, base = _file_system(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return None
+    schema = "project string, path string, size long, modified_at timestamp, file string"
+    seeds = [(x.path,) for x in system.get_file_info(pafs.FileSelector(base)) if _shown(x.base_name)]
+    if not seeds:
+        return spark.createDataFrame([], schema)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, _ = _file_system(root)
+        left = [x for batch in batches for x in found.get_file_info(batch.column(0).to_pylist())]
+        while left:
+            folders = [x for x in left if x.type == pafs.FileType.Directory]
+            files = [x for x in left if x.type == pafs.FileType.File and x.size]
+            for at in range(0, len(files), 10_000):
+                part = files[at : at + 10_000]
+                names = [x.path[len(base) :].lstrip("/") for x in part]
+                columns = [
+                    pa.array([name.split("/", 1)[0] for name in names]), pa.array([name.split("/", 1)[-1] for name in names]), pa.array([x.size for x in part], pa.int64()),
+                    pa.array([x.mtime_ns // 1_000_000 * 1000 for x in part], pa.timestamp("us", "UTC")), pa.array([x.path for x in part]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["project", "path", "size", "modified_at", "file"])
+            left = folders[1:] + [x for x in found.get_file_info(pafs.FileSelector(folders[0].path)) if _shown(x.base_name)] if folders else []
+
+    return spark.createDataFrame(seeds, "file string").repartition(len(seeds)).mapInArrow(walk, schema)
+
+
+def with_contents(listed: DataFrame, root: str) -> DataFrame:
+    """Rows of :func:`walk_files` with the bytes of each file, read where they are needed; dealt out evenly, as folders differ in size."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _file_system(root)
+        for batch in batches:
+            first, size, contents = 0, 0, []
+            for n, name in enumerate(batch.column("file").to_pylist()):
+                with system.open_input_file(name) as file:
+                    contents.append(file.read())
+                size += len(contents[-1])
+                if size >= BATCH_BYTES or n + 1 == batch.num_rows:
+                    kept = batch.slice(first, n + 1 - first)
+                    yield pa.RecordBatch.from_arrays([*(kept.column(x) for x in ("project", "path", "size", "modified_at")), pa.array(contents, pa.binary())], names=["project", "path", "size", "modified_at", "content"])
+                    first, size, contents = n + 1, 0, []
+
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(parts).mapInArrow(read, "project string, path string, size long, modified_at timestamp, content binary")
+
+
+def _file_system(root: str) -> tuple[pafs.FileSystem, str]:
+    system, base = pafs.FileSystem.from_uri(root if ":/" in root else f"file://{root}")
+    return system, base.rstrip("/")
+
+
+def _shown(name: str) -> bool:
+    """Whether Spark's file sources list a name."""
+    hidden = (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+    return not hidden or name.startswith(("_common_metadata", "_metadata"))
+
+
 def _quoted(literal: str) -> str:
     return r"\Q" + literal + r"\E"
 
@@ -58,8 +130,8 @@ def scan_corpus(
     """Source files of every project folder under ``root``.
 
     ``ingest`` hashes bytes and allows larger XML and Lua files; ``knowledge`` hashes the
-    decoded text, has a flat size cap and takes other extensions.  Size filters reach the
-    file source, so oversized files are never read.
+    decoded text, has a flat size cap and takes other extensions.  Files are chosen by name and size
+    before any is opened.  A file system that pyarrow does not know is read by Spark's file source.
     """
     base = rules.SCAN_EXTENSIONS if variant == "ingest" else rules.KNOWLEDGE_EXTENSIONS
     wanted = normalize_extensions(extensions, base)
@@ -70,7 +142,11 @@ def scan_corpus(
     hidden = F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, (*excluded, *output_dirs))))
     largest = max(max_bytes, rules.LARGE_FILE_BYTES) if variant == "ingest" else max_bytes
     # The plain bound reaches the file source; the cap by suffix is applied to what it lists.
-    kept = list_files(spark, root).filter(F.col("size") <= largest).filter(suffix.isin(*wanted) & ~hidden & (F.col("size") <= cap))
+    walked = walk_files(spark, root)
+    listed = list_files(spark, root) if walked is None else walked
+    kept = listed.filter(F.col("size") <= largest).filter(suffix.isin(*wanted) & ~hidden & (F.col("size") <= cap))
+    if walked is not None:
+        kept = with_contents(kept, root)
     decoded = text.decode_text(F.col("content"))
     digest = paths.content_hash(F.col("content") if variant == "ingest" else decoded)
     return kept.select(

@@ -60,10 +60,14 @@ def write_files(df: DataFrame, root: str) -> None:
 
     def write(batches):
         system, base = pafs.FileSystem.from_uri(root if ":/" in root else f"file://{root}")
+        made = set()
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 target = f"{base}/{path}"
-                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with system.open_output_stream(target) as out:
                     out.write(content.as_py())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])

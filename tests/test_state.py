@@ -164,3 +164,22 @@ def test_extraction_survives_long_prose(spark):
     prose = "word " * 20_000
     frame = spark.createDataFrame([("x.py", "python", prose)], "path string, language string, content string")
     assert extract_files(frame).first()["symbols"] == []
+
+
+def test_tasks_list_folders_and_open_only_what_is_kept(spark, tmp_path):
+    root = tmp_path / "tree"
+    names = ["top.py", "p/a.py", "p/a b%20é.py", "p/deep/er/x.lua", "p/_hidden.py", "p/_k=1/y.py", "p/.dot.py", "p/._COPYING_", "_q/z.py", "r/empty.py", "r/big.xml", "r/other.bin", "r/node_modules/m.py"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"" if "empty" in name else b"x" * 400_000 if "big" in name else name.encode("latin-1"))
+    columns = ["project", "path", "size", "modified_at"]
+    want = sorted(tuple(r) for r in readers.list_files(spark, str(root)).select(*columns).collect())
+    for place in (str(root), f"file://{root}/"):
+        walked = readers.walk_files(spark, place)
+        assert sorted(tuple(r) for r in walked.select(*columns).collect()) == want
+    contents = {(r["project"], r["path"]): bytes(r["content"]) for r in readers.list_files(spark, str(root)).collect()}
+    assert {(r["project"], r["path"]): bytes(r["content"]) for r in readers.with_contents(walked, f"file://{root}").collect()} == contents
+    found = readers.scan_corpus(spark, str(root))
+    assert {r["path"] for r in found.collect()} == {"top.py", "a.py", "a b%20é.py", "deep/er/x.lua", "_k=1/y.py", "big.xml"}
+    assert "binaryFile" not in found._jdf.queryExecution().toString()  # no index of all files on the driver, no task for every 32 of them
+    assert readers.walk_files(spark, f"unknown://{root}") is None
