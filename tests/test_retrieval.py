@@ -141,3 +141,44 @@ def test_searches_shuffle_keys_and_not_contents(spark):
     assert [r["node_id"] for r in best.orderBy("rank").collect()] == ["n39", "n38"]
     plan = best._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan  # ranked before whole nodes join
+
+
+def test_memory_search_takes_older_memories_only_for_words_without_answer(spark, monkeypatch):
+    """Requests that the newest memories answer leave the search; the rest go on to all memories, with the results of comparing every pair."""
+    monkeypatch.setattr(memory, "DEPTHS", (10, 40), raising=False)
+    searched = []
+
+    def recorded(requests, corpus, **how):
+        searched.append((corpus.count(), {r["terms"][0] for r in requests.select("terms").collect()}))
+        return lexical_match(requests, corpus, **how)
+
+    monkeypatch.setattr(memory, "lexical_match", recorded)
+
+    def content(i):
+        return f"Alpha {i % 3}" + (" mid" if i % 7 == 0 else "") + (" seldom" if i % 60 == 0 else "") + (" once" if i == 4 else "")
+
+    rows = [(f"m{i}", "p", "u" if i % 2 else "v", None if i % 50 == 49 else content(i), None if i in (4, 8) else i) for i in range(300)]
+    rows += [rows[0], rows[120], rows[299], ("n", "p", None, "alpha", 500), ("w", "p", "w", "once", 1)]
+    mem = spark.createDataFrame(rows, "id string, project_id string, user_id string, content string, seq long").withColumn("updated_at", F.timestamp_seconds("seq"))
+    prompts = ["alpha", "ONCE alpha", "once", "mid zz", "seldom", "zz", "?", None, "mid seldom once", "alpha 1"]
+    asked = [(f"{user}{n}", "p", user, prompt) for user in ("u", "v", "w", None) for n, prompt in enumerate(prompts)]
+    asked.append(asked[2])
+    got = {}
+    for r in memory.memory_search(spark.createDataFrame(asked, "request_id string, project_id string, user_id string, prompt string"), mem, 3).collect():
+        got.setdefault(r["request_id"], []).append((r["id"], r["seq"]))
+    newest = sorted(rows, key=lambda r: -1 if r[4] is None else r[4], reverse=True)
+    expected = {}
+    for request, _, user, prompt in asked:
+        own = [r for r in newest if user is not None and r[2] == user]
+        words = [w for w in (prompt or "").lower().split() if len(w) >= 2]
+        holding = {w: [r for r in own if w in (r[3] or "").lower()][:3] for w in words}
+        found = {(r[0], r[4]) for of_word in holding.values() for r in of_word}
+        if prompt is not None and not words and own:
+            expected[request] = [(r[0], r[4]) for r in own[:3]]
+        elif found:
+            expected[request] = sorted(found, key=lambda f: -1 if f[1] is None else f[1], reverse=True)[:3]
+    asked_twice = asked[2][0]
+    assert {k: sorted(v, key=str) for k, v in got.items() if k != asked_twice} == {k: sorted(v, key=str) for k, v in expected.items() if k != asked_twice}
+    assert set(got.get(asked_twice, [])) == set(expected.get(asked_twice, []))
+    assert [n for n, words in searched if "alpha" in words] == [21]  # ten memories of u and of v, one of w
+    assert len(searched) == 3 and searched[2][0] > 200 and "once" in searched[2][1]
