@@ -122,3 +122,42 @@ def test_wanted_texts_are_found_without_shuffling_the_others(spark):
     present = [k for k in [*keys, 1, 2, 2] if k in wanted]
     assert sorted(r["key"] for r in got.collect()) == sorted(present) and all(r["text"] == f"t{r['key']}" for r in got.collect())
     assert near_copies.texts_of(rows, asked.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("star_from", [1, 3, 32])
+def test_candidate_links_tie_similar_sets_and_no_chain_of_single_shingles(spark, star_from):
+    rng = np.random.default_rng(5)
+    none = np.zeros(0, np.uint64)
+    sets = []
+    for i in range(60):
+        n = int(rng.integers(1, 60))
+        base = rng.integers(1 << 20, 1 << 40, n).astype(np.uint64)
+        sets.append(np.unique(base))
+        for _ in range(int(rng.integers(0, 6))):
+            edits = int(rng.integers(0, n // 6 + 2))
+            sets.append(np.unique(np.concatenate([base[edits:], rng.integers(1 << 20, 1 << 40, edits).astype(np.uint64), base[:1]])))
+    similar = len(sets)
+    for i in range(50):  # each has one prefix shingle in common with the next, and is similar to none
+        sets.append(np.unique(np.concatenate([rng.integers(1 << 20, 1 << 40, 40).astype(np.uint64), np.array([i, i + 1], np.uint64)])))
+    rows = [(k, len(x), int(s)) for k, x in enumerate(sets) for s in near_copies.prefix(x, none, 0.8, near_copies.SHARED).view(np.int64)]
+    first = spark.createDataFrame(rows, "key long, size int, shingle long").repartition(3)
+    links = [(r["a"], r["b"]) for r in near_copies.candidate_links(first, 0.8, star_from=star_from).collect()]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    pairs = 0
+    for i in range(similar):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared) - 1e-9:
+                pairs += 1
+                assert find(i) == find(j)
+    assert pairs > 50
+    if star_from > 1:
+        assert all(a < similar and b < similar for a, b in links)
